@@ -60,7 +60,7 @@ def lcs_lengths(a, b):
         left = np.zeros(len(idx), dtype=np.int64)
         for k in range(8):
             byte = (np.right_shift(row, np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8)
-            left += np.unpackbits(byte[:, None], axis=1).sum(axis=1)
+            left += np.unpackbits(byte[:, None], axis=1).sum(axis=1, dtype=np.int64)
         res[idx] = la[idx] - left
     return res
 

@@ -238,11 +238,11 @@ query("p17_gauge", f"SELECT d, CASE WHEN k IN (0, 1, 3, 5) THEN p_size END AS d1
 _PATH = "SELECT DISTINCT p_brand || '/' || CASE p_size % 5 WHEN 0 THEN 'Água Quente' WHEN 1 THEN 'agua-fria' WHEN 2 THEN 'Esgoto' WHEN 3 THEN 'Elétrica' ELSE 'x' END AS d, p_size % 5 AS k FROM {part}"
 query("p18_line_from_path", f"SELECT d, CASE k WHEN 0 THEN 'AGUA_QUENTE' WHEN 1 THEN 'AGUA_FRIA' WHEN 2 THEN 'ESGOTO' WHEN 3 THEN 'ELETRICA' ELSE '' END AS out FROM ({_PATH})")(
     lambda s: s.sql(_PATH).select("d", P.line_from_path(F.col("d")).alias("out")))
-query("p19_unit_price", """SELECT l_orderkey, round(sum(CASE WHEN l_linenumber % 3 = 0 THEN l_extendedprice WHEN l_linenumber % 3 = 1 THEN l_extendedprice / l_quantity ELSE l_tax / l_quantity END), 1) AS total
+query("p19_unit_price", """SELECT l_orderkey, round(max(CASE WHEN l_linenumber % 3 = 0 THEN l_extendedprice WHEN l_linenumber % 3 = 1 THEN l_extendedprice / l_quantity ELSE l_tax / l_quantity END), 9) AS top_price
    FROM {lineitem} WHERE NOT (l_linenumber % 3 = 2 AND l_tax = 0) GROUP BY l_orderkey""")(
     lambda s: s.lineitem.withColumn("u", P.unit_price(F.when(F.col("l_linenumber") % 3 == 0, F.col("l_extendedprice")), F.col("l_quantity"),
               F.when(F.col("l_linenumber") % 3 == 1, F.col("l_extendedprice")), F.col("l_tax"))).filter("u is not null")
-    .groupBy("l_orderkey").agg(F.round(F.sum("u"), 1).alias("total")))
+    .groupBy("l_orderkey").agg(F.round(F.max("u"), 9).alias("top_price")))
 query("p20_source_format", """SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'UAU' WHEN source = 'src2' THEN 'SIENGE' END AS fmt FROM {documents}""")(
     lambda s: s.documents.withColumn("notes", F.array(F.lit("x"), F.when(F.col("source").startswith("src1"), "origem uau").when(F.col("source") == "src2", "Sienge").otherwise("y")))
     .select("doc_id", P.source_format(F.col("notes")).alias("fmt")))
