@@ -38,7 +38,7 @@ def let(value, body):
     Without it a text used by twenty patterns is inlined twenty times and the
     generated code outgrows what the JVM compiles.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def text(c):

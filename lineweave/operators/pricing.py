@@ -1,5 +1,4 @@
 """Price reconciliation between orders, price tables and returned quotes."""
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -148,20 +147,26 @@ def return_row(df, bar=6.0):
             .withColumn("note", F.nullif(notes, F.lit(""))))
 
 
-def greedy_pick(pairs, order, row, candidate):
-    """Serial one-to-one choice: rows in ``order`` each take their best free candidate.
+def greedy_stream(batches):
+    """Serial one-to-one choice over pairs sorted by process, row and falling score.
 
-    ``pairs`` is one process's admissible pairs only, so it is as large as the
-    join that produced it and never a full product.
+    Each row takes its first candidate nobody took before it.  Only the taken
+    candidates of the current process are held, so a process may be any size.
     """
-    used, out = set(), []
-    for key, group in pairs.sort_values(order, kind="stable").groupby(row, sort=False):
-        free = group[~group[candidate].isin(used)]
-        if len(free):
-            best = free.sort_values(["score", candidate], ascending=[False, True], kind="stable").iloc[0]
-            used.add(best[candidate])
-            out.append(best)
-    return pd.DataFrame(out, columns=pairs.columns)
+    process = row = None
+    used, done = set(), False
+    for pdf in batches:
+        keep = []
+        for i, (p, r, c) in enumerate(zip(pdf["process_id"], pdf["row_ord"], pdf["r_ord"])):
+            if p != process:
+                process, row, used = p, None, set()
+            if r != row:
+                row, done = r, False
+            if not done and c not in used:
+                used.add(c)
+                done = True
+                keep.append(i)
+        yield pdf.iloc[keep]
 
 
 def compare_return(process, returned):
@@ -208,10 +213,9 @@ def compare_return(process, returned):
 def _match_by_text(rest, free):
     """Description stage of C3.
 
-    Only pairs that can reach the 0.50 floor are formed: a token-set ratio of at
-    least one half between texts with no common word still needs common
-    characters, so words are the blocking key and the remaining rows of a
-    process, which share no word, are compared in a second, salted join.
+    Rows meet only returns of their own document, only after the code stage has
+    taken what it can, and only where the measures do not contradict; the pairs
+    that reach the 0.50 floor are then chosen in document order.
     """
     left = rest.select("process_id", "row_ord", "text", F.coalesce("description", F.lit("")).alias("description"))
     right = free.select("process_id", "r_ord", "r_description")
@@ -227,9 +231,9 @@ def _match_by_text(rest, free):
     score = F.greatest(D.token_set_ratio(up(F.col("text")), up(F.col("r_description"))),
                        D.token_set_ratio(up(F.col("description")), up(F.col("r_description"))))
     pairs = pairs.withColumn("score", score).filter("score >= 0.50").select("process_id", "row_ord", "r_ord", "score")
-    return pairs.groupBy("process_id").applyInPandas(
-        lambda pdf: greedy_pick(pdf, ["row_ord"], "row_ord", "r_ord"),
-        "process_id string, row_ord long, r_ord long, score double")
+    ordered = pairs.repartition("process_id").sortWithinPartitions(
+        "process_id", "row_ord", F.desc("score"), "r_ord")
+    return ordered.mapInPandas(greedy_stream, "process_id string, row_ord long, r_ord long, score double")
 
 
 def return_summary(df):

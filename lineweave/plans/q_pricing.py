@@ -30,9 +30,9 @@ query("d3_token_set_ratio", f"""SELECT a, b, round(CASE WHEN len(ts) > 0 AND (le
    CASE WHEN ls > 0 THEN 2.0 * ls / (ls + length(x)) ELSE 0 END, CASE WHEN ls > 0 THEN 2.0 * ls / (ls + length(y)) ELSE 0 END) END, 6) AS score FROM ({_SET})""")(
     lambda s: s.sql(PAIRS).select("a", "b", F.round(D.token_set_ratio(F.col("a"), F.col("b")), 6).alias("score")))
 query("d4_sequence_ratio")(lambda s: s.sql(PAIRS).select("a", "b", D.sequence_ratio(F.col("a"), F.col("b")).alias("score")))
-query("d5_text_score", f"""SELECT a, b, round(greatest(0.7 * {S.ratio('x', 'y')} + 0.3 * {S.ratio('u', 'v')}, 0), 4) AS score
+query("d5_text_score", f"""SELECT a, b, round(greatest(0.7 * {S.ratio('x', 'y')} + 0.3 * {S.ratio('u', 'v')}, 0), 6) AS score
    FROM (SELECT a, b, {S.sort_words('u')} AS x, {S.sort_words('v')} AS y, u, v FROM (SELECT a, b, upper(a) AS u, {S.norm_text('b')} AS v FROM ({PAIRS})))""")(
-    lambda s: s.sql(PAIRS).select("a", "b", D.text_score(F.upper("a"), F.col("b"), F.lit("")).alias("score")))
+    lambda s: s.sql(PAIRS).select("a", "b", F.round(D.blended_ratio(F.upper("a"), T.norm_text(F.col("b"))), 6).alias("score")))
 query("d7_min_score", """SELECT l_linenumber, l_returnflag, l_tax, min(CASE WHEN l_linenumber = 1 AND l_tax > 0.02 THEN 0.35 WHEN l_linenumber < 4 THEN 0.32 WHEN l_returnflag = 'R' AND l_tax > 0.02 THEN 0.40 ELSE 0.45 END) AS v FROM {lineitem} GROUP BY ALL""")(
     lambda s: s.lineitem.select("l_linenumber", "l_returnflag", "l_tax", D.min_score(
         F.col("l_linenumber") == 1, F.when(F.col("l_tax") > 0.02, 2).otherwise(1), F.col("l_linenumber"), F.when(F.col("l_returnflag") == "R", "TE"),

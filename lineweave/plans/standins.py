@@ -59,11 +59,11 @@ FROM {part} WHERE p_size > 40""",
     "price_table": f"""
 SELECT p_type AS client, '1 SEM - 2026' AS validity, CAST(p_partkey AS STRING) AS product_code,
        'C-' || CAST(p_partkey * 7 AS STRING) AS client_code, {DESC} AS description, 'UN' AS unit,
-       CAST(round(p_retailprice * 0.90, 2) AS DECIMAL(18,6)) AS price, p_partkey AS row_ord FROM {{part}}
+       CAST(CAST(p_retailprice * 0.90 + 0.0001 AS DECIMAL(18,2)) AS DECIMAL(18,6)) AS price, p_partkey AS row_ord FROM {{part}}
 UNION ALL
 SELECT p_type, '2 SEM - 2026', CAST(p_partkey AS STRING), 'C-' || CAST(p_partkey * 7 AS STRING), {DESC},
        CASE WHEN p_size % 3 = 0 THEN 'M' ELSE 'UN' END,
-       CAST(round(p_retailprice * 0.95, 2) AS DECIMAL(18,6)), p_partkey + 1000000000 FROM {{part}} WHERE p_size > 5""",
+       CAST(CAST(p_retailprice * 0.95 + 0.0001 AS DECIMAL(18,2)) AS DECIMAL(18,6)), p_partkey + 1000000000 FROM {{part}} WHERE p_size > 5""",
     # review queue: events of a user are the lines of one document
     "review_queue": """
 SELECT event_id AS id, 'DOC' || CAST(user_id AS STRING) || '.pdf' AS document, CAST(event_id % 9 AS STRING) AS item_no,

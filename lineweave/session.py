@@ -28,6 +28,11 @@ def checkpoint_dir(spark):
 
 
 def cut_lineage(df):
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
+    """Write ``df`` to the shared checkpoint folder and continue from there.
+
+    Attribute tables go through here: they are read several times, and a join
+    key computed from them must not be pushed back down as a filter, which would
+    inline every pattern many times over.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
