@@ -45,7 +45,7 @@ _ALSQL = f"""SELECT code, coalesce(aliases, '') AS aliases, coalesce(alias_type,
   LEFT JOIN (SELECT code, arg_min(line, struct_pack(n := -n, f := f)) AS alias_line FROM (SELECT product_code AS code, line, count(*) AS n, min(row_ord) AS f FROM ({_ALIAS}) WHERE line <> '' GROUP BY 1, 2) GROUP BY code) USING (code)"""
 query("a1_aggregate_aliases", _ALSQL)(lambda s: C.aggregate_aliases(s.sql(_ALIAS)))
 _PDF = "SELECT CAST(p_partkey AS STRING) AS product_code, p_size AS diameter_1_mm, CASE WHEN p_size > 30 THEN 20 END AS diameter_2_mm, CAST(p_size AS STRING) || CASE WHEN p_size > 30 THEN ' x 20' ELSE '' END AS gauge, 1 AS page, p_partkey AS row_ord FROM {part}"
-query("j6_enrich_catalogue", f"SELECT c.product_code, coalesce(a.aliases, '') AS aliases, coalesce(a.alias_type, '') AS alias_type, CAST(p.diameter_1_mm AS DOUBLE) AS printed_diameter_mm FROM {{catalogue}} AS c LEFT JOIN ({_ALSQL}) a ON ltrim(c.product_code, '0') = a.code LEFT JOIN ({_PDF}) p ON c.row_ord = p.row_ord".replace("{catalogue} AS c", "(SELECT * FROM {catalogue}) AS c"))(
+query("j6_enrich_catalogue", f"SELECT c.product_code, coalesce(a.aliases, '') AS aliases, coalesce(a.alias_type, '') AS alias_type, CAST(p.diameter_1_mm AS DOUBLE) AS printed_diameter_mm FROM {{catalogue}} AS c LEFT JOIN ({_ALSQL}) a ON coalesce(nullif(ltrim(c.product_code, '0'), ''), '0') = a.code LEFT JOIN ({_PDF}) p ON c.row_ord = p.row_ord".replace("{catalogue} AS c", "(SELECT * FROM {catalogue}) AS c"))(
     lambda s: C.build_catalogue(s.catalogue, s.sql(_ALIAS), s.sql(_PDF), blocked=["x"]).select("product_code", "aliases", F.coalesce("alias_type", F.lit("")).alias("alias_type"), "printed_diameter_mm"))
 query("j16_check_aliases", f"""SELECT consistent, count(*) AS n FROM (SELECT CASE WHEN c.code IS NULL THEN 'fora_catalogo' WHEN a.t = c.t OR c.t = '' THEN 'sim' ELSE 'nao' END AS consistent
   FROM (SELECT DISTINCT ON (product_code, upper(alias || ' ' || type), source) ltrim(CAST(CAST(product_code AS BIGINT) * 2 AS VARCHAR), '0') AS code, CASE WHEN upper(type) = 'TE' THEN 'TE' ELSE 'TUBO' END AS t FROM ({_ALIAS})) a
