@@ -43,7 +43,7 @@ def match_corrections(texts, corrections, floor=0.85):
     """The most similar learned wording at or above the floor; word order does not matter."""
     i = texts.select("description", D.sort_words(F.upper(F.trim("description"))).alias("a"))
     c = corrections.withColumn("b", D.sort_words(F.upper(F.trim("description")))).filter("b <> ''")
-    p = near_pairs(i.select("a"), c.select("b"), floor).withColumn("score", D.indel_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= floor)
+    p = near_pairs(i.select("a"), c.select("b"), floor).withColumnRenamed("ratio", "score").filter(F.col("score") >= floor)
     best = p.join(c.select("b", "product_code", F.col("product_description").alias("_d"), "row_ord"), "b").groupBy("a").agg(
         F.min_by(F.struct("product_code", "_d", "score"), F.struct((-F.col("score")).alias("s"), "row_ord")).alias("_c"))
     return i.join(best, "a").select("description", F.col("_c.product_code").alias("product_code"), F.col("_c._d").alias("matched_description"), F.round("_c.score", 2).alias("score"))

@@ -1,31 +1,68 @@
-"""Exact candidate pairs for thresholded text similarity, without comparing all with all."""
+"""Exact thresholded text similarity without forming all pairs."""
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.scores import indel_ratio
+from ..functions.scores import lcs_lengths
+
+SLICE = 20_000  # distinct texts of one side that meet in one task
+
+
+def _histogram(texts):
+    out = np.zeros((len(texts), 64), dtype=np.int16)
+    for i, t in enumerate(texts):
+        cp = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % 64
+        out[i] = np.bincount(cp, minlength=64)
+    return out
+
+
+def _meet(a, b, floor):
+    """Pairs of one block whose insert/delete ratio reaches ``floor``.
+
+    Shared characters bound the common subsequence from above, so the sequence
+    itself is computed only for pairs that survive that bound.
+    """
+    empty = pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "ratio": pd.Series(dtype=float)})
+    if not len(a) or not len(b):
+        return empty
+    ta, tb = a["a"].tolist(), b["b"].tolist()
+    ha, hb = _histogram(ta), _histogram(tb)
+    la, lb = ha.sum(axis=1), hb.sum(axis=1)
+    left, right = [], []
+    for j in range(len(tb)):
+        total = la + lb[j]
+        close = np.flatnonzero(2 * np.minimum(la, lb[j]) >= floor * total - 1e-9)
+        if len(close):
+            shared = np.minimum(ha[close], hb[j]).sum(axis=1)
+            hit = close[2 * shared >= floor * total[close] - 1e-9]
+            left.extend(ta[i] for i in hit)
+            right.extend([tb[j]] * len(hit))
+    if not left:
+        return empty
+    lcs = lcs_lengths(left, right)
+    n = np.fromiter((len(x) + len(y) for x, y in zip(left, right)), dtype=np.float64, count=len(left))
+    ratio = 2.0 * lcs / n
+    keep = ratio >= floor - 1e-9
+    return pd.DataFrame({"a": np.array(left, dtype=object)[keep], "b": np.array(right, dtype=object)[keep], "ratio": ratio[keep]})
 
 
 def near_pairs(left, right, floor):
-    """Distinct pairs (a, b) that can reach an insert/delete ratio of ``floor``.
-
-    A ratio of at least ``floor`` bounds the insert/delete distance of two texts
-    of lengths m and n by d = (1 - floor) * (m + n).  Cut ``b`` into d + 1 pieces:
-    d edits spoil at most d of them, so one piece stays whole in ``a``, at most d
-    places away.  Joining on that piece and its length loses no pair.  A
-    matching-blocks ratio never exceeds the insert/delete ratio, so the same
-    bound serves both.
+    """Distinct pairs (a, b) with an insert/delete ratio of at least ``floor``.
+
+    Texts meet only texts of a length that can reach the floor: the length class
+    is the join key, and each class is cut into slices of bounded size on both
+    sides.  Only pairs at or above the floor leave a task.  A matching-blocks
+    ratio never exceeds the insert/delete ratio, so the result also holds every
+    pair that reaches the floor by that measure.
     """
-    grow = (2.0 - floor) / floor  # longest partner of a text, relative to its length
-    b = right.select("b").filter("length(b) > 0").distinct().withColumn("lb", F.length("b"))
-    b = b.withColumn("k", (F.floor((1.0 - floor) * (1.0 + grow) * F.col("lb")) + 1).cast("int")) \
-        .withColumn("w", F.greatest(F.lit(1), F.floor(F.col("lb") / F.col("k"))).cast("int")) \
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.col("lb")) - 1))) \
-        .select("b", "lb", "w", F.substring("b", F.col("i") * F.col("w") + 1, F.col("w")).alias("piece"), (F.col("i") * F.col("w") + 1).alias("pb"))
-    widths = b.select("w").distinct()
-    a = left.select("a").filter("length(a) > 0").distinct().withColumn("la", F.length("a"))
-    a = a.join(F.broadcast(widths), F.col("la") >= F.col("w")) \
-        .withColumn("pa", F.explode(F.sequence(F.lit(1), F.col("la") - F.col("w") + 1))) \
-        .select("a", "la", "w", "pa", F.substring("a", F.col("pa"), F.col("w")).alias("piece"))
-    d = (1.0 - floor) * (F.col("la") + F.col("lb"))
-    near = (F.abs(F.col("pa") - F.col("pb")) <= d) & (F.abs(F.col("la") - F.col("lb")) <= d)
-    found = a.join(b, ["w", "piece"]).filter(near).select("a", "b").distinct()
-    return found.filter(indel_ratio(F.col("a"), F.col("b")) >= floor - 1e-9)
+    step = float(np.log((2.0 - floor) / floor))
+    a = left.select("a").filter("length(a) > 0").distinct().withColumn("c", F.floor(F.log(F.length("a").cast("double")) / step).cast("int"))
+    b = right.select("b").filter("length(b) > 0").distinct().withColumn("c", F.floor(F.log(F.length("b").cast("double")) / step).cast("int"))
+    n = b.agg(F.count("*").alias("n")).first()["n"] // SLICE + 1
+    m = a.agg(F.count("*").alias("n")).first()["n"] // SLICE + 1
+    m = max(m, 8)
+    a = a.withColumn("s", F.pmod(F.xxhash64("a"), F.lit(m))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    b = b.withColumn("t", F.pmod(F.xxhash64("b"), F.lit(n))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>"))) \
+        .withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    return a.groupBy("c", "s", "t").cogroup(b.groupBy("c", "s", "t")).applyInPandas(
+        lambda x, y: _meet(x, y, floor), "a string, b string, ratio double")

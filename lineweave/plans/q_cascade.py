@@ -60,10 +60,10 @@ query("j12_identify_client", f"""WITH d AS ({_IDD}), i AS ({_IDS}) SELECT doc_id
     lambda s: X.identify_client(s.sql(_IDD), s.sql(_IDS)))
 query("f14_codes_reliable", "SELECT l_orderkey AS doc_id, bool_and(l_tax > 0) AS codes_reliable FROM {lineitem} GROUP BY 1")(
     lambda s: X.codes_reliable(s.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_ord"), F.when(F.col("l_tax") > 0, F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).otherwise("").alias("client_code"))))
-_RAT = "SELECT CAST(l_suppkey AS STRING) AS doc_id, CAST(l_partkey % 100 + 50 AS DOUBLE) / 100 AS ratio FROM {lineitem}"
+_RAT = "SELECT CAST(l_orderkey AS STRING) AS doc_id, CASE WHEN l_linenumber < 4 THEN CAST(900 + l_partkey % 7 AS DOUBLE) / 1000 ELSE CAST(l_partkey % 100 + 50 AS DOUBLE) / 100 END AS ratio FROM {lineitem}"
 query("a8_price_factor", f"""WITH r AS ({_RAT}), u AS (SELECT doc_id, ratio, count(*) AS c FROM r GROUP BY 1, 2), g AS (SELECT a.doc_id, a.ratio, sum(b.c) AS size FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.ratio BETWEEN a.ratio / 1.015 AND a.ratio * 1.015 GROUP BY 1, 2),
   b AS (SELECT doc_id, arg_min(struct_pack(r := ratio, s := size), struct_pack(s := -size, r := ratio)) AS m FROM g GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS total FROM r GROUP BY 1)
-  SELECT b.doc_id, (list_sort((SELECT list(r.ratio) FROM r WHERE r.doc_id = b.doc_id AND r.ratio BETWEEN m.r / 1.015 AND m.r * 1.015)))[CAST(m.s // 2 AS BIGINT) + 1] AS factor FROM b JOIN t USING (doc_id) WHERE m.s >= greatest(2, floor(0.3 * total))""".replace("% 100 + 50", "% 100 + 50"))(
+  SELECT b.doc_id, (list_sort((SELECT list(r.ratio) FROM r WHERE r.doc_id = b.doc_id AND r.ratio BETWEEN m.r / 1.015 AND m.r * 1.015)))[CAST(m.s // 2 AS BIGINT) + 1] AS factor FROM b JOIN t USING (doc_id) WHERE m.s >= greatest(2, floor(0.3 * total))""")(
     lambda s: X.price_factor(s.sql(_RAT)))
 
 
