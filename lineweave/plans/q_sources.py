@@ -78,8 +78,10 @@ query("s10_read_shadow_log", "SELECT event_type AS descricao_oc, value > 10 AS c
 
 def json_array_round_trip(s):
     path = folder(s) + "/arr"
-    s.part.groupBy("p_type").agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).alias("value")).select("value").write.text(path)
-    return readers.read_json_array(s.spark, path, "p_partkey long, p_name string")
+    # one array per brand, one file each
+    arrays = s.part.groupBy("p_brand").agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).alias("value"))
+    arrays.write.partitionBy("p_brand").text(path)
+    return readers.read_json_array(s.spark, path, "p_partkey long, p_name string").select("p_partkey", "p_name")
 
 
 query("s11_read_json_array", "SELECT p_partkey, p_name FROM {part}")(json_array_round_trip)
