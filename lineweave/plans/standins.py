@@ -121,4 +121,21 @@ SELECT CAST(l_orderkey AS STRING) AS process_id, (CAST(l_linenumber AS BIGINT) *
        CASE WHEN l_discount < 0.02 THEN '' ELSE CAST(l_partkey AS STRING) END AS product_code,
        'TUBO SOLDAVEL PVC ' || CAST(20 + l_partkey % 50 AS STRING) || 'MM LOTE ' || CAST(l_partkey AS STRING) AS description,
        l_quantity + CASE WHEN l_tax > 0.06 THEN 1 ELSE 0 END AS qty, CAST(l_partkey % 89 + 2 AS DOUBLE) AS price FROM {lineitem}""",
+    # the text of order documents in three layouts: header, one line per item, one line below it
+    "order_lines": """
+SELECT CAST(o AS STRING) AS doc_id, 1 AS page, CAST(n * 2 AS INTEGER) AS line_no, CASE k
+         WHEN 0 THEN CAST(n AS STRING) || ' TUBO PVC SOLDAVEL ' || CAST(pk AS STRING) || 'MM UN ' || CAST(q AS STRING) || ',000000 ' || price || ' ' || total
+         WHEN 1 THEN '000' || CAST(n AS STRING) || ' ' || CAST(1100000 + pk AS STRING) || ' 3917.40.90 ' || CAST(q AS STRING) || ' UN 0,00% ' || price || ' ' || total
+         ELSE CAST(n AS STRING) || '. TUBO SOLDAVEL BRANCO ' || CAST(pk AS STRING) || ' UN ' || CAST(q AS STRING) END AS text
+FROM {order_numbers}
+UNION ALL
+SELECT CAST(o AS STRING), 1, CAST(n * 2 + 1 AS INTEGER), CASE k WHEN 0 THEN CASE WHEN q > 40 THEN 'Total geral' ELSE '00' END
+         WHEN 1 THEN 'DESCRIÇÃO DETALHADA DO PRODUTO TUBO ' || CAST(pk AS STRING) ELSE 'observacao livre do pedido' END FROM {order_numbers}
+UNION ALL
+SELECT CAST(o_orderkey AS STRING), 1, 1, CASE o_orderkey % 3 WHEN 0 THEN 'ITEM DESCRICAO' WHEN 1 THEN 'ITEM NCM QUANTIDADE' ELSE 'Lista' END FROM {orders}""",
+    "order_numbers": """
+SELECT l_orderkey AS o, l_orderkey % 3 AS k, l_partkey AS pk, CAST(l_quantity AS INTEGER) AS q, l_quantity AS qty,
+       replace(CAST(CAST(l_extendedprice / l_quantity + 0.00003 AS DECIMAL(12,2)) AS STRING), '.', ',') AS price,
+       replace(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING), '.', ',') AS total, CAST(l_extendedprice AS DECIMAL(12,2)) AS total_value,
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity) AS n FROM {lineitem}""",
 }
