@@ -1,10 +1,10 @@
 """Priority cascade over all match stages."""
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import features as P
 from ..functions import scores as D
 from ..functions import text as T
+from ..session import cut_lineage
 from . import catalogue as C
 from . import linkage as L
 from .quantity import adjust_quantity
@@ -77,14 +77,14 @@ def apply_verdicts(items, verdicts, cat):
     return result(j, ["description"], True, F.col("verdict_code"), F.col("_cd"), F.col("score"), "MATCH_IA", F.col("justification"), True)
 
 
-def match_items(items, raw_catalogue, code_map=None, corrections=None, text_map=None, cut=lambda d: d):
+def match_items(items, raw_catalogue, code_map=None, corrections=None, text_map=None):
     """First stage that answers wins.
 
     Exact code stages run on the lines and are joins; everything that reads a
     description runs once per distinct wording of the lines left over.
     """
     key = ["line_key"]
-    cat = cut(C.catalogue_features(C.build_catalogue(raw_catalogue)))
+    cat = C.catalogue_features(C.build_catalogue(raw_catalogue))
     side = L.candidate_side(cat)
     stages = [match_direct(items, cat, key)]
     if code_map is not None:
@@ -95,14 +95,14 @@ def match_items(items, raw_catalogue, code_map=None, corrections=None, text_map=
     exact = tagged[0]
     for s in tagged[1:]:
         exact = exact.unionByName(s)
-    exact = cut(exact.groupBy(*key).agg(F.min_by(F.struct(*RESULT), "_p").alias("_r")).select(*key, "_r.*"))
+    exact = cut_lineage(exact.groupBy(*key).agg(F.min_by(F.struct(*RESULT), "_p").alias("_r")).select(*key, "_r.*"))
     rest = items.join(exact.select(*key), key, "left_anti")
     texts = rest.select("description").distinct()
-    by_text = match_texts(texts, side, corrections, cut)
+    by_text = match_texts(texts, side, corrections)
     return exact.unionByName(rest.select(*key, "description").join(by_text, "description").select(*key, *RESULT)), cat
 
 
-def match_texts(texts, side, corrections=None, cut=lambda d: d):
+def match_texts(texts, side, corrections=None):
     """Description half of the cascade: corrections, rules, description, fallback, no match."""
     none = F.lit(None).cast("string")
     done = []
@@ -111,8 +111,8 @@ def match_texts(texts, side, corrections=None, cut=lambda d: d):
         done.append(result(c, ["description"], True, F.col("product_code"), F.col("matched_description"), F.col("score"), "MATCH_CORRECAO_APRENDIDA", F.concat(
             F.lit("CORRECAO_HUMANA_APRENDIDA(sim="), F.format_string("%.1f", F.col("score") * 100), F.lit("%)"))))
     done.append(L.match_rules(texts, side).select("description", *RESULT))
-    feats = cut(L.item_features(texts))
-    desc = cut(L.match_description(feats, side))
+    feats = L.item_features(texts)
+    desc = cut_lineage(L.match_description(feats, side))
     done.append(desc.filter("matched or blocks_fallback").select("description", *RESULT))
     blocked = F.col("category").isNotNull() | F.col("subcategory").isNotNull() | F.col("angle").isNotNull()
     alone = feats.filter(blocked).join(desc.select("description"), "description", "left_anti")
@@ -126,9 +126,9 @@ def match_texts(texts, side, corrections=None, cut=lambda d: d):
     return u.groupBy("description").agg(F.min_by(F.struct(*RESULT), "_p").alias("_r")).select("description", "_r.*")
 
 
-def match_batch(items, raw_catalogue, cut=lambda d: d, **sides):
+def match_batch(items, raw_catalogue, **sides):
     """Cascade, then the quantity rule on each line."""
-    matched, cat = match_items(items, raw_catalogue, cut=cut, **sides)
+    matched, cat = match_items(items, raw_catalogue, **sides)
     joined = items.join(matched, "line_key")
     # direct, text-map and learned matches carry no bar length, as in the rules they follow
     meta = C.lookup_by_code(joined, cat.withColumnRenamed("is_tube", "_tube"), "product_code", ["_tube", "bar_length_m", "sale_unit"])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions import features as P
 from ..functions import rules as R
 from ..functions import text as T
+from ..session import cut_lineage
 from .common import first_per_key, last_per_key
 
 
@@ -79,6 +80,7 @@ def complete_diameters(cat):
 
 def catalogue_features(cat):
     """Every attribute a candidate is compared on, once per product row."""
+    cat = cut_lineage(cat)
     cat = cat.withColumn("c_text", T.norm_text(F.col("description"))) \
         .withColumn("c_all", T.norm_text(F.concat_ws(" ", "description", "norm_description", "aliases"))) \
         .withColumn("c_board_text", T.norm_text(F.concat_ws(" ", "description", "aliases"))) \
@@ -93,7 +95,7 @@ def catalogue_features(cat):
     cat = cat.withColumn("c_diameters", F.when(cc.isin(*R.ELBOWS), F.filter("c_diameters", lambda d: ~d.isin(45.0, 90.0, 180.0))).otherwise(F.col("c_diameters")))
     t, up = F.col("c_text"), F.col("c_upper")
     text_cat = F.coalesce("c_text_category", F.nullif(F.upper(F.trim("category")), F.lit("")))
-    return cat.select(
+    return cut_lineage(cat.select(
         "*", P.line_of(t).alias("c_line"), P.series_of(F.col("c_all")).alias("c_series"), P.angle_of(F.col("c_all"), cc).alias("c_angle"),
         P.short_long_of(t).alias("c_short_long"), P.board_size_of(F.col("c_board_text")).alias("c_board"), P.busbar_of(F.col("c_board_text")).alias("c_busbar"),
         up.rlike(r"\bPY\b").alias("c_py"), t.rlike(r"ELETROD|ELETR\.?\s*CORRUGAD|CORRUGAD").alias("c_electric"), t.contains("ESFERA").alias("c_sphere"),
@@ -103,7 +105,7 @@ def catalogue_features(cat):
         P.diameters_of(t, text_cat).alias("x_diameters"), P.board_size_of(t).alias("x_board"), P.busbar_of(t).alias("x_busbar"),
         F.coalesce(F.nullif("diameter_final_mm", F.lit(0.0)), F.nullif("diameter_mm", F.lit(0.0))).alias("c_diameter_mm"),
         conflict_materials(F.col("description"), catalogue_side=True).alias("x_materials"),
-        P.ptype(F.col("description")).alias("c_ptype"))
+        P.ptype(F.col("description")).alias("c_ptype")))
 
 
 def conflict_materials(c, catalogue_side=False):

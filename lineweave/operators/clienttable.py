@@ -35,7 +35,9 @@ def identify_client(docs, ids):
         .withColumn("g", F.substring("v", 1, 4)).withColumn("tier", F.when(F.col("kind") == "cnpj", 1).when(F.col("kind") == "domain", 2).otherwise(3))
     hay = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hay")) for k in ("cnpj", "domain", "term")])).alias("h")).select("doc_id", "h.*").filter("length(hay) >= 4")
     grams = hay.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hay") - 3), lambda p: F.substring(F.col("hay"), p, F.lit(4))))))
-    keyed = grams.join(i.select("kind", "g", "v", "client", "tier"), ["kind", "g"]).filter(F.expr("contains(hay, v)"))
+    # only the grams travel; the text joins again for the few pairs that share one
+    maybe = grams.select("doc_id", "kind", "g").join(i.select("kind", "g", "v", "client", "tier"), ["kind", "g"]).drop("g")
+    keyed = maybe.join(hay, ["doc_id", "kind"]).filter(F.expr("contains(hay, v)"))
     return keyed.groupBy("doc_id").agg(F.min_by("client", F.struct("tier", "client")).alias("client"))
 
 
@@ -118,7 +120,7 @@ def best_of_pairs(pairs):
 
 def first_without_conflict(pairs, attempts=4):
     """Rerun the whole match on the pool minus the loser, at most four times."""
-    left, done = pairs, None
+    left, done = cut_lineage(pairs), None
     for n in range(attempts):
         b = cut_lineage(best_of_pairs(left))
         good = b.filter("ok and not conflict")
@@ -165,7 +167,6 @@ def match_price_table(items, pairs):
 
     ``items``: item_key, description, price, factor; ``pairs`` from ``restricted_pairs``.
     """
-    pairs = cut_lineage(pairs)
     pick = lambda d, n: d.select("item_key", *[F.col(c).alias(n + c) for c in ("row_ord", "product_code", "c_description", "table_price", "score", "review")])
     cur = items.select("item_key", "description", "price", "factor").join(pick(first_without_conflict(pairs), ""), "item_key")
     verdict = D.price_verdict(F.col("price") / F.col("table_price").cast("double"), F.col("factor"))

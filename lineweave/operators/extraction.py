@@ -308,7 +308,9 @@ def canonical_items(df):
 
 def known_layout(docs, formats):
     """Saved identifiers of four or more characters found in the text; the first format on the list wins."""
-    up = F.upper("text")
     f = formats.filter("length(identifier) >= 4").withColumn("ident", F.upper("identifier")).withColumn("g", F.substring("ident", 1, 4))
-    d = docs.select("doc_id", up.alias("u")).filter("length(u) >= 4").withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("u") - 3), lambda i: F.substring(F.col("u"), i, F.lit(4))))))
-    return d.join(f, "g").filter(F.expr("contains(u, ident)")).groupBy("doc_id").agg(F.min_by("format", "ordinal").alias("format"))
+    d = docs.select("doc_id", F.upper("text").alias("u")).filter("length(u) >= 4")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("u") - 3), lambda i: F.substring(F.col("u"), i, F.lit(4))))
+    # only the grams travel; the text joins again for the few pairs that share one
+    maybe = d.select("doc_id", F.explode(grams).alias("g")).join(f, "g").select("doc_id", "ident", "format", "ordinal")
+    return maybe.join(d, "doc_id").filter(F.expr("contains(u, ident)")).groupBy("doc_id").agg(F.min_by("format", "ordinal").alias("format"))

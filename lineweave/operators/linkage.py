@@ -15,8 +15,9 @@ from ..functions import features as P
 from ..functions import rules as R
 from ..functions import scores as D
 from ..functions import text as T
-from .catalogue import META, catalogue_features, conflict_materials
-from .common import maybe_broadcast, soft_rank
+from ..session import cut_lineage
+from .catalogue import conflict_materials
+from .common import soft_rank
 
 I_PROFILE = ["category", "diameters", "material", "subcategory", "angle", "line", "board", "busbar", "short_long",
              "sliding", "reduction", "wants_py", "wants_electric", "sphere"]
@@ -41,7 +42,7 @@ def item_features(texts, column="description"):
         P.diameters_of(r, F.col("r_category")).alias("r_diameters"), P.board_size_of(r).alias("r_board"), P.busbar_of(r).alias("r_busbar"),
         r.contains("ESFERA").alias("r_sphere"))
     t = t.withColumn("anchors", P.anchors(F.col("category"), F.col("diameters"), F.col("subcategory"), F.col("angle")))
-    return t.withColumn("profile", _key(I_PROFILE))
+    return cut_lineage(t.withColumn("profile", _key(I_PROFILE)))
 
 
 def _key(cols):
@@ -146,8 +147,7 @@ def profile_pairs(items, cat, scope=()):
 def candidates(items, cat, scope=()):
     """Item texts against surviving products: one row per (text, product)."""
     pp = profile_pairs(items, cat, scope)
-    flagged = pp.withColumn("any_structural", F.max("structural").over(W.partitionBy(*scope, "profile")))
-    return items.join(flagged, [*scope, "profile"]).join(cat.drop("c_category_dup"), [*scope, "c_profile"])
+    return items.join(pp, [*scope, "profile"]).join(cat, [*scope, "c_profile"])
 
 
 def score_pairs(pairs):
@@ -188,7 +188,7 @@ def shortlist(pairs, item, k=15, score="score"):
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hard_conflict(x="x_", cat_col="x_category"):
+def hard_conflict(cat_col="x_category"):
     """the product contradicts family, line, series, angle, measure or material of the order text."""
     def both(a, b, test):
         return F.coalesce(a.isNotNull() & b.isNotNull() & test, F.lit(False))
@@ -222,20 +222,18 @@ C_COLS = ["row_ord", "product_code", "description as c_description", "c_profile"
 
 def candidate_side(cat, extra=()):
     """The candidate columns of a featured catalogue, under names the order side does not use."""
-    return with_profile(cat).selectExpr(*C_COLS, *extra)
+    return cut_lineage(with_profile(cat).selectExpr(*C_COLS, *extra))
 
 
-def match_description(items, cat, key=("description",), pool_is_table=False, scope=()):
+def match_description(items, cat, key=("description",), scope=()):
     """M6 + M7: best product of each order text, score floor, near tie, conflict gate.
 
-    ``items`` come from ``item_features``; one row per key.  ``pool_is_table``
-    keeps every product of a client's own table when none is structural.
+    ``items`` come from ``item_features``; one row per key.
     """
     key = [*scope, *key]
     pp = profile_pairs(items, cat, scope)
-    pp = pp.withColumn("_any", F.max("structural").over(W.partitionBy(*scope, "profile")))
     good = pp.filter("structural").select(*scope, "profile", "c_profile")
-    pairs = items.join(good, [*scope, "profile"]).join(cat.drop(*[c for c in C_PROFILE if c in items.columns]), [*scope, "c_profile"])
+    pairs = items.join(good, [*scope, "profile"]).join(cat, [*scope, "c_profile"])
     scored = score_pairs(pairs)
     best = best_candidate(scored, key)
     tops = top_candidates(scored, key)
@@ -271,7 +269,7 @@ def no_structural(items, cat, limit=80, scope=(), key=("description",)):
     prof = pp.select(*scope, "profile", "c_profile").join(cat.select(*scope, "c_profile", "row_ord"), [*scope, "c_profile"])
     first = prof.withColumn("_rn", F.row_number().over(W.partitionBy(*scope, "profile").orderBy("row_ord"))).filter(F.col("_rn") <= limit) \
         .select(*scope, "profile", "row_ord")
-    pairs = items.join(first, [*scope, "profile"]).join(cat.drop(*[c for c in C_PROFILE if c in items.columns]), [*scope, "row_ord"])
+    pairs = items.join(first, [*scope, "profile"]).join(cat, [*scope, "row_ord"])
     return top_candidates(score_pairs(pairs).withColumn("score", F.col("text_score")), key)
 
 

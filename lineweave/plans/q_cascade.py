@@ -7,7 +7,6 @@ from ..operators import cascade as K
 from ..operators import catalogue as C
 from ..operators import clienttable as X
 from ..operators import linkage as L
-from ..session import cut_lineage
 from .q_linkage import featured, texts
 from .registry import query
 
@@ -39,12 +38,12 @@ def corrections(s):
 
 query("j14_match_corrections")(lambda s: K.match_corrections(texts(s), corrections(s)))
 query("m5_match_correction")(lambda s: K.match_corrections(texts(s), corrections(s)).groupBy("score").agg(F.count("*").alias("texts")))
-query("m10_match_fallback")(lambda s: K.match_fallback(cut_lineage(L.item_features(s.sql("SELECT DISTINCT p_name || ' ' || CAST(p_size AS STRING) || 'MM' AS description FROM {part}"))), L.candidate_side(featured(s))))
+query("m10_match_fallback")(lambda s: K.match_fallback(L.item_features(s.sql("SELECT DISTINCT p_name || ' ' || CAST(p_size AS STRING) || 'MM' AS description FROM {part}")), L.candidate_side(featured(s))))
 query("m11_apply_verdicts", "SELECT description, product_code FROM (SELECT DISTINCT description FROM {items}) JOIN (SELECT description AS d, '0' || CAST(max(row_ord) AS VARCHAR) AS product_code FROM {catalogue} GROUP BY 1) ON description = d WHERE product_code NOT IN ('0784', '01758', '01759', '01761')")(
     lambda s: K.apply_verdicts(texts(s).select("description"), s.catalogue.groupBy("description").agg(F.concat(F.lit("0"), F.max("row_ord").cast("string")).alias("verdict_code"))
         .select("description", "verdict_code", F.lit("alta").alias("confidence"), F.lit("x").alias("justification"), F.lit(0.5).alias("score")), cat_min(s)).select("description", "product_code"))
-query("m12_match_items")(lambda s: K.match_items(lines(s), s.catalogue, s.code_map, corrections(s), cut=cut_lineage)[0].groupBy("match_type", "matched", "manual_review").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score")))
-query("m13_match_batch")(lambda s: K.match_batch(lines(s), s.catalogue, cut=cut_lineage, code_map=s.code_map).groupBy("match_type", "quantity_kind").agg(F.count("*").alias("n"), F.sum("adjusted_qty").alias("qty")))
+query("m12_match_items")(lambda s: K.match_items(lines(s), s.catalogue, s.code_map, corrections(s))[0].groupBy("match_type", "matched", "manual_review").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score")))
+query("m13_match_batch")(lambda s: K.match_batch(lines(s), s.catalogue, code_map=s.code_map).groupBy("match_type", "quantity_kind").agg(F.count("*").alias("n"), F.sum("adjusted_qty").alias("qty")))
 query("m16_shadow_compare", """SELECT agree, count(*) AS n FROM (SELECT p_name AS k, CASE WHEN p_size > 25 THEN p_brand ELSE '' END = CASE WHEN p_size > 10 THEN p_brand ELSE '' END AND p_size > 25 AS agree FROM {part}) GROUP BY 1""")(
     lambda s: K.shadow_compare(s.part.select("p_partkey", F.lit("MATCH_DESCRICAO").alias("match_type"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("product_code"), F.lit(1.0).alias("score")),
                                s.part.select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("product_code"), F.lit(1.0).alias("score")), "p_partkey").groupBy("agree").agg(F.count("*").alias("n")))
@@ -77,16 +76,16 @@ def client_lines(s):
 def table_side(s):
     index = C.price_index(X.latest_table(s.price_table), C.build_catalogue(s.catalogue))
     feat = C.catalogue_features(index.withColumn("c_material", P.material(F.col("description"))).withColumn("c_reduction", P.plain_reduction(F.col("description"))).withColumn("c_numbers", P.numbers(F.col("description"))))
-    return cut_lineage(L.candidate_side(feat, ["client", "table_price", "c_material", "c_reduction", "c_numbers", "index_code"]))
+    return (L.candidate_side(feat, ["client", "table_price", "c_material", "c_reduction", "c_numbers", "index_code"]))
 
 
 def table_pairs(s):
     w = client_lines(s).groupBy("client", "description").agg(F.count("*").alias("n")).withColumn("item_key", F.md5(F.concat_ws("|", "client", "description")))
-    return X.restricted_pairs(cut_lineage(L.item_features(w)), table_side(s))
+    return X.restricted_pairs(L.item_features(w), table_side(s))
 
 
 query("f10_restrict_price_table")(lambda s: table_pairs(s).groupBy("client", "ptype").agg(F.count("*").alias("pairs"), F.countDistinct("item_key").alias("items")))
-query("w5_first_without_conflict")(lambda s: X.first_without_conflict(cut_lineage(table_pairs(s))).select("item_key", "product_code", "score", "conflict"))
+query("w5_first_without_conflict")(lambda s: X.first_without_conflict(table_pairs(s)).select("item_key", "product_code", "score", "conflict"))
 
 
 def priced_items(s):

@@ -6,14 +6,13 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import catalogue as C
 from ..operators import linkage as L
-from ..session import cut_lineage
 from . import sqlkit as S
 from .q_text import _DIAMS, LINE_SQL
 from .registry import query
 
 
 def featured(s):
-    return cut_lineage(C.catalogue_features(C.build_catalogue(s.catalogue)))
+    return C.catalogue_features(C.build_catalogue(s.catalogue))
 
 
 def texts(s):
@@ -22,7 +21,7 @@ def texts(s):
 
 
 def item_side(s):
-    return cut_lineage(L.item_features(texts(s)))
+    return L.item_features(texts(s))
 
 
 _ND = S.squash(S.rx(S.rx("replace(" + S.rx(S.squash(S.rx(S.rx(S.fold("upper(strip_accents(description))", R.ACRONYMS), "[;/|]+", " "), "-+", " - ")),
