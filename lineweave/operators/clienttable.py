@@ -101,26 +101,34 @@ def restricted_pairs(items, table):
     return p.filter((F.size("asked_measures") == 0) | L.subset(F.col("asked_measures"), F.col("c_numbers")))
 
 
-def best_of_pairs(pairs):
-    """M6 on ready pairs: soft filters, structural products (else the whole pool), scores, best with its second."""
-    w = W.partitionBy("item_key")
-    p = pairs.withColumn("_rank", soft_rank(L.filter_tests())).withColumn("structural", L.is_structural())
+def judged_pairs(pairs):
+    """Everything about a pair that does not depend on the pool: filter rank, structure, score, conflict.
+
+    The retries and price stages then work on these few narrow columns only.
+    """
     hard = F.col("category").isNull() | (F.col("c_category") == F.col("category")) | (F.col("category").isin(*R.ELBOWS) & F.col("c_category").isin(*R.ELBOWS)) \
         | (F.col("category").isin("REDUCAO", "BUCHA") & F.col("c_category").isin("REDUCAO", "BUCHA"))
-    p = p.withColumn("_rank", F.when(hard, F.col("_rank")).otherwise(-1)).withColumn("_top", F.max("_rank").over(w))
-    p = p.withColumn("_good", (F.col("_rank") == F.col("_top")) & (F.col("_rank") >= 0) & F.col("structural")).withColumn("_anygood", F.max("_good").over(w))
-    s = L.score_pairs(p.filter(F.col("_good") | ~F.col("_anygood")))
-    b = L.best_candidate(s, ["item_key"])
-    floor = D.min_score(F.col("sole"), F.col("anchors"), F.col("n_tokens"), F.col("category"), F.col("diameters"))
+    p = L.score_pairs(pairs.withColumn("pool_rank", F.when(hard, soft_rank(L.filter_tests())).otherwise(-1)).withColumn("structural", L.is_structural()))
     same_type = F.coalesce(F.col("ptype") == P.ptype(F.col("c_description")), F.lit(True))
-    return b.withColumn("ok", F.col("score") >= floor).withColumn("conflict", L.hard_conflict() | ~same_type) \
-        .withColumn("review", L.near_tie() | F.coalesce(F.col("category") == "QUADRO", F.lit(False))) \
-        .select("item_key", "row_ord", "product_code", "c_description", "table_price", "score", "ok", "conflict", "review")
+    keep = ["item_key", "row_ord", "product_code", "c_description", "table_price", "pool_rank", "structural", "score", "anchors", "n_tokens", "category", "diameters"]
+    keep += [c for c in ("price", "factor") if c in pairs.columns]
+    return cut_lineage(p.select(*keep, (L.hard_conflict() | ~same_type).alias("conflict")))
+
+
+def best_of_pairs(pairs):
+    """M6 on judged pairs: survivors of the soft filters, structural products (else the whole pool), best with its second."""
+    w = W.partitionBy("item_key")
+    p = pairs.withColumn("_top", F.max("pool_rank").over(w))
+    p = p.withColumn("_good", (F.col("pool_rank") == F.col("_top")) & (F.col("pool_rank") >= 0) & F.col("structural")).withColumn("_anygood", F.max("_good").over(w))
+    b = L.best_candidate(p.filter(F.col("_good") | ~F.col("_anygood")), ["item_key"])
+    floor = D.min_score(F.col("sole"), F.col("anchors"), F.col("n_tokens"), F.col("category"), F.col("diameters"))
+    return b.select("item_key", "row_ord", "product_code", "c_description", "table_price", "score", (F.col("score") >= floor).alias("ok"), "conflict",
+                    (L.near_tie() | F.coalesce(F.col("category") == "QUADRO", F.lit(False))).alias("review"))
 
 
 def first_without_conflict(pairs, attempts=4):
-    """Rerun the whole match on the pool minus the loser, at most four times."""
-    left, done = cut_lineage(pairs), None
+    """Rerun the whole match on the pool minus the loser, at most four times.  ``pairs`` are judged pairs."""
+    left, done = pairs, None
     for n in range(attempts):
         b = cut_lineage(best_of_pairs(left))
         good = b.filter("ok and not conflict")
@@ -165,8 +173,9 @@ def same_product(a, b):
 def match_price_table(items, pairs):
     """M4: description within the client's products; the price only confirms or breaks ties.
 
-    ``items``: item_key, description, price, factor; ``pairs`` from ``restricted_pairs``.
+    ``items``: item_key, description, price, factor; ``pairs`` from ``restricted_pairs``, with price and factor.
     """
+    pairs = judged_pairs(pairs)
     pick = lambda d, n: d.select("item_key", *[F.col(c).alias(n + c) for c in ("row_ord", "product_code", "c_description", "table_price", "score", "review")])
     cur = items.select("item_key", "description", "price", "factor").join(pick(first_without_conflict(pairs), ""), "item_key")
     verdict = D.price_verdict(F.col("price") / F.col("table_price").cast("double"), F.col("factor"))

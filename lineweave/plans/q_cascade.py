@@ -85,7 +85,7 @@ def table_pairs(s):
 
 
 query("f10_restrict_price_table")(lambda s: table_pairs(s).groupBy("client", "ptype").agg(F.count("*").alias("pairs"), F.countDistinct("item_key").alias("items")))
-query("w5_first_without_conflict")(lambda s: X.first_without_conflict(table_pairs(s)).select("item_key", "product_code", "score", "conflict"))
+query("w5_first_without_conflict")(lambda s: X.first_without_conflict(X.judged_pairs(table_pairs(s))).select("item_key", "product_code", "score", "conflict"))
 
 
 def priced_items(s):
@@ -119,5 +119,12 @@ query("j9_join_client_code")(lambda s: X.join_client_code(coded_items(s), indexe
 query("j10_join_product_code", """SELECT count(*) AS n, count(DISTINCT index_code) AS codes FROM (SELECT DISTINCT p_type AS client, CAST(p_partkey AS VARCHAR) AS index_code FROM (SELECT items.part_ord FROM {items}) JOIN {part} ON part_ord = p_partkey WHERE p_size > 5)""")(
     lambda s: X.join_product_code(s.items.select(F.col("part_ord").cast("string").alias("client_code")).distinct().join(s.part.select(F.col("p_partkey").cast("string").alias("client_code"), F.col("p_type").alias("client"), F.col("p_name").alias("description")), "client_code")
                                   .withColumn("item_key", F.col("client_code")), indexed(s)).agg(F.count("*").alias("n"), F.countDistinct("index_code").alias("codes")))
-query("m14_compare_to_table")(lambda s: X.compare_to_table(coded_items(s).unionByName(priced_items(s).withColumn("client_code", F.lit("")).withColumn("n_lines", F.lit(1).cast("bigint")).select(*coded_items(s).columns)), indexed(s),
-      X.match_price_table(priced_items(s), table_pairs(s).join(priced_items(s).select("item_key", "price", "factor"), "item_key"))).groupBy("via", "status").agg(F.count("*").alias("n")))
+
+
+def compared(s):
+    coded, plain = coded_items(s), priced_items(s).withColumn("client_code", F.lit("")).withColumn("n_lines", F.lit(1).cast("bigint"))
+    described = X.match_price_table(priced_items(s), table_pairs(s).join(priced_items(s).select("item_key", "price", "factor"), "item_key"))
+    return X.compare_to_table(coded.unionByName(plain.select(*coded.columns)), indexed(s), described)
+
+
+query("m14_compare_to_table")(lambda s: compared(s).groupBy("via", "status").agg(F.count("*").alias("n")))
