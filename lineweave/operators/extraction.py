@@ -3,10 +3,13 @@
 Input is text already: ``doc_lines(doc_id, page, line_no, text)`` and
 ``doc_cells(doc_id, page, table_no, row_no, col_no, text)``.
 """
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rules import SUPPLIER
 from .common import first_per_key
 
 # Line patterns of the three purchase layouts.
@@ -314,3 +317,108 @@ def known_layout(docs, formats):
     # only the grams travel; the text joins again for the few pairs that share one
     maybe = d.select("doc_id", F.explode(grams).alias("g")).join(f, "g").select("doc_id", "ident", "format", "ordinal")
     return maybe.join(d, "doc_id").filter(F.expr("contains(u, ident)")).groupBy("doc_id").agg(F.min_by("format", "ordinal").alias("format"))
+
+
+def extract_two_line(lines):
+    """Item on one line, product code named on the next one."""
+    p = r"(?i)^(\d{4,6})\s+([\d.,]+)\s+(UN|M|MT|BR|PC|CX|KG|RL|UND)\s+(.+?)\s+(\d{4,6})\s+([\d.,]+)\s+[\d.,]+\s+[\d.,]+\s+[\d.,]+\s+([\d.,]+)$"
+    t = F.trim("text")
+    g = lambda n: F.regexp_extract(t, p, n)
+    d = next_line_code(lines).filter(t.rlike(p))
+    qty, price, total = (T.br_number(g(n), "dot") for n in (2, 6, 7))
+    d = d.select("doc_id", "page", "line_no", g(1).alias("client_code"), g(4).alias("description"), F.upper(g(3)).alias("unit"), qty.alias("qty"), price.alias("unit_price"), total.alias("total"),
+                 F.nullif(F.regexp_extract("next_text", rf"(?iu){SUPPLIER}\s+C[ÓO]D\.?\s*(\d+)", 1), F.lit("")).alias("product_code"))
+    again = F.round(F.col("total") / F.col("unit_price"), 4)
+    return d.withColumn("qty", F.when((F.coalesce("qty", F.lit(0.0)) == 0) & (F.col("unit_price") != 0) & (again > 0), again).otherwise(F.col("qty")))
+
+
+# Horizontal ranges of the positioned layout.
+X_RANGES = {"item_no": (0, 60), "client_code": (90, 140), "qty": (150, 200), "unit": (205, 225), "unit_price": (425, 470), "total": (535, 580)}
+
+
+def extract_by_position(words):
+    """Columns by horizontal range; the description lies within y-2..y+20 of the item."""
+    w = words.withColumn("y", F.round("y0", 1))
+    role = F.coalesce(*[F.when((F.col("x0") >= a) & (F.col("x0") < b), F.lit(k)) for k, (a, b) in X_RANGES.items()])
+    of = lambda r: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("x0", "text")))), lambda x: x["text"]), " ").alias(r)
+    rows = w.withColumn("role", role).filter("role is not null").groupBy("doc_id", "page", "y").agg(*[of(r) for r in X_RANGES])
+    items = rows.filter(F.col("item_no").rlike(r"^\d{3,6}$")).withColumn("qty", T.br_number(F.replace("qty", F.lit("R$"), F.lit("")), "comma")).filter("qty > 0")
+    band = 22.0
+    near = items.select("doc_id", "page", "y", F.explode(F.array_distinct(F.array(F.floor((F.col("y") - 2) / band), F.floor((F.col("y") + 20) / band)))).alias("b"))
+    text = w.filter((F.col("x0") >= 228) & (F.col("x0") < 420) & ~F.col("text").startswith("=>")).select("doc_id", "page", F.col("y").alias("y2"), "x0", "text", F.floor(F.col("y") / band).alias("b"))
+    desc = near.join(text, ["doc_id", "page", "b"]).filter("y2 >= y - 2 and y2 <= y + 20").groupBy("doc_id", "page", "y").agg(
+        T.squash(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y2", "x0", "text"))), lambda x: x["text"]), " ")).alias("description"))
+    return items.join(desc, ["doc_id", "page", "y"]).select(
+        "doc_id", "page", "y", "client_code", "description", "qty", F.coalesce(F.nullif("unit", F.lit("")), F.lit("UN")).alias("unit"),
+        T.br_number(F.replace("unit_price", F.lit("R$"), F.lit("")), "comma").alias("unit_price"), T.br_number(F.replace("total", F.lit("R$"), F.lit("")), "comma").alias("total"))
+
+
+CELL_UNITS = ("UN UND UNID PC PCS PÇ PÇS PCE M MT MTS MTR METRO M2 M² M3 M³ KG TON CX CAIXA RL ROLO BR BRAÇO LT L GL GALAO FD FDO FARD JG JGO JD JARRA PAR PR BCT SAC SC TUBO BAR").split()
+
+
+def extract_by_content(cells, unit_share=0.4, number_share=0.6):
+    """Tables without a header; what a column holds decides its role."""
+    k = ["doc_id", "page", "table_no"]
+    c = cells.withColumn("v", T.squash(T.text(F.col("text")))).filter("v <> ''")
+    unit = F.upper(F.regexp_replace("v", r"[.\s:]", "")).isin(CELL_UNITS)
+    number = F.col("v").rlike(r"^\d{1,3}(?:\.\d{3})*(?:,\d{1,2})?$|^\d+(?:\.\d+)?$")
+    letters = F.length(F.regexp_replace("v", r"[^\p{L}]", ""))
+    long_ = (F.length("v") >= 8) & (letters >= 5)
+    s = c.groupBy(*k, "col_no").agg(F.avg(unit.cast("int")).alias("u"), F.avg(number.cast("int")).alias("n"), F.avg(F.when(long_, F.length("v"))).alias("d"),
+                                    F.avg(((F.length("v") > 1) & (F.length("v") <= 12) & ~unit).cast("int")).alias("s"))
+    size = c.groupBy(*k).agg(F.countDistinct("row_no").alias("rows"), (F.max("col_no") + 1).alias("cols")).filter("rows >= 3 and cols >= 3").select(*k)
+    t = s.join(size, k, "left_semi").groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("col_no", "u", "n", "d", "s"))).alias("cs"))
+    first = lambda a: F.get(a, F.lit(0))["col_no"]
+    best = lambda f: F.array_min(F.transform(F.filter("cs", lambda x: x[f].isNotNull()), lambda x: F.struct((-x[f]).alias("k"), x["col_no"].alias("col_no"))))
+    t = t.withColumn("_u", best("u")).filter(-F.col("_u.k") >= unit_share).withColumn("cu", F.col("_u.col_no"))
+    t = t.withColumn("nums", F.filter("cs", lambda x: x["n"] >= number_share)).withColumn("cq", F.coalesce(first(F.filter("nums", lambda x: F.abs(x["col_no"] - F.col("cu")) == 1)), first(F.col("nums")))).filter("cq is not null")
+    t = t.withColumn("_d", F.array_min(F.transform(F.filter("cs", lambda x: x["d"].isNotNull() & (x["col_no"] != F.col("cu")) & (x["col_no"] != F.col("cq"))), lambda x: F.struct((-x["d"]).alias("k"), x["col_no"].alias("col_no"))))).filter("_d is not null").withColumn("cd", F.col("_d.col_no"))
+    t = t.withColumn("cc", first(F.filter("cs", lambda x: (x["col_no"] < F.col("cd")) & (x["col_no"] != F.col("cu")) & (x["col_no"] != F.col("cq")) & (x["s"] >= 0.6))))
+    t = t.withColumn("cp", first(F.filter("nums", lambda x: (x["col_no"] > F.col("cu")) & (x["col_no"] != F.col("cq")) & (x["col_no"] != F.col("cd")) & ~x["col_no"].eqNullSafe(F.col("cc")))))
+    j = c.join(t.select(*k, "cu", "cq", "cd", "cc", "cp"), k)
+    header = F.lower(F.rtrim("v", F.lit("."))).isin(HEADER_WORDS)
+    of = lambda col, name: F.max(F.when(F.col("col_no") == F.col(col), F.col("v"))).alias(name)
+    r = j.groupBy(*k, "row_no").agg(F.count_if(header).alias("_h"), of("cd", "description"), of("cq", "q"), of("cu", "unit"), of("cc", "client_code"), of("cp", "p")).filter("_h < 2")
+    r = r.withColumn("qty", T.br_number(F.col("q"), "digits")).withColumn("unit_price", T.br_number(F.col("p"), "digits"))
+    good = F.upper(F.regexp_replace("unit", r"[.\s:]", "")).isin(CELL_UNITS)
+    return r.filter(valid_item(F.col("description"), F.col("qty"))).select(*k, "row_no", "client_code", "description", "qty", F.when(good, F.col("unit")).otherwise("PC").alias("unit"), "unit_price")
+
+
+def extract_quotation(cells):
+    """Blocks under a repeated header; the delivery date stands within three rows below an item."""
+    k = ["doc_id", "page", "table_no"]
+    rows = cells.groupBy(*k, "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", F.trim(T.text(F.col("text"))).alias("t")))), lambda x: x["t"]).alias("c"))
+    low = F.transform("c", F.lower)
+    pos = lambda f: F.array_min(F.transform(F.filter(F.transform(low, lambda x, i: F.struct(i.alias("i"), f(x).alias("ok"))), lambda x: x["ok"]), lambda x: x["i"]))
+    q, u = pos(lambda x: x.contains("quantidade")), pos(lambda x: x.startswith("unid") | (x == "un."))
+    head = (F.size("c") >= 3) & F.get(low, F.lit(0)).isin("código", "codigo") & F.get(low, F.lit(1)).contains("descri") & q.isNotNull() & u.isNotNull()
+    w = W.partitionBy(*k).orderBy("row_no")
+    r = rows.withColumn("_h", F.when(head, F.struct(q.alias("q"), u.alias("u")))).withColumn("h", F.last("_h", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    date = F.when(F.get("c", F.lit(0)).rlike(r"^\d{2}/\d{2}/\d{4}"), F.regexp_extract(F.get("c", F.lit(0)), r"^(.*?)(?: - .*)?$", 1))
+    r = r.withColumn("delivery", F.first(date, ignorenulls=True).over(w.rowsBetween(1, 3)))
+    d = r.filter(F.col("_h").isNull() & F.col("h").isNotNull() & F.get("c", F.lit(0)).rlike(r"^\d{1,5}$"))
+    return d.withColumn("qty", T.br_number(F.get("c", F.col("h.q")), "dot")).filter("qty > 0").select(
+        *k, "row_no", F.get("c", F.lit(0)).alias("client_code"), F.get("c", F.lit(1)).alias("description"), "qty", T.norm_unit(F.get("c", F.col("h.u"))).alias("unit"), "delivery")
+
+
+def quotation_metadata(cells, lines):
+    """Number and date of a quotation; the number may be a loose cell near the top."""
+    order = F.struct("page", "table_no", "row_no", "col_no")
+    loose = cells.filter((F.col("row_no") < 15) & F.trim(T.text(F.col("text"))).rlike(r"^\d{4,6}$")).groupBy("doc_id").agg(F.min_by(F.trim("text"), order).alias("_cell"))
+    at = F.struct("page", "line_no")
+    num = F.nullif(F.regexp_extract("text", r"(?iu)N[ºo°]?\s*Cota[çc][ãa]o\s*:?\s*(\d{2,6})", 1), F.lit(""))
+    day = F.nullif(F.regexp_extract("text", r"(\d{2}/\d{2}/\d{4})", 1), F.lit(""))
+    first = lines.filter("page = 1").withColumn("_n", num).withColumn("_d", day).groupBy("doc_id").agg(
+        F.min_by("_n", F.when(F.col("_n").isNotNull(), at)).alias("_n"), F.min_by("_d", F.when(F.col("_d").isNotNull(), at)).alias("date"))
+    return first.join(loose, "doc_id", "full_outer").select("doc_id", F.coalesce("_n", "_cell", F.lit("")).alias("number"), F.coalesce("date", F.lit("")).alias("date"))
+
+
+def detect_layout(docs):
+    """Layout of a document by its markers, first in the ladder wins."""
+    t = T.plain_upper(F.col("text"))
+    has = lambda *m: [t.contains(x) for x in m]
+    both = lambda *m: reduce(lambda a, b: a & b, has(*m))
+    either = lambda *m: reduce(lambda a, b: a | b, has(*m))
+    return docs.select("doc_id", F.when(both(f"{SUPPLIER}/{SUPPLIER}", "CODIGO", "QUANTIDADE", "UNIDADE") | both("PROCESSO", "ORDEM DE COMPRA", "BRASAL", "DADOS DO FORNECEDOR"), "BRASAL")
+                       .when(both("DADOS DA ORDEM DE COMPRA", "RESPONSAVEL PELA COMPRA") | both("PAVINI", "OBRA/CENTRO DE CUSTO"), "PAVINI")
+                       .when(both("PEDIDO DE COMPRA", "PROCESSO") & either("PAULO OCTAVIO", "PAULOOCTAVIO", "PO EMPREENDIMENTOS", "PO 827"), "PAULO_OCTAVIO").alias("layout"))

@@ -1,6 +1,7 @@
 """Queries over text extraction (E, W11-W13, A19, F11, F17, U10-U15)."""
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..operators import extraction as X
 from .registry import query
@@ -93,3 +94,46 @@ query("e19_canonical_items", "SELECT l_orderkey, l_linestatus AS order_descripti
     lambda s: X.canonical_items(s.lineitem.select("l_orderkey", F.col("l_linestatus").alias("description"), F.col("l_quantity").alias("qty"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("unit"))).select("l_orderkey", "order_description", "order_quantity", "order_unit_name", "order_code"))
 query("e22_known_layout", "SELECT doc_id, arg_min(format, ordinal) AS format FROM {documents} JOIN (SELECT item_id AS format, upper(substr(text, 1, 12)) AS ident, item_id AS ordinal FROM {benchmark}) b ON contains(upper(text), ident) GROUP BY doc_id")(
     lambda s: X.known_layout(s.documents, s.benchmark.select(F.col("item_id").alias("format"), F.substring("text", 1, 12).alias("identifier"), F.col("item_id").alias("ordinal"))))
+
+_E6 = "SELECT CAST(o AS STRING) AS doc_id, 1 AS page, CAST(n * 2 AS INTEGER) AS line_no, CAST(10000 + n AS STRING) || ' ' || CASE WHEN q > 40 THEN '0' ELSE CAST(q AS STRING) || ',00' END || ' UN TUBO ' || CAST(pk AS STRING) || 'MM 12345 ' || price || ' 0,00 0,00 0,00 ' || total AS text, pk, q, n, k FROM {order_numbers} UNION ALL SELECT CAST(o AS STRING), 1, CAST(n * 2 + 1 AS INTEGER), CASE WHEN k = 0 THEN 'SUPPLIER_NAME CÓD.' || CAST(pk AS STRING) ELSE 'obs' END, 0, 0, 0, 0 FROM {order_numbers}".replace("SUPPLIER_NAME", R.SUPPLIER)
+query("e6_extract_two_line", "SELECT CAST(o AS VARCHAR) AS doc_id, CAST(10000 + n AS VARCHAR) AS client_code, 'TUBO ' || CAST(pk AS VARCHAR) || 'MM' AS description, CASE WHEN k = 0 THEN CAST(pk AS VARCHAR) END AS product_code, CASE WHEN q > 40 THEN round(CAST(total_value AS DOUBLE) / CAST(replace(price, ',', '.') AS DOUBLE), 0) ELSE qty END AS qty FROM {order_numbers}")(
+    lambda s: X.extract_two_line(s.sql(_E6)).select("doc_id", "client_code", "description", "product_code", F.round("qty", 0).alias("qty")))
+
+
+def words(s):
+    """Every order line as positioned words: an item row and two description rows."""
+    n = s.order_numbers.withColumn("y", F.col("n") * 40.0)
+    w = lambda x, dy, t: F.struct(F.lit(float(x)).alias("x0"), (F.col("y") + dy).alias("y0"), t.alias("text"))
+    return n.select(F.col("o").alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(
+        w(10, 0, F.concat(F.lit("00"), F.col("n").cast("string"))), w(100, 0, F.col("pk").cast("string")), w(160, 0, F.concat(F.col("q").cast("string"), F.lit(",00"))), w(210, 0, F.lit("M")), w(430, 0, F.col("price")), w(540, 0, F.col("total")),
+        w(230, -1, F.lit("TUBO")), w(260, 15, F.col("pk").cast("string")), w(240, 18, F.lit("=>x")), w(240, 30, F.lit("longe")))).alias("w")).select("doc_id", "page", "w.*")
+
+
+query("e7_extract_by_position", "SELECT o AS doc_id, CAST(pk AS VARCHAR) AS client_code, 'TUBO ' || CAST(pk AS VARCHAR) AS description, qty, 'M' AS unit, CAST(total_value AS DOUBLE) AS total FROM {order_numbers}")(
+    lambda s: X.extract_by_position(words(s)).select("doc_id", "client_code", "description", "qty", "unit", "total"))
+
+
+def bare_cells(s):
+    c = s.order_numbers.select(F.col("o").alias("doc_id"), F.col("n").cast("int").alias("row_no"), F.array((1000 + F.col("pk")).cast("string"), F.concat(F.lit("TUBO PVC "), F.col("pk").cast("string")), F.lit("UN"), F.concat(F.col("q").cast("string"), F.lit(",00")), F.col("price")).alias("c"))
+    return c.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table_no"), "row_no", F.posexplode("c").alias("col_no", "text"))
+
+
+query("e9_extract_by_content", "SELECT o AS doc_id, n AS row_no, CAST(1000 + pk AS VARCHAR) AS client_code, 'TUBO PVC ' || CAST(pk AS VARCHAR) AS description, qty, 'UN' AS unit FROM {order_numbers} WHERE o IN (SELECT o FROM {order_numbers} GROUP BY o HAVING count(*) >= 3)")(
+    lambda s: X.extract_by_content(bare_cells(s)).select("doc_id", "row_no", "client_code", "description", "qty", "unit"))
+
+
+def quotation_cells(s):
+    head = s.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("row_no"), F.array(F.lit("Código"), F.lit("Descrição"), F.lit("Quantidade"), F.lit("Unid.")).alias("c"))
+    item = s.order_numbers.select(F.col("o").alias("doc_id"), (F.col("n") * 2).cast("int").alias("row_no"), F.array(F.col("pk").cast("string"), F.lit("TUBO"), F.concat(F.col("q").cast("string"), F.lit(",00")), F.lit("UND")).alias("c"))
+    due = s.order_numbers.select(F.col("o").alias("doc_id"), (F.col("n") * 2 + 1).cast("int").alias("row_no"), F.array(F.lit("10/02/2026 - entrega"), F.lit(""), F.lit(""), F.lit("")).alias("c"))
+    return head.unionByName(item).unionByName(due).select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table_no"), "row_no", F.posexplode("c").alias("col_no", "text"))
+
+
+query("e13_extract_quotation", "SELECT o AS doc_id, CAST(pk AS VARCHAR) AS client_code, qty, 'UN' AS unit, '10/02/2026' AS delivery FROM {order_numbers}")(
+    lambda s: X.extract_quotation(quotation_cells(s)).select("doc_id", "client_code", "qty", "unit", "delivery"))
+query("e14_quotation_metadata", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'P' THEN CAST(100 + o_custkey AS VARCHAR) ELSE CAST(10000 + o_custkey AS VARCHAR) END AS number, '01/02/2026' AS date FROM {orders}")(
+    lambda s: X.quotation_metadata(
+        s.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), F.lit(2).alias("row_no"), F.lit(1).alias("col_no"), (10000 + F.col("o_custkey")).cast("string").alias("text")),
+        s.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.concat(F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Nº Cotação: "), (100 + F.col("o_custkey")).cast("string"))).otherwise("x"), F.lit(" em 01/02/2026")).alias("text"))))
+query("e2_detect_layout", "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'P' THEN 'BRASAL' WHEN 'O' THEN 'PAVINI' END AS layout FROM {orders}")(
+    lambda s: X.detect_layout(s.orders.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "P", "Processo 1 Ordem de compra Brasal dados do fornecedor").when(F.col("o_orderstatus") == "O", "DADOS DA ORDEM DE COMPRA responsável pela compra").otherwise("z").alias("text"))))

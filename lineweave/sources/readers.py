@@ -1,6 +1,7 @@
 """Readers: delimited files, code maps, price tables, JSON logs."""
 import unicodedata
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,7 +38,7 @@ def read_csv_robust(spark, path):
                 df = spark.read.csv(path, sep=sep, header=True, encoding=enc)
                 if df.columns:
                     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
-            except Exception:
+            except AnalysisException:
                 continue
     raise ValueError(f"unreadable file: {path}")
 

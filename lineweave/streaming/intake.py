@@ -1,6 +1,7 @@
 """Message intake (T1-T7, J13): stateless rules, stream-static joins and exactly-once de-duplication."""
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,8 +92,9 @@ def message_review_batch(path):
         try:
             seen = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("msg_id")
             new = new.join(seen, "msg_id", "left_anti")
-        except Exception:
-            pass
+        except AnalysisException as e:  # the list does not exist before the first batch
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
         new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
     return write
 
