@@ -202,7 +202,7 @@ def compare_return(process, returned):
         "r_price", "return_total", "discount_pct", "qty_equal", "status", F.coalesce("via", F.lit("—")).alias("via"), "note")
     none = F.lit(None)
     extra_rows = extras.select(
-        "process_id", (F.col("r_ord") + 1_000_000_000_000).alias("row_ord"), F.col("code").alias("product_code"), F.col("r_description").alias("description"),
+        "process_id", (F.col("r_ord") + 4_000_000_000_000_000_000).alias("row_ord"), F.col("code").alias("product_code"), F.col("r_description").alias("description"),
         F.col("r_qty").alias("qty"), none.cast("double").alias("table_price"), none.cast("double").alias("table_total"), "r_price",
         F.round(F.col("r_qty") * F.col("r_price"), 2).alias("return_total"), none.cast("double").alias("discount_pct"),
         none.cast("boolean").alias("qty_equal"), F.lit("SEM").alias("status"), F.lit(VIA_RETURN).alias("via"),

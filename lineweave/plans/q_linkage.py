@@ -140,8 +140,7 @@ query("j20_board_variants", "SELECT p_size AS size, array_to_string(list_transfo
     lambda s: L.board_variants(L.candidate_side(C.catalogue_features(C.build_catalogue(s.catalogue, blocked=["784"])))))
 _RULE = """SELECT DISTINCT CASE p_size % 8 WHEN 0 THEN 'PLUG PVC ROSC ' || CASE WHEN p_partkey % 2 = 0 THEN '3/4' ELSE '1 1/2' END WHEN 1 THEN 'Solução limpadora ' || CAST(p_size * 10 AS STRING) || ' ml' WHEN 2 THEN 'PASTA LUBRIFICANTE ' || CASE WHEN p_partkey % 2 = 0 THEN '400 G' ELSE '' END
   WHEN 3 THEN 'ADESIVO PVC EXTRA FORTE ' || CASE WHEN p_partkey % 2 = 0 THEN '850G' ELSE '90G' END WHEN 4 THEN 'QUADRO DISTR 36D/27N' WHEN 5 THEN 'ADESIVO PLASTICO 17G' ELSE p_name END AS description, p_size % 8 AS k, p_partkey % 2 AS odd, p_size FROM {part}"""
-query("m8_match_rules", f"""SELECT DISTINCT description, CASE WHEN k = 0 AND odd = 0 THEN '294' WHEN k = 0 THEN '296' WHEN k = 1 AND p_size = 20 THEN '520' WHEN k = 1 AND p_size = 100 THEN '521' WHEN k = 2 AND odd = 0 THEN '676' WHEN k = 2 THEN '677' WHEN k = 3 AND odd = 0 THEN '523' WHEN k = 4 THEN '1288' END AS product_code,
-  k = 1 OR (k = 3 AND odd = 1) AS blocks_fallback FROM ({_RULE}) WHERE k < 5""")(
+query("m8_match_rules", f"""SELECT description, CASE WHEN there THEN code END AS product_code, NOT there AS blocks_fallback FROM (SELECT *, code IN (SELECT CAST(p_partkey AS VARCHAR) FROM {{part}}) AS there FROM (SELECT DISTINCT description, k, coalesce(CASE WHEN k = 0 AND odd = 0 THEN '294' WHEN k = 0 THEN '296' WHEN k = 1 AND p_size = 20 THEN '520' WHEN k = 1 AND p_size = 100 THEN '521' WHEN k = 2 AND odd = 0 THEN '676' WHEN k = 2 THEN '677' WHEN k = 3 AND odd = 0 THEN '523' WHEN k = 4 THEN '1288' END, '') AS code FROM ({_RULE}) WHERE k < 5)) WHERE there OR k <> 4""")(
     lambda s: L.match_rules(s.sql(_RULE).select("description").distinct(), L.candidate_side(C.catalogue_features(C.build_catalogue(s.catalogue.withColumn("product_code", F.col("row_ord").cast("string")), blocked=["x"]))))
     .select("description", "product_code", "blocks_fallback"))
 _KNN = """SELECT query_id, row_ord, rank, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_ord) AS rank FROM (

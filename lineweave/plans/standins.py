@@ -101,15 +101,15 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "order_prices": """
 SELECT CAST(l_orderkey AS STRING) AS doc_id, '0' || CAST(l_partkey AS STRING) AS product_code, 'ITEM ' || CAST(l_partkey AS STRING) AS description,
        l_quantity AS qty, CAST(CAST(l_extendedprice / l_quantity + 0.00001 AS DECIMAL(18,3)) AS DECIMAL(18,6)) AS price,
-       CAST(l_extendedprice AS DECIMAL(18,2)) AS total, (CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000000 + l_partkey AS row_ord FROM {lineitem}""",
+       CAST(l_extendedprice AS DECIMAL(18,2)) AS total, ((CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000000 + l_partkey) * 64 + CAST(l_quantity AS INTEGER) AS row_ord FROM {lineitem}""",
     "quote_prices": """
 SELECT CAST(l_orderkey AS STRING) AS doc_id, CAST(l_partkey + CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END AS STRING) AS product_code,
        'QUOTE ' || CAST(l_partkey AS STRING) AS description, l_quantity AS qty,
        CAST(CAST(l_extendedprice / l_quantity * (0.97 + l_discount) + 0.00001 AS DECIMAL(18,3)) AS DECIMAL(18,6)) AS price,
-       (CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000000 + l_partkey AS row_ord FROM {lineitem}""",
+       ((CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000000 + l_partkey) * 64 + CAST(l_quantity AS INTEGER) AS row_ord FROM {lineitem}""",
     # compared rows of a stored process, and the return for it
     "process_rows": """
-SELECT CAST(l_orderkey AS STRING) AS process_id, (CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000000 + l_partkey AS row_ord,
+SELECT CAST(l_orderkey AS STRING) AS process_id, ((CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000000 + l_partkey) * 64 + CAST(l_quantity AS INTEGER) AS row_ord,
        CASE WHEN l_returnflag = 'N' AND l_tax < 0.03 THEN '' ELSE '0' || CAST(l_partkey AS STRING) END AS product_code,
        'TUBO PVC SOLDAVEL ' || CAST(20 + l_partkey % 50 AS STRING) || 'MM LOTE ' || CAST(l_partkey AS STRING) AS description, '' AS table_description,
        l_quantity AS qty, CASE WHEN l_linestatus = 'O' THEN 'BR' ELSE 'UN' END AS unit,
@@ -117,7 +117,7 @@ SELECT CAST(l_orderkey AS STRING) AS process_id, (CAST(l_linenumber AS BIGINT) *
        'C' || CAST(l_suppkey AS STRING) AS client_code, CASE WHEN l_discount > 0.05 THEN 'OK' WHEN l_discount > 0.02 THEN 'REVISAR' ELSE 'SEM' END AS status,
        CASE WHEN l_tax > 0.04 THEN CAST(l_partkey % 90 + 1 AS DOUBLE) END AS document_price FROM {lineitem}""",
     "return_rows": """
-SELECT CAST(l_orderkey AS STRING) AS process_id, (CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000000 + l_partkey AS row_ord,
+SELECT CAST(l_orderkey AS STRING) AS process_id, ((CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey) * 1000000 + l_partkey) * 64 + CAST(l_quantity AS INTEGER) AS row_ord,
        CASE WHEN l_discount < 0.02 THEN '' ELSE CAST(l_partkey AS STRING) END AS product_code,
        'TUBO SOLDAVEL PVC ' || CAST(20 + l_partkey % 50 AS STRING) || 'MM LOTE ' || CAST(l_partkey AS STRING) AS description,
        l_quantity + CASE WHEN l_tax > 0.06 THEN 1 ELSE 0 END AS qty, CAST(l_partkey % 89 + 2 AS DOUBLE) AS price FROM {lineitem}""",
