@@ -3,5 +3,7 @@ from .mixing import op3_mixing
 from .tokencounts import op8_token_counts
 from .urlfilter import OP4_SQL, op4_url_filters
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_url_filters, op8_token_counts)}
-ORACLES = {"op4_url_filters": OP4_SQL}
+from .quality import OP1_SQL, op1_quality_rules
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_url_filters, op8_token_counts)}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op4_url_filters": OP4_SQL}
