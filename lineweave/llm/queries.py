@@ -1,4 +1,5 @@
 """Registered queries of this subpackage and their SQL."""
+from .decontam import op7_decontamination
 from .mixing import op3_mixing
 from .tokencounts import op8_token_counts
 from .urlfilter import OP4_SQL, op4_url_filters
@@ -6,5 +7,5 @@ from .urlfilter import OP4_SQL, op4_url_filters
 from .pii import op10_pii
 from .quality import OP1_SQL, op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_url_filters, op8_token_counts, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_url_filters, op7_decontamination, op8_token_counts, op10_pii)}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op4_url_filters": OP4_SQL}
