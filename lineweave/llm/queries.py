@@ -1,5 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 from .decontam import op7_decontamination
+from .lmscore import op9_lm_scores
 from .minhash import op5_near_duplicates
 from .mixing import op3_mixing
 from .tokencounts import op8_token_counts
@@ -8,5 +9,6 @@ from .urlfilter import OP4_SQL, op4_url_filters
 from .pii import op10_pii
 from .quality import OP1_SQL, op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_url_filters, op5_near_duplicates, op7_decontamination, op8_token_counts, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_url_filters, op5_near_duplicates, op7_decontamination, op8_token_counts,
+                                    op9_lm_scores, op10_pii)}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op4_url_filters": OP4_SQL}
