@@ -3,12 +3,13 @@ from .decontam import op7_decontamination
 from .lmscore import op9_lm_scores
 from .minhash import op5_near_duplicates
 from .mixing import op3_mixing
+from .suffixdedup import op2_suffix_dedup
 from .tokencounts import op8_token_counts
 from .urlfilter import OP4_SQL, op4_url_filters
 
 from .pii import op10_pii
 from .quality import OP1_SQL, op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_url_filters, op5_near_duplicates, op7_decontamination, op8_token_counts,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_mixing, op4_url_filters, op5_near_duplicates, op7_decontamination, op8_token_counts,
                                     op9_lm_scores, op10_pii)}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op4_url_filters": OP4_SQL}
