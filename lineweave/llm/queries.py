@@ -1,4 +1,5 @@
 """Registered queries of this subpackage and their SQL."""
+from .chaining import op6_repeated_passages
 from .decontam import op7_decontamination
 from .lmscore import op9_lm_scores
 from .minhash import op5_near_duplicates
@@ -10,6 +11,6 @@ from .urlfilter import OP4_SQL, op4_url_filters
 from .pii import op10_pii
 from .quality import OP1_SQL, op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_mixing, op4_url_filters, op5_near_duplicates, op7_decontamination, op8_token_counts,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_mixing, op4_url_filters, op5_near_duplicates, op6_repeated_passages, op7_decontamination, op8_token_counts,
                                     op9_lm_scores, op10_pii)}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op4_url_filters": OP4_SQL}
