@@ -34,17 +34,18 @@ def _covered(h, width):
     return let(let(s, repeated), reach)
 
 
-def signals(docs: DataFrame) -> DataFrame:
+def signals(docs: DataFrame, whole=False) -> DataFrame:
     """Counts and rule shares of each whole text, one row per given row; a null text has no words.
 
-    Windows of five words are compared by 64-bit hashes within one text.
+    Windows of five words are compared by 64-bit hashes within one text.  ``whole`` keeps the given row in ``given``.
     """
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", "lang", text.alias("t"))
-    d = d.select("doc_id", "lang", "t", F.array_remove(F.split("t", SPACES), "").alias("w"),
+    also = ["given"] if whole else []
+    d = docs.select("doc_id", "lang", text.alias("t"), *([F.struct(*docs.columns).alias("given")] if whole else []))
+    d = d.select(*also, "doc_id", "lang", "t", F.array_remove(F.split("t", SPACES), "").alias("w"),
                  F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"))
     h = F.when(F.size("w") >= 5, F.transform(F.slice("w", F.lit(1), F.size("w") - 4), lambda x, i: F.xxhash64(x, *[F.get("w", i + j) for j in range(1, 5)])))
-    d = d.select("doc_id", "lang", F.size("w").cast("long").alias("n_words"), F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
+    d = d.select(*also, "doc_id", "lang", F.size("w").cast("long").alias("n_words"), F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
                  F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.size("l").alias("n_lines"),
                  (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), h.alias("h"),
                  F.regexp_count("t", F.lit("[A-Z]")).alias("n_capitals"))
@@ -54,7 +55,7 @@ def signals(docs: DataFrame) -> DataFrame:
     def level(a, b):  # the least cutoff on the grid that doesn't reject
         return F.coalesce(F.ceil(GRID * F.try_divide(F.col(a), F.col(b))), F.lit(0)).cast("int")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+    return d.select(*also, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
                     F.array(level("n_symbols", "word_chars"), level("n_capitals", "word_chars"), level("n_dup_lines", "n_lines"), level("n_repeat_words", "n_words")).alias("levels"))
 
 
@@ -101,11 +102,22 @@ def judge(docs: DataFrame, labels: DataFrame, alpha=ALPHA, delta=DELTA) -> DataF
     A null language is a stratum.  Empty tables and empty texts are fine: a text without ten words fails the base.
     """
     scored = shared_table(signals(docs), "signals")
-    chosen = cutoffs(scored, labels, alpha, delta).withColumnRenamed("lang", "stratum")
+    return (_against(scored, cutoffs(scored, labels, alpha, delta))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+
+
+def _against(scored, chosen):
+    """``kept``: by the base and the stratum's cutoffs.  As a written table the cutoffs have a known size, by which Spark may broadcast them."""
+    chosen = shared_table(chosen.withColumnRenamed("lang", "stratum"), "cutoffs")
     over = F.exists(F.transform(F.col("levels"), lambda x, i: F.coalesce(x > F.try_element_at("cutoffs", i), F.lit(False))), lambda x: x)
     return (scored.join(chosen, F.col("lang").eqNullSafe(F.col("stratum")), "left")
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & ~F.coalesce(over, F.lit(False))).alias("kept")))
+            .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False))))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, alpha=ALPHA, delta=DELTA) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, as they are."""
+    scored = shared_table(signals(docs, whole=True), "signals")
+    return _against(scored, cutoffs(scored, labels, alpha, delta)).filter("kept").select("given.*")
 
 
 def op1_quality_rules(spark, sf_dir):
