@@ -117,7 +117,6 @@ def conflict_materials(c, catalogue_side=False):
     return F.when((F.size(m) == 0) & pvc, F.array(F.lit("PVC"))).otherwise(m)
 
 
-META = ["product_code", "description", "norm_description", "line", "family", "sale_unit", "category", "is_tube", "c_diameter_mm", "bar_length_m"]
 
 
 def lookup_by_code(items, cat, item_code, columns):

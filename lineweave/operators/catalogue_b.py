@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as D
 from ..functions import text as T
-from .common import first_per_key, last_per_key
+from .common import first_per_key, heads, last_per_key, pieces
 
 
 def import_catalogue_b(src1, src2):
@@ -44,10 +44,10 @@ def resolve_list(rows, cat):
     p3 = left(done).filter("d <> '' and q <> ''").join(c, F.col("d") == F.col("sku_digits")).withColumn("score", D.token_set_ratio(F.col("q"), F.upper(F.trim("c_description"))))
     t3 = p3.filter("score >= 0.80").groupBy(*key).agg(F.min_by(F.struct("sku_raw", "c_description"), F.struct((-F.col("score")).alias("s"), "row_ord")).alias("_b")).select(*key, F.lit(3).alias("tier"), "_b.*")
     done = done.unionByName(t3)
-    # contained wordings share their first four characters with some position of the longer one
-    grams = F.transform(F.sequence(F.lit(1), F.length("u") - 3), lambda i: F.substring(F.col("u"), i, F.lit(4)))
-    cg = c.withColumn("u", F.upper("c_description")).filter("length(u) >= 4").withColumn("g", F.explode(F.array_distinct(grams)))
-    p4 = left(done).filter("length(q) >= 4").withColumn("g", F.substring("q", 1, 4)).join(cg, "g").filter(F.expr("contains(u, q)")) \
+    # a contained wording's first four characters, or all of a shorter one, stand somewhere in the longer one
+    asked, lengths = heads(left(done), F.col("q"))
+    cg = c.withColumn("u", F.upper("c_description")).withColumn("g", F.explode(pieces(F.col("u"), lengths)))
+    p4 = asked.join(cg, "g").filter(F.expr("contains(u, q)")) \
         .withColumn("score", D.token_set_ratio(F.col("q"), F.col("u")))
     t4 = p4.filter("score >= 0.85").groupBy(*key).agg(F.min_by(F.struct("sku_raw", "c_description"), F.struct((-F.col("score")).alias("s"), "row_ord")).alias("_b")).select(*key, F.lit(4).alias("tier"), "_b.*")
     found = done.unionByName(t4)

@@ -8,7 +8,7 @@ from ..functions import scores as D
 from ..functions import text as T
 from ..session import cut_lineage
 from . import linkage as L
-from .common import soft_rank
+from .common import heads, pieces, soft_rank
 
 
 def latest_table(tables):
@@ -26,17 +26,17 @@ def identify_client(docs, ids):
     """Tax number, then e-mail domain, then term; alphabetical within a tier.
 
     ``ids``: client, kind (cnpj | domain | term), value.  Identifiers are found
-    by their leading six-gram, so documents and identifiers meet on a key.
+    by their first four characters, or all of them where they have fewer, so documents and identifiers meet on a key.
     """
     norm = T.plain_upper(F.col("text"))
     d = docs.select("doc_id", norm.alias("n")).withColumn("cnpj", F.regexp_replace("n", r"\D", "")) \
         .withColumn("domain", F.upper(F.array_join(F.regexp_extract_all(F.lower("n"), F.lit(r"@([\w.-]+)"), F.lit(1)), " "))).withColumn("term", F.col("n"))
-    i = ids.withColumn("v", F.when(F.col("kind") == "cnpj", T.digits(F.col("value"))).otherwise(T.plain_upper(F.col("value")))).filter("length(v) >= 4") \
-        .withColumn("g", F.substring("v", 1, 4)).withColumn("tier", F.when(F.col("kind") == "cnpj", 1).when(F.col("kind") == "domain", 2).otherwise(3))
-    hay = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hay")) for k in ("cnpj", "domain", "term")])).alias("h")).select("doc_id", "h.*").filter("length(hay) >= 4")
-    grams = hay.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hay") - 3), lambda p: F.substring(F.col("hay"), p, F.lit(4))))))
+    i = ids.withColumn("v", F.when(F.col("kind") == "cnpj", T.digits(F.col("value"))).otherwise(T.plain_upper(F.col("value")))).withColumn("tier", F.when(F.col("kind") == "cnpj", 1).when(F.col("kind") == "domain", 2).otherwise(3))
+    i, lengths = heads(i, F.col("v"))
+    hay = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hay")) for k in ("cnpj", "domain", "term")])).alias("h")).select("doc_id", "h.*")
+    grams = hay.withColumn("g", F.explode(pieces(F.col("hay"), lengths)))
     # only the grams travel; the text joins again for the few pairs that share one
-    maybe = grams.select("doc_id", "kind", "g").join(i.select("kind", "g", "v", "client", "tier"), ["kind", "g"]).drop("g")
+    maybe = grams.select("doc_id", "kind", "g").join(i.select("kind", "g", "v", "client", "tier"), ["kind", "g"]).drop("g").distinct()
     keyed = maybe.join(hay, ["doc_id", "kind"]).filter(F.expr("contains(hay, v)"))
     return keyed.groupBy("doc_id").agg(F.min_by("client", F.struct("tier", "client")).alias("client"))
 

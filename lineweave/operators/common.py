@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(df, keys, order):
-    """First row of each key: one partial-aggregating pass, no sort and no window.
+    """First row of each key: an aggregate with a map-side step and no window (rows with texts are aggregated in sorted order).
 
     ``order`` is a tuple of columns that is unique within the key; the smallest wins.
     """
@@ -50,11 +50,16 @@ def soft_rank(tests):
     return total
 
 
-def small_enough(df, max_rows):
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def heads(needles, value, most=4):
+    """``needles`` with the head ``g`` of each value that a text must hold, and the head lengths there are (``most`` at most)."""
+    n = needles.filter(F.length(value) > 0).withColumn("g", F.substring(value, 1, most))
+    return n, sorted(r.n for r in n.select(F.length("g").alias("n")).distinct().collect())
 
 
-def maybe_broadcast(df, max_rows=200_000):
-    """Broadcast hint for a side whose size has been checked, else the side as it is."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
+def pieces(text, lengths):
+    """All substrings of ``text`` with one of the lengths, once each."""
+    def cut(n):
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda p: F.substring(text, p, F.lit(n))))
+    if not lengths:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.coalesce(cut(n), F.array().cast("array<string>")) for n in lengths]))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as D
 from ..functions import text as T
-from .common import first_per_key, last_per_key
+from .common import first_per_key, heads, last_per_key, pieces
 from .similarity import near_pairs
 
 
@@ -13,8 +13,12 @@ def micros(c):
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
-def upsert_review(queue, new):
-    """A pending row of the same document and wording is refreshed, others are added; extras only when given."""
+def upsert_review(queue, new, now=None):
+    """A pending row of the same document and wording is refreshed, others are added; extras only when given.
+
+    A new row's id hashes its document, wording and how often the queue has had them, so a wording that comes up again
+    after its row was resolved gets an id of its own.  ``now`` is its creation time.
+    """
     keys = ["document", "description"]
     n = last_per_key(new, keys, "row_ord").select(*keys, *[F.col(c).alias("n_" + c) for c in ("item_no", "suggested_code", "score", "match_type", "alert")], F.lit(True).alias("_new"))
     pend = first_per_key(queue.filter("status = 'pendente'").select(*keys, "id"), keys, "id").withColumn("_hit", F.lit(True))
@@ -22,17 +26,18 @@ def upsert_review(queue, new):
     upd = lambda c: F.when(F.col("_u"), F.col("n_" + c)).otherwise(F.col(c)).alias(c)
     kept = j.select("id", *keys, upd("item_no"), upd("suggested_code"), upd("score"), upd("match_type"), *[c for c in queue.columns if c not in ("id", "document", "description", "item_no", "suggested_code", "score", "match_type", "alert")],
                     F.when(F.col("_u") & (F.coalesce("n_alert", F.lit("")) != ""), F.col("n_alert")).otherwise(F.col("alert")).alias("alert"))
-    fresh = n.join(pend.select(*keys), keys, "left_anti").select(
-        F.xxhash64(*keys, F.lit("review")).alias("id"), *keys, F.col("n_item_no").alias("item_no"), F.col("n_suggested_code").alias("suggested_code"), F.col("n_score").alias("score"),
-        F.col("n_match_type").alias("match_type"), F.lit("pendente").alias("status"), F.lit(None).cast("timestamp").alias("created_at"), F.nullif("n_alert", F.lit("")).alias("alert"))
+    had = queue.groupBy(*keys).agg(F.count(F.lit(1)).alias("_had"))
+    fresh = n.join(pend.select(*keys), keys, "left_anti").join(had, keys, "left").select(
+        F.xxhash64(*keys, F.lit("review"), F.coalesce("_had", F.lit(0))).alias("id"), *keys, F.col("n_item_no").alias("item_no"), F.col("n_suggested_code").alias("suggested_code"), F.col("n_score").alias("score"),
+        F.col("n_match_type").alias("match_type"), F.lit("pendente").alias("status"), (F.lit(None) if now is None else now).cast("timestamp").alias("created_at"), F.nullif("n_alert", F.lit("")).alias("alert"))
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def prune_pending(queue, kept, documents):
     """Pending rows of the processed documents that were not generated this time go."""
     stale = queue.filter("status = 'pendente'").join(documents.select("document").distinct(), "document", "left_semi") \
-        .join(kept.select("document", "description").distinct(), ["document", "description"], "left_anti").select("id")
-    return queue.join(stale, "id", "left_anti")
+        .join(kept.select("document", "description").distinct(), ["document", "description"], "left_anti").select("id", "status").distinct()
+    return queue.join(stale, ["id", "status"], "left_anti").select(*queue.columns)
 
 
 def retain(queue, now, days=180):
@@ -256,12 +261,12 @@ def document_status(inputs, processed, outputs, running):
 
 
 def search_catalogue(queries, cat, k=10):
-    """Products whose description or code contains the query; the catalogue is cut into trigrams once."""
-    q = queries.select("query", F.upper(F.trim("query")).alias("q")).filter("length(q) >= 3").distinct()
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
+    """Products whose description or code contains the query of two or more characters."""
+    q = queries.select("query", F.upper(F.trim("query")).alias("q")).filter("length(q) >= 2").distinct()
+    q, lengths = heads(q, F.col("q"), 3)
     body = F.upper(F.concat_ws(" \n ", "product_code", "description"))
-    c = cat.withColumn("body", body).withColumn("g", F.explode(F.array_distinct(grams(F.col("body")))))
-    hits = q.withColumn("g", F.substring("q", 1, 3)).join(c, "g").filter(F.expr("contains(body, q)"))
+    c = cat.withColumn("body", body).withColumn("g", F.explode(pieces(F.col("body"), lengths)))
+    hits = q.join(c, "g").filter(F.expr("contains(body, q)"))
     d = first_per_key(hits.select("query", "product_code", "description", "row_ord"), ["query", "product_code"], "row_ord")
     return d.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("row_ord"))).filter(F.col("rank") <= k)
 

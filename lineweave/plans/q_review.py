@@ -17,10 +17,10 @@ _Q = "SELECT id, document, description, item_no, suggested_code, score, match_ty
 _NEW = "SELECT 'DOC' || CAST(user_id AS STRING) || '.pdf' AS document, 'item ' || CAST(event_id % 41 AS STRING) || ' ' || event_type AS description, CAST(event_id % 9 AS STRING) AS item_no, CAST(event_id % 30 AS STRING) AS suggested_code, 0.5 AS score, 'MATCH_DESCRICAO' AS match_type, CASE WHEN value > 50 THEN 'ver' ELSE '' END AS alert, event_id AS row_ord FROM {events} WHERE event_type IN ('view', 'click')"
 _LASTNEW = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document, description ORDER BY row_ord DESC) AS rn FROM ({_NEW})) WHERE rn = 1"
 query("u1_upsert_review", f"""WITH q AS ({_Q}), n AS ({_LASTNEW}), p AS (SELECT document, description, min(id) AS id FROM q WHERE status = 'pendente' GROUP BY 1, 2)
-  SELECT document, description, status, CASE WHEN p.id IS NOT NULL AND n.row_ord IS NOT NULL THEN n.suggested_code ELSE q.suggested_code END AS suggested_code, CASE WHEN p.id IS NOT NULL AND n.alert <> '' THEN n.alert END AS alert
+  SELECT document, description, status, created_at, CASE WHEN p.id IS NOT NULL AND n.row_ord IS NOT NULL THEN n.suggested_code ELSE q.suggested_code END AS suggested_code, CASE WHEN p.id IS NOT NULL AND n.alert <> '' THEN n.alert END AS alert
   FROM q LEFT JOIN p USING (document, description, id) LEFT JOIN n USING (document, description)
-  UNION ALL SELECT n.document, n.description, 'pendente', n.suggested_code, nullif(n.alert, '') FROM n ANTI JOIN p USING (document, description)""")(
-    lambda s: V.upsert_review(s.sql(_Q), s.sql(_NEW)).select("document", "description", "status", "suggested_code", "alert"))
+  UNION ALL SELECT n.document, n.description, 'pendente', {NOW}, n.suggested_code, nullif(n.alert, '') FROM n ANTI JOIN p USING (document, description)""")(
+    lambda s: V.upsert_review(s.sql(_Q), s.sql(_NEW), now()).select("document", "description", "status", "created_at", "suggested_code", "alert"))
 query("u2_prune_pending", f"SELECT id FROM {{review_queue}} WHERE NOT (status = 'pendente' AND document IN (SELECT document FROM ({_NEW})) AND (document, description) NOT IN (SELECT (document, description) FROM ({_NEW})))")(
     lambda s: V.prune_pending(s.review_queue, s.sql(_NEW), s.sql(_NEW)).select("id"))
 query("u3_retain", f"SELECT id FROM {{review_queue}} WHERE NOT (status = 'resolvido' AND resolved_at < {NOW} - INTERVAL 20 DAY)")(lambda s: V.retain(s.review_queue, now(), 20).select("id"))

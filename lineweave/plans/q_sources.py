@@ -1,10 +1,11 @@
 """Queries over the second catalogue and the readers and writers."""
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalogue_b as B
+from ..session import checkpoint_dir
 from ..sources import readers, writers
 from .registry import query
 
@@ -30,10 +31,8 @@ query("s16_cart_sheet", "SELECT p_name AS description, p_brand AS code, CAST(p_s
 
 
 def folder(s):
-    """A folder every executor can write: below the shared checkpoint folder when the cluster names one."""
-    base = s.spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-    return f"{base}/run-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lineweave-io-")
+    """A folder every executor can write: below the shared checkpoint folder."""
+    return f"{checkpoint_dir(s.spark)}/run-{uuid.uuid4().hex}"
 
 
 def csv_round_trip(s, df, sep, read):

@@ -62,8 +62,8 @@ def run(stream_writer, s):
 
 def dedup_stream(s):
     path = folder(s) + "/dedup"
-    run(M.dedup_messages(event_stream(s), "40 days").select("msg_id").writeStream.format("parquet").option("path", path).outputMode("append"), s)
-    return s.spark.read.schema("msg_id string").parquet(path)
+    run(event_stream(s).writeStream.foreachBatch(M.dedup_batch(path)), s)
+    return s.spark.read.parquet(path).select("msg_id")
 
 
 def review_stream(s):

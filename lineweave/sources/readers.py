@@ -31,15 +31,18 @@ def read_delimited(spark, path, encoding="ISO-8859-1"):
 
 
 def read_csv_robust(spark, path):
-    """S3: separators and encodings in order; the first readable file with a column wins."""
+    """S3: separators and encodings in order; the first readable file with a column wins.
+
+    Spark reads bytes that aren't UTF-8 as replacement characters without an error, so one pass over the lines looks for them.
+    """
+    broken = not spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
     for sep in (";", ","):
-        for enc in ("UTF-8", "ISO-8859-1"):
-            try:
-                df = spark.read.csv(path, sep=sep, header=True, encoding=enc)
-                if df.columns:
-                    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
-            except AnalysisException:
-                continue
+        try:
+            df = spark.read.csv(path, sep=sep, header=True, encoding="ISO-8859-1" if broken else "UTF-8")
+            if df.columns:
+                return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+        except AnalysisException:
+            continue
     raise ValueError(f"unreadable file: {path}")
 
 

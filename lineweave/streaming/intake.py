@@ -17,9 +17,25 @@ SUPPLIER_TERMS = [R.SUPPLIER.lower(), "00.145.602"]
 NO_REPLY_CLIENTS = ["mrv"]
 
 
-def dedup_messages(stream, horizon="10 minutes"):
-    """Each message id once.  State is kept for ``horizon`` past the watermark."""
-    return stream.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["msg_id"])
+def dedup_batch(path, prefix=None, slices=64):
+    """A ``foreachBatch`` that adds each message id once, however late it comes, to the table at ``path``.
+
+    The ids are kept for good, in folders by a hash of the id and by batch; a batch reads the slices that it has ids of, and a
+    retried batch overwrites its own folders.  ``prefix`` leaves out messages that carry one of our labels.
+    """
+    def write(batch, batch_id):
+        spark = batch.sparkSession
+        new = not_labelled(batch, prefix) if prefix else batch
+        part = F.pmod(F.xxhash64("msg_id"), F.lit(slices)).cast("int")
+        new = new.groupBy("msg_id").agg(F.min("received_at").alias("received_at")).withColumn("slice", part)
+        try:
+            seen = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("slice", "msg_id")
+            new = new.join(seen, ["slice", "msg_id"], "left_anti")
+        except AnalysisException as e:  # no table before the first batch
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice", "batch").parquet(path)
+    return write
 
 
 def not_labelled(df, prefix):

@@ -116,3 +116,42 @@ def test_validation_reasons(spark):
     df = spark.createDataFrame([(True, "MATCH_DESCRICAO", "1", 2.0, None, None), (False, "", None, None, -1.0, False)], "matched boolean, match_type string, product_code string, final_qty double, discount_pct double, discount_valid boolean")
     got = [r.validation_reason for r in Q.validate(df).collect()]
     assert got == ["OK", f"SEM_MATCH | TIPO_MATCH_NAO_APROVADO:VAZIO | SEM_CODIGO_{R.SUPPLIER} | SEM_QUANTIDADE_FINAL | DESCONTO_NEGATIVO | DESCONTO_INVALIDO"]
+
+
+def test_resolved_wording_that_comes_again_gets_its_own_row(spark):
+    now = F.expr("TIMESTAMP '2024-02-01 00:00:00'")
+    schema = "id long, document string, description string, item_no string, suggested_code string, score double, match_type string, status string, created_at timestamp, alert string, correct_code string, corrected_by string, resolved_at timestamp"
+    new = spark.createDataFrame([("d", "w", "1", "7", 0.5, "M", "", 1)], "document string, description string, item_no string, suggested_code string, score double, match_type string, alert string, row_ord long")
+    first = V.upsert_review(spark.createDataFrame([], schema), new, now)
+    decision = first.select("id", F.lit("resolvido").alias("decision"), F.lit("9").alias("correct_code"), F.lit("u").alias("user"))
+    again = V.upsert_review(V.apply_decisions(first, decision, now), new, now)
+    rows = again.collect()
+    assert len(rows) == 2 and len({r.id for r in rows}) == 2 and all(r.created_at is not None for r in rows)
+    kept = V.prune_pending(again, new.filter("false"), new).collect()
+    assert [r.status for r in kept] == ["resolvido"]
+
+
+def test_short_queries_and_identifiers_are_found(spark):
+    cat = spark.createDataFrame([("1", "TE PVC", 1), ("2", "LUVA", 2)], "product_code string, description string, row_ord long")
+    q = spark.createDataFrame([("te",), ("PVC",), ("x",), ("luva",)], "query string")
+    assert {(r.query, r.product_code) for r in V.search_catalogue(q, cat).collect()} == {("te", "1"), ("PVC", "1"), ("luva", "2")}
+    docs = spark.createDataFrame([("a", "pedido da ABC sa"), ("b", "nada")], "doc_id string, text string")
+    ids = spark.createDataFrame([("abc", "term", "ABC"), ("long", "term", "PEDIDO DE")], "client string, kind string, value string")
+    assert [(r.doc_id, r.client) for r in X.identify_client(docs, ids).collect()] == [("a", "abc")]
+
+
+def test_latin_file_keeps_its_letters(spark, tmp_path):
+    from lineweave.sources.readers import read_csv_robust
+    for encoding in ("latin-1", "utf-8"):
+        (tmp_path / encoding).write_bytes("nome;x\nCONEXÃO;1\n".encode(encoding))
+        assert read_csv_robust(spark, str(tmp_path / encoding)).first().nome == "CONEXÃO"
+
+
+def test_late_messages_are_kept_and_repeats_are_not(spark, tmp_path):
+    from lineweave.streaming.intake import dedup_batch
+    write = dedup_batch(f"{tmp_path}/seen", slices=4)
+    batches = [[("a", 12)], [("b", 14)], [("late", 7)], [("a", 15), ("c", 3), ("c", 4)]]
+    for i, rows in enumerate([*batches, batches[3]]):
+        df = spark.createDataFrame([(m, dt.datetime(2024, 1, 1, h)) for m, h in rows], "msg_id string, received_at timestamp")
+        write(df, min(i, 3))  # the last batch is retried
+    assert sorted(r.msg_id for r in spark.read.parquet(f"{tmp_path}/seen").collect()) == ["a", "b", "c", "late"]
