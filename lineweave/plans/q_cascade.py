@@ -101,7 +101,7 @@ query("m15_retry_without_angle", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 T
 _F13 = "SELECT l_orderkey, l_linenumber, 'TUBO ' || CAST(20 + l_partkey % 3 AS STRING) || 'mm' AS a, CASE WHEN l_tax = 0 THEN 'TUBO' ELSE 'DN ' || CAST(20 + l_suppkey % 3 AS STRING) END AS b, l_partkey % 3 = l_suppkey % 3 OR l_tax = 0 AS same FROM {lineitem}"
 query("f13_measures_compatible", f"SELECT l_orderkey, count(*) FILTER (same) AS compatible FROM ({_F13}) GROUP BY 1")(
     lambda s: s.sql(_F13).withColumn("x", P.typed_measures(F.col("a"))).withColumn("y", P.typed_measures(F.col("b"))).groupBy("l_orderkey").agg(F.count_if(X.measures_compatible(F.col("x"), F.col("y"))).alias("compatible")))
-_F15T = "SELECT DISTINCT p_type AS client, 'TUBO ' || upper(split_part(p_name, ' ', 1)) AS description, 'TUBO' AS ptype FROM {part} WHERE p_size > 49"
+_F15T = "SELECT DISTINCT p_type AS client, 'TUBO ' || upper(split_part(p_name, ' ', 1)) AS description, 'TUBO' AS ptype FROM {part}"
 _F15I = "SELECT DISTINCT p_type AS client, 'TUBO ' || upper(p_name) AS description, 'TUBO' AS ptype, p_type || p_name AS text_id FROM {part}"
 query("f15_missing_tokens")(lambda s: X.missing_tokens(s.sql(_F15I), s.sql(_F15T)))
 

@@ -34,8 +34,8 @@ query("e4_build_blocks", "SELECT CAST(o AS VARCHAR) AS doc_id, n AS block, CASE
 query("e5_structure_items", """SELECT CAST(o AS VARCHAR) AS doc_id, n AS block, CASE k WHEN 0 THEN CAST(n AS VARCHAR) ELSE CAST(1100000 + pk AS VARCHAR) END AS client_code, CASE k WHEN 0 THEN 'TUBO PVC SOLDAVEL ' || CAST(pk AS VARCHAR) || 'MM' ELSE 'TUBO ' || CAST(pk AS VARCHAR) END AS description, qty,
   CAST(total_value AS DOUBLE) AS total, CASE WHEN k = 0 AND q > 40 THEN 'ok_com_ressalvas' ELSE 'ok' END AS status FROM {order_numbers} WHERE k < 2""")(
     lambda s: items(s).select("doc_id", "block", "client_code", "description", "qty", "total", "status"))
-query("e10_extract_by_text", "SELECT CAST(o AS VARCHAR) AS doc_id, 'TUBO SOLDAVEL BRANCO ' || CAST(pk AS VARCHAR) AS description, 'UN' AS unit, qty FROM (SELECT DISTINCT o, pk, qty FROM {order_numbers} WHERE k = 2)")(
-    lambda s: X.extract_by_text(lines(s).filter("text rlike '^[0-9]+[.] '")).select("doc_id", "description", "unit", "qty"))
+query("e10_extract_by_text", "SELECT CAST(o AS VARCHAR) AS doc_id, 'TUBO SOLDAVEL BRANCO ' || CAST(pk AS VARCHAR) AS description, 'UN' AS unit, qty FROM (SELECT DISTINCT o, pk, qty FROM {order_numbers} WHERE k = 2) UNION ALL SELECT CAST(o AS VARCHAR), 'PVC SOLDAVEL ' || CAST(pk AS VARCHAR) || 'MM', 'UN', qty FROM (SELECT DISTINCT o, pk, qty FROM {order_numbers} WHERE k = 0)")(
+    lambda s: X.extract_by_text(lines(s)).select("doc_id", "description", "unit", "qty"))
 query("u13_dedup_lines", "SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM {lineitem})")(
     lambda s: X.dedup_lines(s.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").cast("string").alias("description"), F.col("l_quantity").alias("qty"))).agg(F.count("*").alias("n")))
 query("f11_valid_item", "SELECT valid, count(*) AS n FROM (SELECT l_returnflag <> 'R' AND l_tax < 0.08 AND l_quantity > 2 AS valid FROM {lineitem}) GROUP BY 1")(
@@ -56,7 +56,7 @@ query("e11_extract_generic", _STRAT.replace("SELECT doc_id, CASE", "SELECT strat
 query("u11_quality_gate", "SELECT l_orderkey AS doc_id, CASE WHEN bool_or(l_tax > 0.06) THEN count(*) ELSE 1 END AS n FROM {lineitem} GROUP BY 1")(
     lambda s: X.quality_gate(s.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_tax") > 0.06, "ok").otherwise("falhou").alias("status")),
                              s.lineitem.select(F.col("l_orderkey").alias("doc_id")).distinct()).groupBy("doc_id").agg(F.count("*").alias("n")))
-query("u15_match_template")(lambda s: X.match_template(s.documents.select("doc_id", T.doc_signature(F.col("text"), 4000).alias("signature")), s.benchmark.select(F.col("item_id").alias("template"), T.doc_signature(F.col("text")).alias("signature"))))
+query("u15_match_template")(lambda s: X.match_template(s.documents.select("doc_id", T.doc_signature(F.col("text")).alias("signature")), s.benchmark.select(F.col("item_id").alias("template"), T.doc_signature(F.col("text")).alias("signature"))))
 query("e1_classify_document", """SELECT doc_id, CASE WHEN file_name LIKE '%manual%' THEN 'COTACAO' WHEN k = 0 THEN 'OC' WHEN k = 1 THEN 'COTACAO' WHEN k = 2 THEN 'OC' WHEN k = 3 THEN 'OC' ELSE 'UI' END AS kind FROM (SELECT page_id AS doc_id, url || CASE WHEN page_id % 7 = 0 THEN ' manual' ELSE '' END AS file_name, page_id % 5 AS k FROM {pages})""")(
     lambda s: X.classify_document(
         s.pages.select(F.col("page_id").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("line_no"), t.alias("text")) for i, t in enumerate([
@@ -92,8 +92,8 @@ query("e17_extract_quote", f"SELECT doc_id, CAST(1000 + pk AS VARCHAR) AS code,
     lambda s: X.extract_quote(s.sql(_QD)).select("doc_id", "code", "description", "qty", "price"))
 query("e19_canonical_items", "SELECT l_orderkey, l_linestatus AS order_description, l_quantity AS order_quantity, CASE WHEN l_returnflag = 'N' THEN 'PC' ELSE l_returnflag END AS order_unit_name, '' AS order_code FROM {lineitem}")(
     lambda s: X.canonical_items(s.lineitem.select("l_orderkey", F.col("l_linestatus").alias("description"), F.col("l_quantity").alias("qty"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("unit"))).select("l_orderkey", "order_description", "order_quantity", "order_unit_name", "order_code"))
-query("e22_known_layout", "SELECT doc_id, arg_min(format, ordinal) AS format FROM {documents} JOIN (SELECT item_id AS format, upper(substr(text, 1, 12)) AS ident, item_id AS ordinal FROM {benchmark}) b ON contains(upper(text), ident) GROUP BY doc_id")(
-    lambda s: X.known_layout(s.documents, s.benchmark.select(F.col("item_id").alias("format"), F.substring("text", 1, 12).alias("identifier"), F.col("item_id").alias("ordinal"))))
+query("e22_known_layout", "SELECT doc_id, arg_min(format, ordinal) AS format FROM {documents} JOIN (SELECT item_id AS format, upper(text) AS ident, item_id AS ordinal FROM {benchmark}) b ON contains(upper(text), ident) GROUP BY doc_id")(
+    lambda s: X.known_layout(s.documents, s.benchmark.select(F.col("item_id").alias("format"), F.col("text").alias("identifier"), F.col("item_id").alias("ordinal"))))
 
 _E6 = "SELECT CAST(o AS STRING) AS doc_id, 1 AS page, CAST(n * 2 AS INTEGER) AS line_no, CAST(10000 + n AS STRING) || ' ' || CASE WHEN q > 40 THEN '0' ELSE CAST(q AS STRING) || ',00' END || ' UN TUBO ' || CAST(pk AS STRING) || 'MM 12345 ' || price || ' 0,00 0,00 0,00 ' || total AS text, pk, q, n, k FROM {order_numbers} UNION ALL SELECT CAST(o AS STRING), 1, CAST(n * 2 + 1 AS INTEGER), CASE WHEN k = 0 THEN 'SUPPLIER_NAME CÓD.' || CAST(pk AS STRING) ELSE 'obs' END, 0, 0, 0, 0 FROM {order_numbers}".replace("SUPPLIER_NAME", R.SUPPLIER)
 query("e6_extract_two_line", "SELECT CAST(o AS VARCHAR) AS doc_id, CAST(10000 + n AS VARCHAR) AS client_code, 'TUBO ' || CAST(pk AS VARCHAR) || 'MM' AS description, CASE WHEN k = 0 THEN CAST(pk AS VARCHAR) END AS product_code, CASE WHEN q > 40 THEN round(CAST(total_value AS DOUBLE) / CAST(replace(price, ',', '.') AS DOUBLE), 0) ELSE qty END AS qty FROM {order_numbers}")(
