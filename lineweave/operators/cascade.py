@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import features as P
+from ..functions import rules as R
 from ..functions import scores as D
 from ..functions import text as T
 from ..session import cut_lineage
@@ -22,7 +23,7 @@ def result(df, key, matched, code, description, score, kind, reason, review=Fals
 def match_direct(items, cat, key):
     """M1: a product code on the order itself."""
     j = C.lookup_by_code(items.withColumn("_dc", P.direct_code(F.col("own_code"))), cat.withColumn("_found", F.lit(True)).withColumnRenamed("description", "_cd"), "_dc", ["_found", "_cd"])
-    return result(j.filter("_found"), key, True, F.col("_dc"), F.col("_cd"), 1.0, "MATCH_CODIGO_DIRETO_OC", "CODIGO_PRESENTE_NA_OC")
+    return result(j.filter("_found"), key, True, F.col("_dc"), F.col("_cd"), 1.0, "MATCH_CODIGO_DIRETO_OC", f"CODIGO_{R.SUPPLIER}_PRESENTE_NA_OC")
 
 
 def match_code_map(items, code_map, cat, key, client="MRV"):

@@ -354,22 +354,15 @@ def match_rules(items, cat, key="description"):
 
 # ---- M9 / W7: vectors ----
 
-def knn(queries, vectors, k=10, max_products=50_000):
+def knn(queries, vectors, k=10, max_products=50_000, max_queries=2048):
     """The ``k`` nearest products of each query by inner product, ties by catalogue order.
 
-    Queries stream through Arrow batches against a block of product vectors and
-    only ``k`` rows per query and block come out, so no pair is ever shuffled.
-    A catalogue of checked size is one block; a larger one is cut into blocks
-    that meet the queries through an ordinary join key.
+    Products are cut into blocks and queries into slices of about the given sizes, whatever the tables'; each pair of a
+    block and a slice is one task of bounded memory, and only ``k`` rows per query and block leave it.
     """
-    n = vectors.limit(max_products + 1).count()
-    if n <= max_products:
-        blocks = 1
-    else:
-        blocks = -(-vectors.count() // max_products)
+    blocks, salts = max(1, -(-vectors.count() // max_products)), max(1, -(-queries.count() // max_queries))
     v = vectors.select((F.pmod(F.xxhash64("row_ord"), F.lit(blocks))).alias("block"), "row_ord", "product_code", F.col("embedding").cast("array<float>").alias("embedding"))
     q = queries.select("query_id", F.col("embedding").cast("array<float>").alias("embedding"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
-    salts = max(1, min(64, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     q = q.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)))
     v = v.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     found = q.groupBy("block", "salt").cogroup(v.groupBy("block", "salt")).applyInPandas(
@@ -387,12 +380,15 @@ def nearest(queries, products, k):
     for start in range(0, len(queries), 1024):
         part = queries.iloc[start:start + 1024]
         sims = np.stack(part["embedding"].to_numpy()).astype(np.float64) @ P_.T
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        out.append(pd.DataFrame({
-            "query_id": np.repeat(part["query_id"].to_numpy(), order.shape[1]),
-            "row_ord": products["row_ord"].to_numpy()[order].ravel(),
-            "product_code": products["product_code"].to_numpy()[order].ravel(),
-            "cosine": np.take_along_axis(sims, order, axis=1).ravel()}))
+        most = min(k, sims.shape[1])
+        floor = -np.partition(-sims, most - 1, axis=1)[:, most - 1:most]
+        row, at = np.nonzero(sims >= floor)  # with all that tie at the k-th place
+        order = np.lexsort((at, -sims[row, at], row))
+        row, at = row[order], at[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, at = row[nth < most], at[nth < most]
+        out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "row_ord": products["row_ord"].to_numpy()[at],
+                                 "product_code": products["product_code"].to_numpy()[at], "cosine": sims[row, at]}))
     return pd.concat(out)
 
 
