@@ -40,7 +40,7 @@ def source_targets(sized: DataFrame, weights=(1, 2, 3), cap=CAP) -> DataFrame:
     return s.select("source", "source_size", "n", target.alias("target"))
 
 
-def meet(items, level):
+def meet(items):
     """Meetings in the given order: yields (item index, chance left or drawn, done).  ``items``: (key, size, p, uniform)."""
     held = None
     for i, (key, size, p, u) in enumerate(items):
@@ -71,14 +71,14 @@ def meet(items, level):
         yield held[1], held[3], False
 
 
-def _rounds(seed, level, last):
+def _rounds(last):
     def run(batches):
         import pandas as pd
         kept = None  # the items of a leaf come in order; one item at most is carried over a batch's end
         for b in batches:
             b = b if kept is None else pd.concat([kept, b], ignore_index=True)
             keys = list(zip(b.source, b.leaf))
-            got = list(meet(zip(keys, b["size"].tolist(), b.p.tolist(), b.u.tolist()), level))
+            got = list(meet(zip(keys, b["size"].tolist(), b.p.tolist(), b.u.tolist())))
             at = np.array([g[0] for g in got], np.int64)
             b.loc[b.index[at], "p"] = [g[1] for g in got]
             b.loc[b.index[at], "done"] = [g[2] for g in got]
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), cap=CAP, seed=20) -> DataFrame:
     for level in range(levels):
         u = (F.shiftrightunsigned(F.xxhash64("doc_id", "size", F.lit(seed + 1 + level)), 11) / float(1 << 53)).alias("u")
         dealt = items.select(*columns, u).repartition("source", "leaf").sortWithinPartitions("source", "leaf", F.desc("size"), "u", "doc_id")
-        met = shared_table(dealt.mapInPandas(_rounds(seed, level, level == levels - 1), ITEM), "mixed")
+        met = shared_table(dealt.mapInPandas(_rounds(level == levels - 1), ITEM), "mixed")
         out = met.filter("done") if out is None else out.unionByName(met.filter("done"))
         items = met.filter("NOT done").withColumn("leaf", F.floor(F.col("leaf") / FAN))
     copies = F.col("base") + F.col("p").cast("long")
