@@ -89,7 +89,8 @@ def score(docs: DataFrame, labels: DataFrame, own=OWN, classes=CLASSES, prior=PR
     import pyarrow as pa
     words = vocabulary(docs, own)
     good = labels.groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") >= 1) & (F.col("toxic") < 1), F.lit(False))).alias("target"))
-    flagged = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    flagged = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")  # one plan at every size
+    flagged = flagged.select("text", F.coalesce("target", F.lit(False)).alias("target"))
     target, background = pair_counts(flagged, words, classes)
     background *= target.sum() / max(background.sum(), 1.0)
     model = docs.sparkSession.sparkContext.broadcast((words, losses(target, prior), losses(background, prior)))
