@@ -18,7 +18,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back: lineage ends, columns stay prunable."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,7 @@ from .shared import BASE, batch_bytes, mix64, shared_table, slices, table
 
 LENGTH, GRAM, MOST = 50, 16, 32768
 BATCH = 1 << 21
-CHUNK = 1 << 21  # fragment bytes that are sorted together
+CHUNK = 1 << 20  # fragment bytes that are sorted together
 
 
 def anchors(data, off):
@@ -149,16 +149,13 @@ def _record(columns, names):
 
 
 def _all_anchors(it):
-    """(h, doc) of the anchors; of texts alike in a task one is enough."""
-    seen = set()
+    """(h, doc) of the anchors."""
     for b in it:
         data, off = batch_bytes(b.column("text"))
         docs = b.column("doc_id").to_numpy(zero_copy_only=False)
         for lo, hi in slices(np.diff(off), BATCH):
             row, _, _, h = anchors(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-            pairs = np.unique(np.stack([h.view(np.int64), docs[lo:hi][row]]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
-            for a in range(0, max(1, pairs.shape[1]), 65536):
-                yield _record([pairs[0, a:a + 65536], pairs[1, a:a + 65536]], ["h", "doc_id"])
+            yield _record([h.view(np.int64), docs[lo:hi][row]], ["h", "doc_id"])
 
 
 def _shared(most):
@@ -248,12 +245,23 @@ def spans(docs: DataFrame, later: DataFrame | None = None, most=MOST) -> DataFra
         def go(parts):
             import pyarrow as pa
             t = pa.Table.from_batches(parts).combine_chunks()
-            data, ends = batch_bytes(t.column("piece").combine_chunks())
             doc, start = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
-            owner = np.repeat(np.arange(len(doc)), np.diff(ends))
-            a, b = _runs(repeated(data, ends[1:], doc), owner)
-            shift = start[owner[a]] - ends[owner[a]]
-            return _record([doc[owner[a]], a + shift, b + shift + LENGTH], ["doc_id", "start", "end"])
+            # fragments alike are sorted once, for their first document; later ones go as a whole
+            alike = t.column("piece").combine_chunks().dictionary_encode()
+            data, ends = batch_bytes(alike.dictionary)
+            which = alike.indices.to_numpy()
+            least = np.full(len(ends) - 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, which, doc)
+            owner = np.repeat(np.arange(len(least)), np.diff(ends))
+            a, b = _runs(repeated(data, ends[1:], least), owner)
+            a, b, owner = a - ends[owner[a]], b - ends[owner[a]] + LENGTH, owner[a]
+            later = np.flatnonzero(doc > least[which])
+            first = np.flatnonzero(doc == least[which])
+            lo, n = np.searchsorted(owner, which[first]), np.bincount(owner, minlength=len(least))[which[first]]
+            row = np.repeat(first, n)
+            run = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            return _record([np.concatenate([doc[later], doc[row]]), np.concatenate([start[later], start[row] + a[run]]),
+                            np.concatenate([start[later] + np.diff(ends)[which[later]], start[row] + b[run]])], ["doc_id", "start", "end"])
         held, size = [], 0
         for b in it:
             held.append(b)
