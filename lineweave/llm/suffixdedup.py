@@ -71,8 +71,19 @@ def two_stage(text, ends):
     smaller = step[following] > 0
     keys = words_at(text)
     direct = np.flatnonzero(smaller)
-    order = np.lexsort([keys[k][direct] for k in reversed(range(len(keys)))])
-    direct = direct[order]
+    direct = direct[np.argsort(keys[0][direct], kind="stable")]
+    tied = np.zeros(len(direct), bool)  # with the one before, as far as it has been compared
+    tied[1:] = keys[0][direct[1:]] == keys[0][direct[:-1]]
+    for key in keys[1:]:
+        again = tied | np.append(tied[1:], False)
+        at = np.flatnonzero(again)
+        if not len(at):
+            break
+        some = direct[at]
+        order = np.lexsort((key[some], np.cumsum(~tied)[at]))
+        direct[at] = some[order]
+        own = key[direct[at]]
+        tied[at[1:]] &= own[1:] == own[:-1]
     heads = text[direct].astype(np.int64)
     bounds = np.searchsorted(heads, np.arange(257))
     induced = [[] for _ in range(256)]
