@@ -123,6 +123,37 @@ def test_held_out_documents_are_told_apart(spark):
     assert max(got[i] for i in range(101, 200, 2)) < min(got[i] for i in range(100, 200, 2))
 
 
+@pytest.mark.parametrize("hot_words, hot_pairs", [(lmscore.HOT_WORDS, lmscore.HOT_PAIRS), (5, 3), (1, 0)])
+def test_scores_over_the_whole_vocabulary(spark, monkeypatch, hot_words, hot_pairs):
+    for name, value in (("HOT_WORDS", hot_words), ("HOT_PAIRS", hot_pairs), ("BUCKET", 2000)):
+        monkeypatch.setattr(lmscore, name, value)
+    rng = random.Random(21)
+    rows = [(i, "a b a b the " + words(rng, 30, 4000) + " the end") for i in range(150)] + [(200, "a a a"), (201, "only"), (202, ""), (203, None)]
+    labels = [(i, i % 2, 0) for i in range(100)]
+    got = {r.doc_id: r for r in lmscore.score(docs_of(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    pairs, histories, singles = ({k: collections.Counter() for k in (True, False)} for _ in range(3))
+    texts = {i: (t or "").split() for i, t in rows}
+    for i, s in texts.items():
+        for k in {False, i < 100 and i % 2 == 1}:
+            singles[k].update(s)
+            pairs[k].update(zip(["", *s], s))
+            histories[k].update(["", *s][:-1] if s else [])
+    size, scale = len(singles[False]), singles[True].total() / singles[False].total()
+    assert size > 1024  # more words than 768 and 256 classes
+
+    def loss(k, a, b):
+        f = 1 if k else scale
+        below = singles[k].total() * f + size
+        return -math.log((pairs[k][a, b] * f + lmscore.PRIOR * (singles[k][b] * f + 1) / below) / (histories[k][a] * f + lmscore.PRIOR))
+    for i, s in texts.items():
+        assert got[i].n_words == len(s)
+        if s:
+            want = [np.mean([loss(k, a, b) for a, b in zip(["", *s], s)]) for k in (True, False)]
+            assert (got[i].loss_target, got[i].loss_background, got[i].score) == pytest.approx((*want, want[0] - want[1]), abs=1e-6)
+        else:
+            assert got[i].score is None
+
+
 FIXED = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
