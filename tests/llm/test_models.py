@@ -53,6 +53,24 @@ def test_retrieval_recall_against_all_pairs(spark):
     assert n == 40 and len(near & every) >= 0.9 * len(every) and len(every) == 40
 
 
+def test_paraphrases_of_every_length_are_found(spark):
+    rng = random.Random(22)
+    items = [(n, words(rng, n, 3000)) for n in range(15, 61)] + [(99, "so so so so so so so so so so w1x w2x w3x w4x w5x w6x")]
+    rows, truth = [(9999, words(rng, 40, 3000) + " so so so so so so so so so so so " + words(rng, 40, 3000))], {(9999, 99)}
+    for n, text in items[:-1]:
+        for keep in (0.62, 0.7, 0.8):
+            leak = text.split()
+            last = max(1, n // 4)  # the words that stand for the answer stay
+            for j in rng.sample(range(n - last), n - math.ceil(keep * n)):
+                leak[j] = f"w{rng.randrange(3000)}x"
+            doc = n * 100 + int(100 * keep)
+            rows.append((doc, " ".join([words(rng, rng.randrange(60, 80), 3000), *leak, words(rng, 60, 3000)])))
+            truth.add((doc, n))
+    bench = spark.createDataFrame([(*r, "so" if r[0] == 99 else None) for r in items], "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs_of(spark, rows), bench).collect()}
+    assert (9999, 99) in got and len(truth & got) >= 0.9 * len(truth) and got <= truth
+
+
 def test_randomised_svd_finds_the_axes(spark):
     rng = np.random.default_rng(15)
     mix = rng.standard_normal((200, 3)) @ rng.standard_normal((3, 30))
