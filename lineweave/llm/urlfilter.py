@@ -20,7 +20,7 @@ HOST_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net
 PATTERN_RULES = [("spam farm", ["spam-farm"], r"^([^ /]*\.)?spam-farm\.", "block"),
                  ("cheap pills", ["cheap-pills"], r"^([^ /]*\.)?cheap-pills\.", "block"),
                  ("casino", ["casino"], r"^([^ /]*\.)?casino\.", "block"),
-                 ("tracker", ["click", "track"], r"^[^ ]*/click/track(/|$)", "block")]
+                 ("tracker", ["click", "track"], r"^[^/]* [^?#]*/click/track(/|$)", "block")]
 
 
 def _tokens(text):

@@ -126,3 +126,10 @@ def test_token_counts(spark):
     got = tokencounts.count_tokens(docs_of(spark, list(enumerate(texts))), path, chunk=120, overlap=16, limit=10).collect()
     assert {r.doc_id: (r.n_tokens, r.n_bytes, r.over_limit) for r in got} == {i: (n, len((t or "").encode()), n > 10) for i, (n, t) in enumerate(zip(want, texts))}
     assert tokencounts.count_tokens(docs_of(spark, []), path).count() == 0
+
+
+def test_tracker_rule_blocks_its_path(spark):
+    urls = {"http://h/click/track": "block", "http://h/a/click/track/b": "block", "https://h.gov/click/track?x=1": "block", "http://h/click/tracks": "allow", "http://click/track": "allow", "http://h/x?u=/click/track": "allow"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.pattern) for r in urlfilter.judge_urls(pages).collect()}
+    assert [got[i] for i in range(len(urls))] == [(v, "tracker" if v == "block" else None) for v in urls.values()]
