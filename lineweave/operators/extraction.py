@@ -3,7 +3,6 @@
 Input is text already: ``doc_lines(doc_id, page, line_no, text)`` and
 ``doc_cells(doc_id, page, table_no, row_no, col_no, text)``.
 """
-from functools import reduce
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -411,14 +410,3 @@ def quotation_metadata(cells, lines):
     first = lines.filter("page = 1").withColumn("_n", num).withColumn("_d", day).groupBy("doc_id").agg(
         F.min_by("_n", F.when(F.col("_n").isNotNull(), at)).alias("_n"), F.min_by("_d", F.when(F.col("_d").isNotNull(), at)).alias("date"))
     return first.join(loose, "doc_id", "full_outer").select("doc_id", F.coalesce("_n", "_cell", F.lit("")).alias("number"), F.coalesce("date", F.lit("")).alias("date"))
-
-
-def detect_layout(docs):
-    """Layout of a document by its markers, first in the ladder wins."""
-    t = T.plain_upper(F.col("text"))
-    has = lambda *m: [t.contains(x) for x in m]
-    both = lambda *m: reduce(lambda a, b: a & b, has(*m))
-    either = lambda *m: reduce(lambda a, b: a | b, has(*m))
-    return docs.select("doc_id", F.when(both(f"{SUPPLIER}/{SUPPLIER}", "CODIGO", "QUANTIDADE", "UNIDADE") | both("PROCESSO", "ORDEM DE COMPRA", "BRASAL", "DADOS DO FORNECEDOR"), "BRASAL")
-                       .when(both("DADOS DA ORDEM DE COMPRA", "RESPONSAVEL PELA COMPRA") | both("PAVINI", "OBRA/CENTRO DE CUSTO"), "PAVINI")
-                       .when(both("PEDIDO DE COMPRA", "PROCESSO") & either("PAULO OCTAVIO", "PAULOOCTAVIO", "PO EMPREENDIMENTOS", "PO 827"), "PAULO_OCTAVIO").alias("layout"))

@@ -51,8 +51,6 @@ def strategies(s):
 _STRAT = """SELECT doc_id, CASE WHEN a >= 3 THEN 'TABELA_CABECALHO' WHEN b >= 3 THEN 'TABELA_CONTEUDO' WHEN c >= 3 THEN 'TEXTO' WHEN a >= b AND a >= c THEN 'TABELA_CABECALHO' WHEN b >= c THEN 'TABELA_CONTEUDO' ELSE 'TEXTO' END AS strategy,
   CASE WHEN a >= 3 THEN a WHEN b >= 3 THEN b WHEN c >= 3 THEN c ELSE greatest(a, b, c) END AS n FROM (SELECT l_orderkey AS doc_id, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 25) AS a, count(*) FILTER (l_returnflag <> 'R') AS b, count(*) AS c FROM {lineitem} GROUP BY 1)"""
 query("u10_best_strategy", _STRAT)(lambda s: X.best_strategy(strategies(s)).groupBy("doc_id", "strategy").agg(F.count("*").alias("n")))
-query("e11_extract_generic", _STRAT.replace("SELECT doc_id, CASE", "SELECT strategy, count(*) AS docs FROM (SELECT doc_id, CASE", 1) + ") GROUP BY 1")(
-    lambda s: X.best_strategy(strategies(s)).groupBy("strategy").agg(F.countDistinct("doc_id").alias("docs")))
 query("u11_quality_gate", "SELECT l_orderkey AS doc_id, CASE WHEN bool_or(l_tax > 0.06) THEN count(*) ELSE 1 END AS n FROM {lineitem} GROUP BY 1")(
     lambda s: X.quality_gate(s.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_tax") > 0.06, "ok").otherwise("falhou").alias("status")),
                              s.lineitem.select(F.col("l_orderkey").alias("doc_id")).distinct()).groupBy("doc_id").agg(F.count("*").alias("n")))
@@ -80,7 +78,6 @@ def cells(s):
 
 
 query("e8_extract_by_header", "SELECT o AS doc_id, n AS row_no, 'TUBO ' || CAST(pk AS VARCHAR) AS description, qty, 'PC' AS unit FROM {order_numbers}")(lambda s: X.extract_by_header(cells(s)).select("doc_id", "row_no", "description", "qty", "unit"))
-query("s9_items_from_cells", "SELECT o AS doc_id, count(*) AS n, sum(qty) AS qty FROM {order_numbers} GROUP BY 1")(lambda s: X.extract_by_header(cells(s)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("qty").alias("qty")))
 _ML = "SELECT CAST(o AS STRING) AS doc_id, 1 AS page, CAST(n AS INTEGER) AS line_no, CAST(1 + n AS STRING) || ' TUBO PVC ' || CAST(pk AS STRING) || 'MM ' || price || ' UND ' || CAST(q AS STRING) || CASE WHEN k = 0 THEN ' R$ ' || total ELSE '' END AS text, pk, qty, k, total_value FROM {order_numbers}"
 query("e15_parse_model_line", f"SELECT doc_id, line_no, 'TUBO PVC ' || CAST(pk AS VARCHAR) || 'MM' AS description, qty, 'UN' AS unit, CASE WHEN k = 0 THEN CAST(total_value AS DOUBLE) END AS document_total FROM ({_ML})")(
     lambda s: X.parse_model_line(s.sql(_ML)).select("doc_id", "line_no", "description", "qty", "unit", "document_total"))
@@ -95,7 +92,7 @@ query("e19_canonical_items", "SELECT l_orderkey, l_linestatus AS order_descripti
 query("e22_known_layout", "SELECT doc_id, arg_min(format, ordinal) AS format FROM {documents} JOIN (SELECT item_id AS format, upper(text) AS ident, item_id AS ordinal FROM {benchmark}) b ON contains(upper(text), ident) GROUP BY doc_id")(
     lambda s: X.known_layout(s.documents, s.benchmark.select(F.col("item_id").alias("format"), F.col("text").alias("identifier"), F.col("item_id").alias("ordinal"))))
 
-_E6 = "SELECT CAST(o AS STRING) AS doc_id, 1 AS page, CAST(n * 2 AS INTEGER) AS line_no, CAST(10000 + n AS STRING) || ' ' || CASE WHEN q > 40 THEN '0' ELSE CAST(q AS STRING) || ',00' END || ' UN TUBO ' || CAST(pk AS STRING) || 'MM 12345 ' || price || ' 0,00 0,00 0,00 ' || total AS text, pk, q, n, k FROM {order_numbers} UNION ALL SELECT CAST(o AS STRING), 1, CAST(n * 2 + 1 AS INTEGER), CASE WHEN k = 0 THEN 'SUPPLIER_NAME CÓD.' || CAST(pk AS STRING) ELSE 'obs' END, 0, 0, 0, 0 FROM {order_numbers}".replace("SUPPLIER_NAME", R.SUPPLIER)
+_E6 = f"SELECT CAST(o AS STRING) AS doc_id, 1 AS page, CAST(n * 2 AS INTEGER) AS line_no, CAST(10000 + n AS STRING) || ' ' || CASE WHEN q > 40 THEN '0' ELSE CAST(q AS STRING) || ',00' END || ' UN TUBO ' || CAST(pk AS STRING) || 'MM 12345 ' || price || ' 0,00 0,00 0,00 ' || total AS text, pk, q, n, k FROM {{order_numbers}} UNION ALL SELECT CAST(o AS STRING), 1, CAST(n * 2 + 1 AS INTEGER), CASE WHEN k = 0 THEN '{R.SUPPLIER} CÓD.' || CAST(pk AS STRING) ELSE 'obs' END, 0, 0, 0, 0 FROM {{order_numbers}}"
 query("e6_extract_two_line", "SELECT CAST(o AS VARCHAR) AS doc_id, CAST(10000 + n AS VARCHAR) AS client_code, 'TUBO ' || CAST(pk AS VARCHAR) || 'MM' AS description, CASE WHEN k = 0 THEN CAST(pk AS VARCHAR) END AS product_code, CASE WHEN q > 40 THEN round(CAST(total_value AS DOUBLE) / CAST(replace(price, ',', '.') AS DOUBLE), 0) ELSE qty END AS qty FROM {order_numbers}")(
     lambda s: X.extract_two_line(s.sql(_E6)).select("doc_id", "client_code", "description", "product_code", F.round("qty", 0).alias("qty")))
 
@@ -135,5 +132,3 @@ query("e14_quotation_metadata", "SELECT o_orderkey AS doc_id, CASE WHEN o_orders
     lambda s: X.quotation_metadata(
         s.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), F.lit(2).alias("row_no"), F.lit(1).alias("col_no"), (10000 + F.col("o_custkey")).cast("string").alias("text")),
         s.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.concat(F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Nº Cotação: "), (100 + F.col("o_custkey")).cast("string"))).otherwise("x"), F.lit(" em 01/02/2026")).alias("text"))))
-query("e2_detect_layout", "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'P' THEN 'BRASAL' WHEN 'O' THEN 'PAVINI' END AS layout FROM {orders}")(
-    lambda s: X.detect_layout(s.orders.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "P", "Processo 1 Ordem de compra Brasal dados do fornecedor").when(F.col("o_orderstatus") == "O", "DADOS DA ORDEM DE COMPRA responsável pela compra").otherwise("z").alias("text"))))
