@@ -2,10 +2,11 @@
 
 Base patterns with their checks give the base spans.  High-recall generators propose further, overlapping spans (numbers
 in any grouping, long keys, written-out addresses); boosted trees score them by format and context.  They learn from a
-bounded sample of documents: a proposal is positive where it is a base span (or, for keys, follows a word that announces
-one), and the features hold none of these checks.  A threshold per generator, calibrated on sampled documents that the
-trees haven't seen, is the least score whose proposals are right in ``precision`` of the cases; proposals above it that
-touch no base span are added.
+bounded sample of documents: a proposal is positive where it is a base span or a cue that the features don't see says so (a
+word that announces a key or a phone, a known last label of an address), and negative where it cuts a base span, is too
+short, or its cue says otherwise; a proposal that touches no base span and has no cue is no example.  A threshold per
+generator, calibrated on all documents of the half that the trees haven't seen, is the least score whose proposals are
+right in ``precision`` of the cases; proposals above it that touch no base span are added.
 """
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -35,6 +36,9 @@ WIDE = {
 KINDS = [*BASE, *WIDE]
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 ANNOUNCED = r"(?i)(?:token|secret|passw(?:or)?d|api.?key|key|auth)[\W_]{0,5}$"
+PHONED = r"(?i)(?:tel(?:e(?:fone?|phone))?|phone|fone|call|mobile|handy|cell?|whatsapp|fax|telefon|t[ée]l[ée]phone|appel(?:ez|er)?|anruf|llam[ae]r?)[\W_]{0,4}$"
+COUNTED = r"(?i)(?:order|invoice|ref(?:erence)?|isbn|price|page|version|pedido|art(?:ikel)?|item|total|build|ticket|[#$€£])[\W_]{0,4}(?:n[ro°º]?[\W_]{0,3})?$"
+LAST_LABELS = r"(?i)\W(?:com|org|net|edu|gov|int|info|io|dev|app|biz|de|fr|es|uk|eu|br|us|example|test|invalid)$"
 SPAN = "array<struct<start:int,end:int,kind:string,value:string,before:string,after:string>>"
 
 
@@ -91,7 +95,7 @@ def _place(text):
             .when(text.rlike("^[\"'`]$"), 4).when(text.rlike(r"^[.,;:]$"), 5).when(text.rlike(r"^[=@/+_-]$"), 6).otherwise(7))
 
 
-FEATURES = ["kind", "length", "digits", "letters", "upper", "marks", "groups", "first_group", "last_group", "hex", "plus", "before", "after", "cue"]
+FEATURES = ["kind", "length", "digits", "letters", "upper", "marks", "groups", "first_group", "last_group", "hex", "plus", "before", "after", "cue", "brackets", "spaces", "written"]
 
 
 def described(c: DataFrame) -> DataFrame:
@@ -100,22 +104,31 @@ def described(c: DataFrame) -> DataFrame:
     groups = F.array_remove(F.split(v, r"[^A-Za-z0-9]+"), "")
     values = [F.array_position(F.lit(KINDS), F.col("s.kind")), F.length(v), F.regexp_count(v, F.lit("[0-9]")), F.regexp_count(v, F.lit("[A-Za-z]")), F.regexp_count(v, F.lit("[A-Z]")),
               F.regexp_count(v, F.lit("[^A-Za-z0-9]")), F.size(groups), F.length(F.try_element_at(groups, F.lit(1))), F.length(F.try_element_at(groups, F.lit(-1))), v.rlike("^[0-9a-f]+$"),
-              v.startswith("+"), _place(F.right(b, F.lit(1))), _place(F.left("s.after", F.lit(1))), b.rlike(r"[=:]\s?[\"']?$")]
+              v.startswith("+"), _place(F.right(b, F.lit(1))), _place(F.left("s.after", F.lit(1))), b.rlike(r"[=:]\s?[\"']?$"), v.rlike(r"[\[(]"), F.regexp_count(v, F.lit(" ")),
+              v.rlike(r"(?i)\W(?:at|dot)\W")]
     return c.withColumns({f"f_{n}": F.coalesce(x.cast("double"), F.lit(0.0)) for n, x in zip(FEATURES, values)})
 
 
 def fitted(proposed: DataFrame, sample=SAMPLE, precision=PRECISION):
-    """(trees, {kind: threshold}) from a sample of at most about ``sample`` documents, by their content; None without both labels."""
+    """(trees, {kind: threshold}); None without examples of both labels.
+
+    The trees see the half by content of a sample of about ``sample`` documents; thresholds come from the whole other half.
+    """
     n = proposed.count()
     share = F.pmod(F.xxhash64("content", F.lit(7)), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(n, 1)))
     s = F.col("s")
     touched = F.exists("base", lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"]))
     same = F.exists("base", lambda x: (x["start"] == s["start"]) & (x["end"] == s["end"]))
-    picked = proposed.filter(share & (F.size("wide") > 0)).select("content", "base", F.explode("wide").alias("s"))
-    label = F.when(F.col("s.kind") == "secret", F.col("s.before").rlike(ANNOUNCED) & F.col("s.value").rlike("[0-9]")).otherwise(same)
-    seen = described(picked.filter((F.col("s.kind") == "secret") | same | ~touched | (F.length("s.value") < 9)).withColumn("label", label.cast("double")))
+    kind, before, value = F.col("s.kind"), F.col("s.before"), F.col("s.value")
+    digits = F.length(_digits(value))
+    announced = before.rlike(ANNOUNCED) & value.rlike("[0-9]")
+    number = F.when(same, True).when(touched | (digits < 9) | (digits > 19), False).when(before.rlike(PHONED) & (digits <= 15), True).when(before.rlike(COUNTED), False)
+    contact = F.when(same, True).when(touched, False).otherwise(value.rlike(LAST_LABELS))
+    label = F.when(kind == "secret", announced).when(kind == "number", number).otherwise(contact)
+    picked = proposed.filter(F.size("wide") > 0).select("content", "base", share.alias("sampled"), F.pmod("content", F.lit(2)).alias("half"), F.explode("wide").alias("s"))
+    seen = described(picked.filter("half = 1 OR sampled").withColumn("label", label.cast("double")).filter("label IS NOT NULL"))
     columns = [f"f_{n}" for n in FEATURES]
-    rows = shared_table(seen.select(*columns, "label", F.pmod("content", F.lit(2)).alias("half")), "proposals")
+    rows = shared_table(seen.select(*columns, "label", "half"), "proposals")
     if rows.filter("half = 0").select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)

@@ -221,6 +221,21 @@ def test_boosted_trees_add_keys(spark):
     assert sum("secret" in got[i] for i in plain) == 0
 
 
+def test_boosted_trees_add_numbers_and_written_addresses(spark):
+    rng = random.Random(23)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = []
+    for i in range(1200):
+        cue = rng.choice(["call", "tel", "fone:", "write to", "see"])
+        kind = i % 6
+        said = {0: f"{cue} +{digits(2)} {digits(5)} {digits(4)}", 1: f"tel {rng.choice('123456789')}{digits(10)}", 2: f"{cue} john{i} (at) example dot com", 3: f"order no {digits(4)}-{digits(8)}", 4: f"look at home. the {digits(4)}", 5: f"mail x{i}@y{i}.org"}[kind]
+        rows.append((i, f"{words(rng, 8)} {said} {words(rng, 6)}"))
+    got = {r.doc_id: r.spans for r in pii.detect(docs_of(spark, rows)).collect()}
+    share = lambda kind, word: sum(word in got[i] for i in range(kind, 1200, 6)) / 200
+    assert share(1, "number:") >= 0.9 and share(2, "contact:") >= 0.9
+    assert share(3, "number:") <= 0.1 and share(4, "contact:") <= 0.1 and share(4, "number:") == 0
+
+
 def test_redaction(spark):
     rows = [("mail x@y.zz, ip 1.2.3.4!", [(5, 11, "email"), (16, 23, "ip")]), ("abcdef", [(1, 4, "card"), (2, 5, "phone")]), ("none", [])]
     df = spark.createDataFrame(rows, "t string, s array<struct<start:int,end:int,kind:string>>")
