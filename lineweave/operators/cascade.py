@@ -1,4 +1,6 @@
 """Priority cascade over all match stages."""
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import features as P
@@ -7,6 +9,7 @@ from ..functions import scores as D
 from ..functions import text as T
 from ..session import cut_lineage
 from . import catalogue as C
+from . import clienttable as X
 from . import linkage as L
 from .quantity import adjust_quantity
 from .similarity import near_pairs
@@ -51,10 +54,16 @@ def match_corrections(texts, corrections, floor=0.85):
 
 
 def match_fallback(items, cat, floor=0.30):
-    """Structure and plain text for wordings the description stage neither matched nor blocked."""
+    """Structure and plain text for wordings the description stage neither matched nor blocked.
+
+    ``items`` may say ``is_tube`` and ``length_m`` of a line, ``cat`` ``c_is_tube`` and ``c_length``; what is missing agrees
+    with nothing.  ``conflict`` tells a contradicted best product from a poor one.
+    """
     p = L.candidates(items, cat)
-    length = P.length_m(F.col("clean"))
-    struct = D.structure_score(F.col("category"), F.nullif("c_category", F.lit("")), F.lit(None).cast("boolean"), F.lit(False), F.array_max("diameters"), F.col("c_diameter_mm"), length, F.lit(None).cast("double"))
+    said = lambda c, kind: F.col(c) if c in p.columns else F.lit(None).cast(kind)
+    tube, length = said("is_tube", "boolean"), said("length_m", "double")
+    c_tube = F.coalesce(said("c_is_tube", "boolean"), F.lit(False))
+    struct = D.structure_score(F.col("category"), F.nullif("c_category", F.lit("")), tube, c_tube, F.array_max("diameters"), F.col("c_diameter_mm"), length, said("c_length", "double"))
     s = p.withColumn("structure", struct).withColumn("textual", D.fallback_text(F.col("description"), F.col("c_norm_text"))).withColumn("score", D.fallback_score(F.col("structure"), F.col("textual")))
     b = L.best_candidate(s, ["description"]).withColumn("conflict", L.hard_conflict())
     ok = (F.col("score") >= floor) & ~F.col("conflict")
@@ -63,6 +72,13 @@ def match_fallback(items, cat, floor=0.30):
                   F.when(ok, "FALLBACK").otherwise(low), ~ok)
 
 
+def guard_vector(vector, feats, side):
+    """M9: vector matches (description, row_ord and ``match_vector``'s columns) that don't contradict their order text, as results."""
+    j = vector.filter("matched").select("description", "row_ord", "score", "match_type", "manual_review").join(feats, "description")
+    j = j.join(side, "row_ord").filter(~L.hard_conflict())
+    return result(j, ["description"], True, F.col("product_code"), F.col("c_description"), F.col("score"), F.col("match_type"), "MOTOR_SEMANTICO", F.col("manual_review"))
+
+
 def prefer_vector(desc, vector):
     """M9 rule: a weak, not sole description match gives way to a better vector match."""
     v = vector.select("description", *[F.col(c).alias("v_" + c) for c in RESULT])
@@ -78,57 +94,114 @@ def apply_verdicts(items, verdicts, cat):
     return result(j, ["description"], True, F.col("verdict_code"), F.col("_cd"), F.col("score"), "MATCH_IA", F.col("justification"), True)
 
 
-def match_items(items, raw_catalogue, code_map=None, corrections=None, text_map=None):
-    """First stage that answers wins.
+def exact_stages(items, cat, code_map=None, text_map=None, key="line_key"):
+    """M1-M3: the first code stage that answers, per line."""
+    stages = [match_direct(items, cat, [key])]
+    if code_map is not None:
+        stages.append(match_code_map(items, code_map, cat, [key]))
+    if text_map is not None:
+        stages.append(match_code_map_text(items, text_map, [key]))
+    tagged = reduce(lambda a, b: a.unionByName(b), [s.withColumn("_p", F.lit(n)) for n, s in enumerate(stages)])
+    return tagged.groupBy(key).agg(F.min_by(F.struct(*RESULT), "_p").alias("_r")).select(key, "_r.*")
+
+
+def table_side(table, catalogue):
+    """The products of each client's newest price table, as candidates."""
+    index = C.price_index(X.latest_table(table), catalogue)
+    d = F.col("description")
+    feat = C.catalogue_features(index.withColumns({"c_material": P.material(d), "c_reduction": P.plain_reduction(d), "c_numbers": P.numbers(d)}))
+    return L.candidate_side(feat, ["client", "table_price", "c_material", "c_reduction", "c_numbers", "index_code"])
+
 
-    Exact code stages run on the lines and are joins; everything that reads a
-    description runs once per distinct wording of the lines left over.
+def match_client_table(lines, table, catalogue):
+    """M4 in the cascade: lines (line_key, doc_id, client, description, unit_price) of clients that have a price table.
+
+    A document's price factor (A8) comes from its priced lines against the products their wordings take; then wordings
+    meet the table once per price and factor.
+    """
+    side = table_side(table, catalogue)
+    own = lines.select("line_key", "doc_id", "client", "description", F.col("unit_price").cast("double").alias("price")).join(side.select("client").distinct(), "client", "left_semi")
+    words = own.select("client", "description").distinct().withColumn("item_key", F.md5(F.concat_ws("|", "client", "description")))
+    pairs = cut_lineage(X.restricted_pairs(L.item_features(words), side))
+    first = X.first_without_conflict(X.judged_pairs(pairs)).select("item_key", "table_price").join(words, "item_key").select("client", "description", "table_price")
+    ratios = own.filter("price > 0").join(first, ["client", "description"]).select("doc_id", (F.col("price") / F.col("table_price").cast("double")).alias("ratio")).filter("ratio > 0")
+    own = own.join(X.price_factor(ratios), "doc_id", "left")
+    own = own.withColumn("item_key", F.md5(F.concat_ws("|", "client", "description", F.coalesce(F.col("price").cast("string"), F.lit("")), F.coalesce(F.col("factor").cast("string"), F.lit("")))))
+    asked = own.select("item_key", "client", "description", "price", "factor").dropDuplicates(["item_key"])
+    out = X.match_price_table(asked.drop("client"), pairs.drop("item_key").join(asked, ["client", "description"]))
+    got = own.select("line_key", "item_key").join(out, "item_key")
+    return result(got, ["line_key"], True, F.col("product_code"), F.col("matched_description"), F.col("score"), F.col("match_type"), F.col("reason"), F.col("manual_review"))
+
+
+def match_items(items, raw_catalogue, code_map=None, corrections=None, text_map=None, price_table=None, vectors=None, verdicts=None):
+    """First stage that answers wins; (results, featured catalogue).
+
+    Exact code stages run on the lines and are joins; the client's price table takes lines with a ``client`` that has one;
+    everything else that reads a description runs once per distinct wording of the lines left over.  ``vectors`` are the
+    matches of ``match_vector`` by description, ``verdicts`` outside decisions.
     """
-    key = ["line_key"]
     cat = C.catalogue_features(C.build_catalogue(raw_catalogue))
-    side = L.candidate_side(cat)
-    stages = [match_direct(items, cat, key)]
-    if code_map is not None:
-        stages.append(match_code_map(items, code_map, cat, key))
-    if text_map is not None:
-        stages.append(match_code_map_text(items, text_map, key))
-    tagged = [s.withColumn("_p", F.lit(n)) for n, s in enumerate(stages)]
-    exact = tagged[0]
-    for s in tagged[1:]:
-        exact = exact.unionByName(s)
-    exact = cut_lineage(exact.groupBy(*key).agg(F.min_by(F.struct(*RESULT), "_p").alias("_r")).select(*key, "_r.*"))
-    rest = items.join(exact.select(*key), key, "left_anti")
-    texts = rest.select("description").distinct()
-    by_text = match_texts(texts, side, corrections)
-    return exact.unionByName(rest.select(*key, "description").join(by_text, "description").select(*key, *RESULT)), cat
-
-
-def match_texts(texts, side, corrections=None):
-    """Description half of the cascade: corrections, rules, description, fallback, no match."""
+    side = L.candidate_side(cat, ["is_tube as c_is_tube", "bar_length_m as c_length"])
+    done = cut_lineage(exact_stages(items, cat, code_map, text_map))
+    if price_table is not None:
+        rest = items.join(done.select("line_key"), "line_key", "left_anti")
+        done = cut_lineage(done.unionByName(match_client_table(rest, price_table, C.build_catalogue(raw_catalogue))))
+    rest = items.join(done.select("line_key"), "line_key", "left_anti")
+    by_text = match_texts(rest.select("description").distinct(), side, corrections, vectors, verdicts, cat)
+    return done.withColumn("composition", F.lit(None).cast("string")).withColumn("candidates", F.lit(None).cast("string")).unionByName(
+        rest.select("line_key", "description").join(by_text, "description").select("line_key", *RESULT, "composition", "candidates")), cat
+
+
+def match_texts(texts, side, corrections=None, vectors=None, verdicts=None, cat=None):
+    """Description half of the cascade, one row per wording: corrections, rules, description, vectors, fallback, verdicts, no match.
+
+    Each stage takes the wordings left by the one before; a result that blocks ends the way of its wording.  ``composition``
+    and ``candidates`` come with wordings that go to review without a product.
+    """
     none = F.lit(None).cast("string")
+    key = ["description"]
     done = []
+
+    def leave(frame, out):
+        out = cut_lineage(out.select("description", *RESULT, *[c if c in out.columns else none.alias(c) for c in ("composition", "candidates")]))
+        done.append(out)
+        return frame.join(out.select("description"), "description", "left_anti")
+    left = texts
     if corrections is not None:
-        c = match_corrections(texts, corrections)
-        done.append(result(c, ["description"], True, F.col("product_code"), F.col("matched_description"), F.col("score"), "MATCH_CORRECAO_APRENDIDA", F.concat(
+        c = match_corrections(left, corrections)
+        left = leave(left, result(c, key, True, F.col("product_code"), F.col("matched_description"), F.col("score"), "MATCH_CORRECAO_APRENDIDA", F.concat(
             F.lit("CORRECAO_HUMANA_APRENDIDA(sim="), F.format_string("%.1f", F.col("score") * 100), F.lit("%)"))))
-    done.append(L.match_rules(texts, side).select("description", *RESULT))
-    feats = L.item_features(texts)
+    left = leave(left, L.match_rules(left, side))
+    feats = L.item_features(left)
     desc = cut_lineage(L.match_description(feats, side))
-    done.append(desc.filter("matched or blocks_fallback").select("description", *RESULT))
-    blocked = F.col("category").isNotNull() | F.col("subcategory").isNotNull() | F.col("angle").isNotNull()
-    alone = feats.filter(blocked).join(desc.select("description"), "description", "left_anti")
-    done.append(result(alone, ["description"], False, none, none, 0.0, "SEM_MATCH", "SEM_CANDIDATOS_ESTRUTURAIS", True))
-    open_ = feats.filter(~blocked).join(desc.filter("matched").select("description"), "description", "left_anti")
-    done.append(match_fallback(open_, side))
-    done.append(result(texts, ["description"], False, none, none, 0.0, "SEM_MATCH", "SEM_CANDIDATOS_ESTRUTURAIS", True))
-    u = done[0].withColumn("_p", F.lit(0))
-    for n, d in enumerate(done[1:], 1):
-        u = u.unionByName(d.withColumn("_p", F.lit(n)))
-    return u.groupBy("description").agg(F.min_by(F.struct(*RESULT), "_p").alias("_r")).select("description", "_r.*")
+    vector = cut_lineage(guard_vector(vectors.join(left, "description", "left_semi"), feats, side)) if vectors is not None else None
+    good = desc.filter("matched")
+    left = leave(left, prefer_vector(good, vector) if vector is not None else good)
+    blocked = desc.filter("blocks_fallback and not matched").select("description", *RESULT, "candidates")
+    left = leave(left, blocked)
+    # wordings with an anchor but no structural product: nearest products for the reviewer, or a composition of two
+    anchored = feats.filter(F.col("category").isNotNull() | F.col("subcategory").isNotNull() | F.col("angle").isNotNull()).join(left.select("description"), "description", "left_semi")
+    shown = anchored.select("description").join(L.no_structural(anchored, side), "description", "left").join(
+        L.suggest_composition(anchored, side).select("description", "composition", F.col("reason").alias("_why")), "description", "left")
+    pair = F.col("composition").isNotNull()
+    alone = shown.select("description", F.lit(False).alias("matched"), none.alias("product_code"), none.alias("matched_description"), F.lit(0.0).alias("score"),
+                         F.when(pair, "SUGESTAO_COMPOSICAO").otherwise("SEM_MATCH").alias("match_type"), F.coalesce("_why", F.lit("SEM_CANDIDATOS_ESTRUTURAIS")).alias("reason"), F.lit(True).alias("manual_review"),
+                         "composition", F.coalesce("composition", "candidates").alias("candidates"))
+    left = leave(left, alone)
+    fall = cut_lineage(match_fallback(feats.join(left.select("description"), "description", "left_semi"), side))
+    left = leave(left, fall.filter("matched and score >= 0.70"))
+    if verdicts is not None:  # outside decisions are asked where the fallback has candidates but no match
+        poor = left.join(fall.filter("not matched").select("description"), "description", "left_semi")
+        left = leave(left, apply_verdicts(poor.join(fall.select("description", "score"), "description"), verdicts, cat))
+    if vector is not None:
+        left = leave(left, vector.join(left.select("description"), "description", "left_semi"))
+    left = leave(left, fall.join(left.select("description"), "description", "left_semi"))
+    leave(left, result(left, key, False, none, none, 0.0, "SEM_MATCH", "SEM_CANDIDATOS_ESTRUTURAIS", True))
+    return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def match_batch(items, raw_catalogue, **sides):
-    """Cascade, then the quantity rule on each line."""
+    """Price factor per document, cascade, then the quantity rule on each line."""
     matched, cat = match_items(items, raw_catalogue, **sides)
     joined = items.join(matched, "line_key")
     # direct, text-map and learned matches carry no bar length, as in the rules they follow

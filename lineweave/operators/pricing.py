@@ -6,6 +6,7 @@ from ..functions import features as P
 from ..functions import rules as R
 from ..functions import scores as D
 from ..functions import text as T
+from ..session import cut_lineage
 from .common import last_per_key, ranked
 
 VIA_CODE = f"CÓD. {R.SUPPLIER}"
@@ -210,30 +211,59 @@ def compare_return(process, returned):
     return rows.unionByName(extra_rows)
 
 
-def _match_by_text(rest, free):
-    """Description stage of C3.
+def _match_by_text(rest, free, serial=200_000):
+    """Description stage of C3: (process_id, row_ord, r_ord, score).
 
-    Rows meet only returns of their own document, only after the code stage has
-    taken what it can, and only where the measures do not contradict; the pairs
-    that reach the 0.50 floor are then chosen in document order.
+    Whether two rows may meet depends on their measures alone, so that is settled once per pair of measure sets of a
+    process, and wordings are scored once per pair of texts.  The choice is the serial one, in document order, each
+    return row once.  A process of up to ``serial`` pairs streams through one task; a larger one first goes through
+    rounds in which every row whose best return nobody before it could still take is settled at once.
     """
-    left = rest.select("process_id", "row_ord", "text", F.coalesce("description", F.lit("")).alias("description"))
-    right = free.select("process_id", "r_ord", "r_description")
-    pairs = left.join(right, "process_id")
-    ml = F.col("ml")
-    pairs = pairs.withColumn("ml", P.typed_measures(F.concat_ws(" \n ", "text", "description"))).withColumn("mr", P.typed_measures(F.col("r_description")))
+    def measured(df, column):
+        m = df.withColumn("m", column)
+        return m.withColumn("mk", F.md5(F.to_json("m")))
+    left = measured(rest.select("process_id", "row_ord", "text", F.coalesce("description", F.lit("")).alias("description")), P.typed_measures(F.concat_ws(" \n ", "text", F.coalesce("description", F.lit("")))))
+    right = measured(free.select("process_id", "r_ord", "r_description"), P.typed_measures(F.col("r_description")))
+    lp, rp = left.select("process_id", "mk", "m").dropDuplicates(["process_id", "mk"]), right.select("process_id", F.col("mk").alias("r_mk"), F.col("m").alias("rm")).dropDuplicates(["process_id", "r_mk"])
     ok = F.lit(True)
     for k in ("size", "inch", "dim"):
-        a, b = ml[k], F.col("mr")[k]
+        a, b = F.col("m")[k], F.col("rm")[k]
         ok = ok & ((F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b))
-    pairs = pairs.filter(ok).drop("ml", "mr")
+    meet = lp.join(rp, "process_id").filter(ok).select("process_id", "mk", "r_mk")
+    pairs = left.drop("m").join(meet, ["process_id", "mk"]).join(right.drop("m").withColumnRenamed("mk", "r_mk"), ["process_id", "r_mk"])
+    pairs = cut_lineage(pairs.select("process_id", "row_ord", "r_ord", "text", "description", "r_description"))
     up = T.plain_upper
-    score = F.greatest(D.token_set_ratio(up(F.col("text")), up(F.col("r_description"))),
-                       D.token_set_ratio(up(F.col("description")), up(F.col("r_description"))))
-    pairs = pairs.withColumn("score", score).filter("score >= 0.50").select("process_id", "row_ord", "r_ord", "score")
-    ordered = pairs.repartition("process_id").sortWithinPartitions(
-        "process_id", "row_ord", F.desc("score"), "r_ord")
-    return ordered.mapInPandas(greedy_stream, "process_id string, row_ord long, r_ord long, score double")
+    texts = ["text", "description", "r_description"]
+    score = F.greatest(D.token_set_ratio(up(F.col("text")), up(F.col("r_description"))), D.token_set_ratio(up(F.col("description")), up(F.col("r_description"))))
+    scored = pairs.select(*texts).distinct().withColumn("score", score).filter("score >= 0.50")
+    pairs = cut_lineage(pairs.join(scored, texts).select("process_id", "row_ord", "r_ord", "score"))
+    return choose_in_order(pairs, serial)
+
+
+def choose_in_order(pairs, serial=200_000):
+    """The greedy choice of C3 over (process_id, row_ord, r_ord, score): rows in order, each the best return still free.
+
+    A row's best free return is settled when no row before it has that return among its pairs: nobody can take it first.
+    Such rows are settled together, they and their returns leave, and the rest goes on until a process is small enough or a
+    round settles less than a tenth of its rows (rows alike that want the same returns); then it is streamed serially.
+    """
+    schema = "process_id string, row_ord long, r_ord long, score double"
+    done = None
+    while True:
+        large = pairs.groupBy("process_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > serial).select("process_id")
+        small = pairs.join(large, "process_id", "left_anti").repartition("process_id").sortWithinPartitions("process_id", "row_ord", F.desc("score"), "r_ord")
+        if large.isEmpty():
+            out = small.mapInPandas(greedy_stream, schema)
+            return out if done is None else done.unionByName(out)
+        out = cut_lineage(small.mapInPandas(greedy_stream, schema))
+        big = pairs.join(large, "process_id", "left_semi")
+        best = big.groupBy("process_id", "row_ord").agg(F.max_by(F.struct("r_ord", "score"), F.struct("score", (-F.col("r_ord")).alias("r"))).alias("b")).select("process_id", "row_ord", "b.r_ord", "b.score")
+        first = big.groupBy("process_id", "r_ord").agg(F.min("row_ord").alias("row_ord"))
+        settled = cut_lineage(best.join(first, ["process_id", "row_ord", "r_ord"]).select("process_id", "row_ord", "r_ord", "score"))
+        done = out.unionByName(settled) if done is None else done.unionByName(out).unionByName(settled)
+        slow = settled.count() * 10 < best.count()
+        pairs = cut_lineage(big.join(settled.select("process_id", "row_ord"), ["process_id", "row_ord"], "left_anti").join(settled.select("process_id", "r_ord"), ["process_id", "r_ord"], "left_anti"))
+        serial = 1 << 62 if slow else serial
 
 
 def return_summary(df):

@@ -1,4 +1,6 @@
 """Review queue, learning, register of companies, and their metrics (U, R, A11-A23, W8-W17, V, J15, J23)."""
+import datetime as dt
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,23 +15,43 @@ def micros(c):
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
+#: Columns that a new suggestion always replaces, and those that stay unless the new one says something.
+SUGGESTED = ("item_no", "suggested_code", "suggested_description", "score", "match_type", "ai_confidence", "ai_reason")
+WHEN_GIVEN = ("alert", "composition")
+
+
 def upsert_review(queue, new, now=None):
-    """A pending row of the same document and wording is refreshed, others are added; extras only when given.
+    """A pending row of the same document and wording is refreshed, others are added; alert and composition only when given.
 
-    A new row's id hashes its document, wording and how often the queue has had them, so a wording that comes up again
-    after its row was resolved gets an id of its own.  ``now`` is its creation time.
+    Several new rows of one wording count in the order of ``row_ord``: the last suggestion holds, and the last alert and
+    composition that say something.  Columns that ``new`` lacks stay as they are.  ``now`` is the creation time of added
+    rows (by default the time of the call) and part of their id, so a wording that comes again after its row was resolved,
+    or after retention has removed that, gets an id of its own.
     """
     keys = ["document", "description"]
-    n = last_per_key(new, keys, "row_ord").select(*keys, *[F.col(c).alias("n_" + c) for c in ("item_no", "suggested_code", "score", "match_type", "alert")], F.lit(True).alias("_new"))
+    now = F.lit(dt.datetime.now(dt.timezone.utc)) if now is None else now
+    always, given = [c for c in SUGGESTED if c in new.columns], [c for c in WHEN_GIVEN if c in new.columns]
+    said = lambda c: F.max_by(F.col(c), F.when(F.coalesce(c, F.lit("")) != "", F.col("row_ord"))).alias("n_" + c)
+    n = new.groupBy(*keys).agg(F.max_by(F.struct(*always), "row_ord").alias("_t"), *[said(c) for c in given])
+    n = n.select(*keys, *[F.col(f"_t.{c}").alias("n_" + c) for c in always], *["n_" + c for c in given], F.lit(True).alias("_new"))
+    for c in [*always, *given]:
+        if c not in queue.columns:
+            queue = queue.withColumn(c, F.lit(None).cast(new.schema[c].dataType))
     pend = first_per_key(queue.filter("status = 'pendente'").select(*keys, "id"), keys, "id").withColumn("_hit", F.lit(True))
     j = queue.join(pend, [*keys, "id"], "left").join(n, keys, "left").withColumn("_u", F.coalesce("_hit", F.lit(False)) & F.coalesce("_new", F.lit(False)))
-    upd = lambda c: F.when(F.col("_u"), F.col("n_" + c)).otherwise(F.col(c)).alias(c)
-    kept = j.select("id", *keys, upd("item_no"), upd("suggested_code"), upd("score"), upd("match_type"), *[c for c in queue.columns if c not in ("id", "document", "description", "item_no", "suggested_code", "score", "match_type", "alert")],
-                    F.when(F.col("_u") & (F.coalesce("n_alert", F.lit("")) != ""), F.col("n_alert")).otherwise(F.col("alert")).alias("alert"))
+
+    def column(c):
+        if c in always:
+            return F.when(F.col("_u"), F.col("n_" + c)).otherwise(F.col(c)).alias(c)
+        if c in given:
+            return F.when(F.col("_u"), F.coalesce("n_" + c, c)).otherwise(F.col(c)).alias(c)
+        return F.col(c)
+    kept = j.select(*[column(c) for c in queue.columns])
     had = queue.groupBy(*keys).agg(F.count(F.lit(1)).alias("_had"))
+    at = now.cast("timestamp")
     fresh = n.join(pend.select(*keys), keys, "left_anti").join(had, keys, "left").select(
-        F.xxhash64(*keys, F.lit("review"), F.coalesce("_had", F.lit(0))).alias("id"), *keys, F.col("n_item_no").alias("item_no"), F.col("n_suggested_code").alias("suggested_code"), F.col("n_score").alias("score"),
-        F.col("n_match_type").alias("match_type"), F.lit("pendente").alias("status"), (F.lit(None) if now is None else now).cast("timestamp").alias("created_at"), F.nullif("n_alert", F.lit("")).alias("alert"))
+        F.xxhash64(*keys, F.lit("review"), F.unix_micros(at), F.coalesce("_had", F.lit(0))).alias("id"), *keys, *[F.col("n_" + c).alias(c) for c in [*always, *given]],
+        F.lit("pendente").alias("status"), at.alias("created_at"))
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -227,11 +249,18 @@ def apply_corrections(result, resolved):
     return b.withColumn("corrected_code", F.coalesce("_c1", "_c2")).withColumn("product_code", F.coalesce("corrected_code", "product_code")).drop("_c1", "_c2")
 
 
-def refresh_review(queue, results, documents, now):
-    """Lines that need review go in, stale pending rows out, old resolved rows out."""
-    from .quantity import needs_review
+def refresh_review(queue, results, documents, now, alerts=None):
+    """Lines that need review go in (Q6), then those with an equivalence alert (Q7), stale pending rows and old resolved ones out.
+
+    ``alerts`` (alert_code, alert) meets the lines by client code; an alerted line is in the queue even if its match is good.
+    """
+    from .quantity import equivalence_alert, needs_review
     new = needs_review(results)
-    return retain(prune_pending(upsert_review(queue, new), new, documents), now)
+    if alerts is not None:
+        lines = equivalence_alert(results.drop("alert"), alerts)
+        last = F.lit(1 << 62).cast("decimal(38,0)")
+        new = new.withColumn("row_ord", F.col("row_ord").cast("decimal(38,0)")).unionByName(lines.withColumn("row_ord", F.col("row_ord") + last), allowMissingColumns=True)
+    return retain(prune_pending(upsert_review(queue, new, now), new, documents), now)
 
 
 def attach_return(processes, returns, now):

@@ -14,7 +14,8 @@ LINES = "SELECT *, concat_ws('-', doc_id, line_no, part_ord, supp_ord, CAST(qty
 
 
 def lines(s):
-    return s.items.withColumn("line_key", F.concat_ws("-", "doc_id", "line_no", "part_ord", "supp_ord", "qty", "unit_price"))
+    client = s.part.select(F.col("p_partkey").alias("part_ord"), F.col("p_type").alias("client"))
+    return s.items.join(client, "part_ord").withColumn("line_key", F.concat_ws("-", "doc_id", "line_no", "part_ord", "supp_ord", "qty", "unit_price"))
 
 
 _DIR = "SELECT i.doc_id, count(*) AS n, min(c.description) AS first_description FROM (SELECT * FROM {items}) i JOIN (SELECT * FROM {catalogue} WHERE product_code NOT IN ('0784', '01758', '01759', '01761')) c ON nullif(trim(i.own_code), '') IS NOT NULL AND coalesce(nullif(ltrim(trim(i.own_code), '0'), ''), '0') = coalesce(nullif(ltrim(c.product_code, '0'), ''), '0') GROUP BY 1"
@@ -33,7 +34,7 @@ query("m3_match_code_map_text", "SELECT doc_id, count(*) AS n FROM (SELECT * FRO
 
 
 def corrections(s):
-    return s.sql("SELECT 'FVM - ' || description || ' BRANCO' AS description, product_code, description AS product_description, row_ord FROM {catalogue} WHERE diameter_mm IS NULL")
+    return s.sql("SELECT 'FVM - ' || description || ' BRANCO' AS description, product_code, description AS product_description, row_ord FROM {catalogue}")
 
 
 query("j14_match_corrections")(lambda s: K.match_corrections(texts(s), corrections(s)))
@@ -42,8 +43,32 @@ query("m10_match_fallback")(lambda s: K.match_fallback(L.item_features(s.sql("SE
 query("m11_apply_verdicts", "SELECT description, product_code FROM (SELECT DISTINCT description FROM {items}) JOIN (SELECT description AS d, '0' || CAST(max(row_ord) AS VARCHAR) AS product_code FROM {catalogue} GROUP BY 1) ON description = d WHERE product_code NOT IN ('0784', '01758', '01759', '01761')")(
     lambda s: K.apply_verdicts(texts(s).select("description"), s.catalogue.groupBy("description").agg(F.concat(F.lit("0"), F.max("row_ord").cast("string")).alias("verdict_code"))
         .select("description", "verdict_code", F.lit("alta").alias("confidence"), F.lit("x").alias("justification"), F.lit(0.5).alias("score")), cat_min(s)).select("description", "product_code"))
-query("m12_match_items")(lambda s: K.match_items(lines(s), s.catalogue, s.code_map, corrections(s))[0].groupBy("match_type", "matched", "manual_review").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score")))
-query("m13_match_batch")(lambda s: K.match_batch(lines(s), s.catalogue, code_map=s.code_map).groupBy("match_type", "quantity_kind").agg(F.count("*").alias("n"), F.sum("adjusted_qty").alias("qty")))
+_LK = "concat_ws('-', doc_id, line_no, part_ord, supp_ord, qty, unit_price)"
+query("m12_exact_stages", """
+WITH i AS (SELECT row_number() OVER () AS r, * FROM (SELECT * FROM {items})), c AS (SELECT coalesce(nullif(ltrim(product_code, '0'), ''), '0') AS code FROM {catalogue} WHERE product_code NOT IN ('0784', '01758', '01759', '01761')),
+m AS (SELECT regexp_replace(client_code, '\\D', '', 'g') AS k, arg_max(product_code, row_ord) AS code FROM {code_map} GROUP BY 1), t AS (SELECT client_code AS k, arg_max(product_code, row_ord) AS code FROM {code_map} GROUP BY 1),
+x AS (SELECT r, 0 AS p, trim(own_code) AS product_code, 'MATCH_CODIGO_DIRETO_OC' AS match_type FROM i WHERE nullif(trim(own_code), '') IS NOT NULL AND coalesce(nullif(ltrim(trim(own_code), '0'), ''), '0') IN (SELECT code FROM c)
+      UNION ALL SELECT r, 1, m.code, 'MATCH_CODIGO_MRV' FROM i JOIN m ON regexp_replace(client_code, '\\D', '', 'g') = m.k WHERE layout = 'MRV'
+      UNION ALL SELECT r, 2, t.code, 'BRASAL_DIRETO' FROM i JOIN t ON trim(client_code) = t.k WHERE layout NOT IN ('GENERICO', 'DESCONHECIDO'))
+SELECT i.doc_id, i.line_no, i.part_ord, min_by(match_type, p) AS match_type, count(DISTINCT r) AS n FROM x JOIN i USING (r) GROUP BY ALL""".replace("min_by(match_type, p) AS match_type, count(DISTINCT r) AS n FROM x JOIN i USING (r) GROUP BY ALL", "match_type, count(*) AS n FROM (SELECT r, arg_min(match_type, p) AS match_type FROM x GROUP BY r) JOIN i USING (r) GROUP BY ALL"))(
+    lambda s: (lambda i: K.exact_stages(i.withColumn("line_key", F.monotonically_increasing_id()), cat_min(s), s.code_map, s.code_map).join(i.withColumn("line_key", F.monotonically_increasing_id()).select("line_key", "doc_id", "line_no", "part_ord"), "line_key")
+               .groupBy("doc_id", "line_no", "part_ord", "match_type").agg(F.count("*").alias("n")))(C.cut_lineage(s.items)))
+
+
+def vectors_of(s):
+    """Vector matches of order wordings: the product vectors are given, a wording takes the vector of a product of its part."""
+    w = s.items.groupBy("description").agg(F.min("part_ord").alias("vec_id")).join(s.embeddings.select("vec_id", "embedding"), "vec_id")
+    q = C.cut_lineage(L.vector_features(w.withColumn("query_id", F.xxhash64("description")), "description"))
+    vec = s.embeddings.select(F.col("vec_id").alias("row_ord"), F.concat(F.lit("0"), F.col("vec_id").cast("string")).alias("product_code"), "embedding")
+    return L.match_vector(L.knn(q.select("query_id", "embedding"), vec), q, featured(s)).join(q.select("query_id", "description"), "query_id")
+
+
+def whole_cascade(s):
+    return K.match_items(lines(s), s.catalogue, s.code_map, corrections(s), s.code_map, s.price_table.filter("client <> 'ECONOMY'"), vectors_of(s))[0]
+
+
+query("m12_match_items")(lambda s: whole_cascade(s).select("line_key", "product_code", "score", "match_type", "reason", "manual_review", "composition", "candidates"))
+query("m13_match_batch")(lambda s: K.match_batch(lines(s), s.catalogue, code_map=s.code_map, price_table=s.price_table).groupBy("match_type", "quantity_kind").agg(F.count("*").alias("n"), F.sum("adjusted_qty").alias("qty")))
 query("m16_shadow_compare", """SELECT agree, count(*) AS n FROM (SELECT p_name AS k, CASE WHEN p_size > 25 THEN p_brand ELSE '' END = CASE WHEN p_size > 10 THEN p_brand ELSE '' END AND p_size > 25 AS agree FROM {part}) GROUP BY 1""")(
     lambda s: K.shadow_compare(s.part.select("p_partkey", F.lit("MATCH_DESCRICAO").alias("match_type"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("product_code"), F.lit(1.0).alias("score")),
                                s.part.select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("product_code"), F.lit(1.0).alias("score")), "p_partkey").groupBy("agree").agg(F.count("*").alias("n")))
@@ -74,9 +99,7 @@ def client_lines(s):
 
 
 def table_side(s):
-    index = C.price_index(X.latest_table(s.price_table), C.build_catalogue(s.catalogue))
-    feat = C.catalogue_features(index.withColumn("c_material", P.material(F.col("description"))).withColumn("c_reduction", P.plain_reduction(F.col("description"))).withColumn("c_numbers", P.numbers(F.col("description"))))
-    return (L.candidate_side(feat, ["client", "table_price", "c_material", "c_reduction", "c_numbers", "index_code"]))
+    return K.table_side(s.price_table, C.build_catalogue(s.catalogue))
 
 
 def table_pairs(s):

@@ -1,7 +1,6 @@
 """Message intake (T1-T7, J13): stateless rules, stream-static joins and exactly-once de-duplication."""
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,25 +16,22 @@ SUPPLIER_TERMS = [R.SUPPLIER.lower(), "00.145.602"]
 NO_REPLY_CLIENTS = ["mrv"]
 
 
-def dedup_batch(path, prefix=None, slices=64):
-    """A ``foreachBatch`` that adds each message id once, however late it comes, to the table at ``path``.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The ids are kept for good, in folders by a hash of the id and by batch; a batch reads the slices that it has ids of, and a
-    retried batch overwrites its own folders.  ``prefix`` leaves out messages that carry one of our labels.
+
+def keep_state_on_disk(spark):
+    """Streams started from here keep their keyed state in RocksDB: ids of years stay out of the executors' heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def dedup_messages(messages, prefix=None):
+    """Whole messages, each id once, however late it comes and however old the first one is.
+
+    The ids are keyed state without a horizon; a micro-batch looks up its own ids and no others, so its cost doesn't grow
+    with the ids seen before.  Of messages with one id in the same micro-batch any one passes.  ``prefix`` leaves out
+    messages that carry one of our labels.  A retried micro-batch repeats its decisions from the state of the one before.
     """
-    def write(batch, batch_id):
-        spark = batch.sparkSession
-        new = not_labelled(batch, prefix) if prefix else batch
-        part = F.pmod(F.xxhash64("msg_id"), F.lit(slices)).cast("int")
-        new = new.groupBy("msg_id").agg(F.min("received_at").alias("received_at")).withColumn("slice", part)
-        try:
-            seen = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("slice", "msg_id")
-            new = new.join(seen, ["slice", "msg_id"], "left_anti")
-        except AnalysisException as e:  # no table before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice", "batch").parquet(path)
-    return write
+    return (not_labelled(messages, prefix) if prefix else messages).dropDuplicates(["msg_id"])
 
 
 def not_labelled(df, prefix):
@@ -97,22 +93,24 @@ def route_message(df):
         .withColumn("route_reason", F.when(lift, F.concat(F.lit("cliente_conhecido_promovido ("), F.col("client_id"), F.lit(")"))).when(drop, "cliente_nao_identificado").otherwise(F.col("reason")))
 
 
-def message_review_batch(path):
-    """T4: a ``foreachBatch`` that adds each message id once to the review list.
+def message_review(messages):
+    """T4: rows for the review list: each message id to review once (kind ``revisao``), and every processing error (``erro``).
 
-    A retried batch overwrites its own folder, so no message appears twice.
+    ``messages`` may have a column ``error``; other columns of the message come along.
     """
-    def write(batch, batch_id):
-        spark = batch.sparkSession
-        new = batch.filter("route = 'revisar'").select("msg_id", "route_reason").dropDuplicates(["msg_id"])
-        try:
-            seen = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("msg_id")
-            new = new.join(seen, "msg_id", "left_anti")
-        except AnalysisException as e:  # the list does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-    return write
+    if "error" not in messages.columns:
+        messages = messages.withColumn("error", F.lit(None).cast("string"))
+    review = messages.filter("route = 'revisar'").withColumn("kind", F.lit("revisao")).dropDuplicates(["msg_id"])
+    errors = messages.filter("error IS NOT NULL").withColumn("kind", F.lit("erro")).withColumn("route_reason", F.col("error"))
+    return review.unionByName(errors).drop("error")
+
+
+def remove_from_review(entries, removals):
+    """T4: the list without the reviews named by ``msg_id`` or by ``reason`` in a row of ``removals``; errors stay."""
+    ids = removals.filter("msg_id IS NOT NULL").select("msg_id").distinct()
+    reasons = removals.filter("msg_id IS NULL AND reason IS NOT NULL").select(F.col("reason").alias("route_reason")).distinct()
+    left = entries.filter("kind = 'revisao'").join(ids, "msg_id", "left_anti").join(reasons, "route_reason", "left_anti")
+    return left.select(*entries.columns).unionByName(entries.filter("kind <> 'revisao'"))
 
 
 def attachments(df):

@@ -49,6 +49,25 @@ def test_greedy_choice_takes_each_return_once(spark):
     assert out[["process_id", "row_ord", "r_ord"]].values.tolist() == [["p", 1, 7], ["p", 2, 8], ["q", 1, 7]]
 
 
+def test_parallel_rounds_choose_like_the_serial_order(spark):
+    import random
+    rng = random.Random(3)
+    rows = list({(p, i, r): (p, i, r, rng.choice([0.5, 0.6, 0.75, 0.9])) for p in ("p", "q") for i in range(40) for r in rng.sample(range(50), rng.randrange(0, 12))}.values())
+    rows += [("hot", i, r, 0.8) for i in range(12) for r in range(9)]
+    want = []
+    for p in ("p", "q", "hot"):
+        taken = set()
+        for i in range(40):
+            free = [(-s, r) for q, j, r, s in rows if (q, j) == (p, i) and r not in taken]
+            if free:
+                s, r = min(free)
+                taken.add(r)
+                want.append((p, i, r, -s))
+    df = spark.createDataFrame(rows, "process_id string, row_ord long, r_ord long, score double")
+    for serial in (10 ** 6, 30):
+        assert sorted(map(tuple, Pr.choose_in_order(df, serial).collect())) == sorted(want)
+
+
 def test_soft_rank_equals_the_filter_chain(spark):
     df = spark.range(400).select((F.col("id") % 13).alias("item"), "id", *[(F.pmod(F.hash("id", F.lit(k)), F.lit(3)) == 0).alias(f"t{k}") for k in range(5)])
     chain = df
@@ -147,11 +166,47 @@ def test_latin_file_keeps_its_letters(spark, tmp_path):
         assert read_csv_robust(spark, str(tmp_path / encoding)).first().nome == "CONEXÃO"
 
 
-def test_late_messages_are_kept_and_repeats_are_not(spark, tmp_path):
-    from lineweave.streaming.intake import dedup_batch
-    write = dedup_batch(f"{tmp_path}/seen", slices=4)
-    batches = [[("a", 12)], [("b", 14)], [("late", 7)], [("a", 15), ("c", 3), ("c", 4)]]
-    for i, rows in enumerate([*batches, batches[3]]):
-        df = spark.createDataFrame([(m, dt.datetime(2024, 1, 1, h)) for m, h in rows], "msg_id string, received_at timestamp")
-        write(df, min(i, 3))  # the last batch is retried
-    assert sorted(r.msg_id for r in spark.read.parquet(f"{tmp_path}/seen").collect()) == ["a", "b", "c", "late"]
+def test_ids_stay_apart_after_retention(spark):
+    at = lambda d: F.expr(f"TIMESTAMP '2024-{d} 00:00:00'")
+    schema = "id long, document string, description string, item_no string, suggested_code string, score double, match_type string, status string, created_at timestamp, alert string, correct_code string, corrected_by string, resolved_at timestamp"
+    new = spark.createDataFrame([("d", "w", "1", "7", 0.5, "M", "", 1)], "document string, description string, item_no string, suggested_code string, score double, match_type string, alert string, row_ord long")
+    resolve = lambda q, now: V.apply_decisions(q, q.filter("status = 'pendente'").select("id", F.lit("resolvido").alias("decision"), F.lit("9").alias("correct_code"), F.lit("u").alias("user")), now)
+    q = resolve(V.upsert_review(spark.createDataFrame([], schema), new, at("01-01")), at("01-02"))
+    q = resolve(V.upsert_review(q, new, at("06-01")), at("06-02"))
+    q = V.upsert_review(V.retain(q, at("09-01"), 180), new, at("09-01"))
+    rows = q.collect()
+    assert sorted(r.status for r in rows) == ["pendente", "resolvido"] and len({r.id for r in rows}) == 2
+
+
+def test_review_rows_keep_alert_and_composition(spark):
+    now = F.expr("TIMESTAMP '2024-02-01 00:00:00'")
+    queue = spark.createDataFrame([(1, "d", "w", "pendente", "5", "old alert", "tee + bush")], "id long, document string, description string, status string, suggested_code string, alert string, composition string")
+    new = spark.createDataFrame([("d", "w", "7", "PIPE", "", "", "alta", 1), ("d", "v", "8", "CAP", "look", "a + b", None, 2), ("d", "v", "9", "CAP2", "", "", "baixa", 3)],
+                                "document string, description string, suggested_code string, suggested_description string, alert string, composition string, ai_confidence string, row_ord long")
+    rows = {r.description: r for r in V.upsert_review(queue, new, now).collect()}
+    assert (rows["w"].id, rows["w"].suggested_code, rows["w"].suggested_description, rows["w"].alert, rows["w"].composition, rows["w"].ai_confidence) == (1, "7", "PIPE", "old alert", "tee + bush", "alta")
+    assert (rows["v"].suggested_code, rows["v"].alert, rows["v"].composition, rows["v"].ai_confidence) == ("9", "look", "a + b", "baixa")
+
+
+def test_alerted_lines_join_the_queue(spark):
+    now = F.expr("TIMESTAMP '2024-02-01 00:00:00'")
+    queue = spark.createDataFrame([], "id long, document string, description string, status string, suggested_code string, score double, match_type string, alert string, created_at timestamp, resolved_at timestamp")
+    results = spark.createDataFrame([("d", "good", "3", 0.9, "M", False, "01116962", 1), ("d", "poor", "4", 0.2, "M", False, "77", 2), ("d", "fine", "5", 0.95, "M", False, "78", 3)],
+                                    "document string, description string, suggested_code string, score double, match_type string, manual_review boolean, client_code string, row_ord long")
+    alerts = spark.createDataFrame([("1116962", "ask which one")], "alert_code string, alert string")
+    rows = {r.description: r.alert for r in V.refresh_review(queue, results, results.select("document"), now, alerts).collect()}
+    assert rows == {"good": "ask which one", "poor": None}
+
+
+def test_late_and_old_messages_come_out_whole_and_once(spark, tmp_path):
+    from lineweave.streaming.intake import dedup_messages, keep_state_on_disk
+    keep_state_on_disk(spark)
+    schema = "msg_id string, received_at timestamp, body string, labels array<string>"
+    batches = [[("a", 12, "first", [])], [("b", 14, "x", []), ("l", 1, "labelled", ["Ours/done"])], [("late", 7, "y", [])], [("a", 15, "again", []), ("c", 3, "z", [])]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(m, dt.datetime(2024, 1, 1, h) + dt.timedelta(days=400 * (i == 3)), b, x) for m, h, b, x in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = dedup_messages(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "ours/")
+        stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.msg_id, r.body) for r in got) == [("a", "first"), ("b", "x"), ("c", "z"), ("late", "y")]
