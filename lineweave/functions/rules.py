@@ -187,10 +187,11 @@ VECTOR_CATEGORIES = [
     ("FITA", r"\bFITA\b"), ("TORNEIRA", r"\bTORNEIRA\b"),
 ]
 
-ALIAS_TYPE_CATEGORY = {t: t for t in (
-    "TUBO JOELHO TE LUVA CAP REDUCAO BUCHA ADAPTADOR REGISTRO VALVULA JUNCAO FLANGE UNIAO "
-    "QUADRO CAIXA ELETRODUTO TORNEIRA FITA ENGATE COLAR PROLONGAMENTO RALO SIFAO ASSENTO "
-    "LAVATORIO ADESIVO").split()} | {"CURVA": "JOELHO"}
+ALIAS_TYPE_CATEGORY = {t: t for t in [
+    "TUBO", "JOELHO", "TE", "LUVA", "CAP", "REDUCAO", "BUCHA", "ADAPTADOR", "REGISTRO", "VALVULA", "JUNCAO",
+    "FLANGE", "UNIAO", "QUADRO", "CAIXA", "ELETRODUTO", "TORNEIRA", "FITA", "ENGATE", "COLAR", "PROLONGAMENTO",
+    "RALO", "SIFAO", "ASSENTO", "LAVATORIO", "ADESIVO",
+]} | {"CURVA": "JOELHO"}
 
 # Words that make a text an accessory when they come before TUBO.
 ACCESSORY = (r"\b(?:LUVA|JOELHO|CURVA|TE|CAP|CAPA|BUCHA|ADAPTADOR|UNIAO|JUNCAO|REGISTRO|VALVULA"
@@ -201,9 +202,11 @@ ELBOWS = ("JOELHO", "CURVA")
 TWO_MEASURE_CATEGORIES = ("TE", "REDUCAO", "BUCHA", "LUVA", "ADAPTADOR", "JUNCAO", "JOELHO", "CURVA")
 
 # Product types of the client price table stage.
-PRODUCT_TYPES = ("TUBO CAP JOELHO CURVA TE LUVA REDUCAO ADAPTADOR BUCHA REGISTRO VALVULA FITA "
-                 "TORNEIRA ADESIVO COLA PASTA FLANGE UNIAO JUNCAO ANEL BOCAL SIFAO RALO CAIXA "
-                 "TAMPA GRELHA SOLUCAO CONEXAO ESPUMA").split()
+PRODUCT_TYPES = [
+    "TUBO", "CAP", "JOELHO", "CURVA", "TE", "LUVA", "REDUCAO", "ADAPTADOR", "BUCHA", "REGISTRO", "VALVULA", "FITA",
+    "TORNEIRA", "ADESIVO", "COLA", "PASTA", "FLANGE", "UNIAO", "JUNCAO", "ANEL", "BOCAL", "SIFAO", "RALO", "CAIXA",
+    "TAMPA", "GRELHA", "SOLUCAO", "CONEXAO", "ESPUMA",
+]
 
 UNIT_CLASSES = {
     "UNIDADE": ["UN", "UND", "UNID", "UNIDADE", "PC", "PÇ", "PEC", "PECA", "PEÇA", "PCS"],
@@ -227,10 +230,12 @@ APPROVED_MATCH_TYPES = ["MATCH_CODIGO_MRV", "MATCH_CODIGO_BRASAL", "MATCH_FORTE"
 BLOCKED_CODES = ["784", "1758", "1759", "1761"]
 
 # Words that never identify a product family, and accepted synonyms.
-GENERIC_WORDS = ("PARA COM SEM POR DOS DAS DE DA DO EM TIPO SERIE COR REF PECA MATERIAL CANO AGUA "
-                 "ESGOTO PVC PPR CPVC ACO SOLD SOLDAVEL ROSCA ROSCAVEL RIGIDO RIGIDA FLEXIVEL LEVE "
-                 "PESADO NORMAL BRANCO PRETO CINZA AMARELO AZUL VERDE VERMELHO MARROM INCOLOR "
-                 "CONEXAO").split()
+GENERIC_WORDS = [
+    "PARA", "COM", "SEM", "POR", "DOS", "DAS", "DE", "DA", "DO", "EM", "TIPO", "SERIE", "COR", "REF", "PECA",
+    "MATERIAL", "CANO", "AGUA", "ESGOTO", "PVC", "PPR", "CPVC", "ACO", "SOLD", "SOLDAVEL", "ROSCA", "ROSCAVEL",
+    "RIGIDO", "RIGIDA", "FLEXIVEL", "LEVE", "PESADO", "NORMAL", "BRANCO", "PRETO", "CINZA", "AMARELO", "AZUL",
+    "VERDE", "VERMELHO", "MARROM", "INCOLOR", "CONEXAO",
+]
 WORD_SYNONYMS = {"BORRACHA": "VEDACAO", "VEDACAO": "BORRACHA",
                  "SANITARIO": "ESGOTO", "ESGOTO": "SANITARIO"}
 

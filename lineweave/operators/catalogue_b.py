@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as D
 from ..functions import text as T
-from .common import first_per_key, heads, last_per_key, pieces
+from .common import contained, first_per_key, last_per_key
 
 
 def import_catalogue_b(src1, src2):
@@ -44,11 +44,10 @@ def resolve_list(rows, cat):
     p3 = left(done).filter("d <> '' and q <> ''").join(c, F.col("d") == F.col("sku_digits")).withColumn("score", D.token_set_ratio(F.col("q"), F.upper(F.trim("c_description"))))
     t3 = p3.filter("score >= 0.80").groupBy(*key).agg(F.min_by(F.struct("sku_raw", "c_description"), F.struct((-F.col("score")).alias("s"), "row_ord")).alias("_b")).select(*key, F.lit(3).alias("tier"), "_b.*")
     done = done.unionByName(t3)
-    # a contained wording's first four characters, or all of a shorter one, stand somewhere in the longer one
-    asked, lengths = heads(left(done), F.col("q"))
-    cg = c.withColumn("u", F.upper("c_description")).withColumn("g", F.explode(pieces(F.col("u"), lengths)))
-    p4 = asked.join(cg, "g").filter(F.expr("contains(u, q)")) \
-        .withColumn("score", D.token_set_ratio(F.col("q"), F.col("u")))
+    # wordings that stand somewhere in a product's: one automaton over the catalogue
+    asked = left(done).filter("q <> ''")
+    p4 = contained(c, "row_ord", F.upper("c_description"), asked, F.col("q")).withColumnRenamed("needle", "q").join(asked, "q").join(c, "row_ord") \
+        .withColumn("score", D.token_set_ratio(F.col("q"), F.upper("c_description")))
     t4 = p4.filter("score >= 0.85").groupBy(*key).agg(F.min_by(F.struct("sku_raw", "c_description"), F.struct((-F.col("score")).alias("s"), "row_ord")).alias("_b")).select(*key, F.lit(4).alias("tier"), "_b.*")
     found = done.unionByName(t4)
     return rows.join(found, key, "left")
@@ -74,11 +73,10 @@ def ranked_search(queries, cat, page=1, per_page=50):
     toks = F.filter(F.regexp_extract_all("qn", F.lit(r"[A-Z0-9+]+"), F.lit(0)), lambda t: ~t.isin(STOP) & (F.length(t) >= 2))
     w = q.withColumn("letter", letter).withColumn("toks", toks).withColumn("toks", F.when(F.col("letter").isNotNull(), F.concat(
         F.filter("toks", lambda t: t != "CURVA"), F.array(F.concat(F.lit("CURVA "), F.col("letter"))))).otherwise(F.col("toks"))).filter("size(toks) > 0")
-    # a word is looked up by its first two characters, then tested for containment
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("u") - 1), lambda i: F.substring(F.col("u"), i, F.lit(2))))
-    cg = c.withColumn("u", F.upper("description")).filter("length(u) >= 2").withColumn("g", F.explode(grams))
-    word = w.select("query", "toks", F.explode(F.array_distinct("toks")).alias("tok")).withColumn("g", F.substring("tok", 1, 2))
-    per = word.join(cg, "g").filter(F.expr("contains(u, tok)")).groupBy("query", "toks", "row_ord", "sku_raw").agg(F.countDistinct("tok").alias("n"))
+    # the words of all queries run as one automaton over the catalogue
+    word = w.select("query", "toks", F.explode(F.array_distinct("toks")).alias("tok"))
+    hits_of = contained(c, "row_ord", F.upper("description"), word, F.col("tok")).withColumnRenamed("needle", "tok")
+    per = word.join(hits_of, "tok").join(c.select("row_ord", "sku_raw"), "row_ord").groupBy("query", "toks", "row_ord", "sku_raw").agg(F.countDistinct("tok").alias("n"))
     texts = per.select("query", "row_ord", "sku_raw", F.when(F.col("n") == F.size(F.array_distinct("toks")), 5).otherwise(6).alias("tier"))
     every = reduce(lambda a, b: a.unionByName(b), [h.select("query", "row_ord", "sku_raw", "tier") for h in hits] + [texts])
     best = every.groupBy("query").agg(F.min("tier").alias("tier"))

@@ -8,7 +8,8 @@ from ..functions import scores as D
 from ..functions import text as T
 from ..session import cut_lineage
 from . import linkage as L
-from .common import heads, pieces, soft_rank
+from .quantity import unit_warning
+from .common import contained, soft_rank
 
 
 def latest_table(tables):
@@ -25,20 +26,20 @@ def tables_available(tables):
 def identify_client(docs, ids):
     """Tax number, then e-mail domain, then term; alphabetical within a tier.
 
-    ``ids``: client, kind (cnpj | domain | term), value.  Identifiers are found
-    by their first four characters, or all of them where they have fewer, so documents and identifiers meet on a key.
+    ``ids``: client, kind (cnpj | domain | term), value.  Each kind's identifiers run as one automaton over what a document
+    says of that kind, so only hits are joined.
     """
     norm = T.plain_upper(F.col("text"))
-    d = docs.select("doc_id", norm.alias("n")).withColumn("cnpj", F.regexp_replace("n", r"\D", "")) \
-        .withColumn("domain", F.upper(F.array_join(F.regexp_extract_all(F.lower("n"), F.lit(r"@([\w.-]+)"), F.lit(1)), " "))).withColumn("term", F.col("n"))
-    i = ids.withColumn("v", F.when(F.col("kind") == "cnpj", T.digits(F.col("value"))).otherwise(T.plain_upper(F.col("value")))).withColumn("tier", F.when(F.col("kind") == "cnpj", 1).when(F.col("kind") == "domain", 2).otherwise(3))
-    i, lengths = heads(i, F.col("v"))
-    hay = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hay")) for k in ("cnpj", "domain", "term")])).alias("h")).select("doc_id", "h.*")
-    grams = hay.withColumn("g", F.explode(pieces(F.col("hay"), lengths)))
-    # only the grams travel; the text joins again for the few pairs that share one
-    maybe = grams.select("doc_id", "kind", "g").join(i.select("kind", "g", "v", "client", "tier"), ["kind", "g"]).drop("g").distinct()
-    keyed = maybe.join(hay, ["doc_id", "kind"]).filter(F.expr("contains(hay, v)"))
-    return keyed.groupBy("doc_id").agg(F.min_by("client", F.struct("tier", "client")).alias("client"))
+    domains = F.upper(F.array_join(F.regexp_extract_all(F.lower(norm), F.lit(r"@([\w.-]+)"), F.lit(1)), " "))
+    kinds = [("cnpj", 1, F.regexp_replace(norm, r"\D", ""), T.digits(F.col("value"))), ("domain", 2, domains, T.plain_upper(F.col("value"))), ("term", 3, norm, T.plain_upper(F.col("value")))]
+    found = None
+    for kind, tier, hay, needle in kinds:
+        mine = ids.filter(F.col("kind") == kind if kind != "term" else ~F.col("kind").isin("cnpj", "domain"))
+        hits = contained(docs, "doc_id", hay, mine, needle)
+        named = mine.select("client", needle.alias("needle")).groupBy("needle").agg(F.min("client").alias("client"))
+        part = hits.join(named, "needle").select("doc_id", F.lit(tier).alias("tier"), "client")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("doc_id").agg(F.min_by("client", F.struct("tier", "client")).alias("client"))
 
 
 def codes_reliable(df):
@@ -170,14 +171,17 @@ def same_product(a, b):
     return F.coalesce(P.ptype(a).isNotNull() & (sa == sb), F.lit(False))
 
 
-def match_price_table(items, pairs):
+def match_price_table(items, pairs, first=None):
     """M4: description within the client's products; the price only confirms or breaks ties.
 
-    ``items``: item_key, description, price, factor; ``pairs`` from ``restricted_pairs``, with price and factor.
+    ``items``: item_key, description, price, factor; ``pairs`` from ``restricted_pairs``, with price and factor.  Where the
+    same wordings come at many prices, ``pairs`` may be judged already, with ``first`` their ``first_without_conflict``.
     """
-    pairs = judged_pairs(pairs)
+    if first is None:
+        pairs = judged_pairs(pairs)
+        first = first_without_conflict(pairs)
     pick = lambda d, n: d.select("item_key", *[F.col(c).alias(n + c) for c in ("row_ord", "product_code", "c_description", "table_price", "score", "review")])
-    cur = items.select("item_key", "description", "price", "factor").join(pick(first_without_conflict(pairs), ""), "item_key")
+    cur = items.select("item_key", "description", "price", "factor").join(pick(first, ""), "item_key")
     verdict = D.price_verdict(F.col("price") / F.col("table_price").cast("double"), F.col("factor"))
     cur = cut_lineage(cur.withColumn("verdict", F.when(F.col("price") > 0, verdict)))
     # stage a: products within 10 % when the price does not confirm
@@ -237,21 +241,106 @@ def join_product_code(items, table, key="client_code"):
         .join(t, ["client", "index_code"]).withColumn("score", D.token_set_ratio(T.plain_upper(F.col("description")), T.plain_upper(F.col("t_description"))))
 
 
-def compare_to_table(items, table, described):
-    """Client code, then product code, then description; three statuses.
+# Statuses, thresholds and wording of the comparison with a price table.
+OK, REVIEW, MISSING = "OK", "REVISAR", "SEM"
+CODE_FLOOR, TEXT_FLOOR = 0.50, 0.80
+VIA_CLIENT, VIA_PRODUCT, VIA_TEXT = "CÓD. CLIENTE", f"CÓD. {R.SUPPLIER}", "DESCRIÇÃO"
+EXTRA_STRONG = r"EXTRA\s*FORTE"
 
-    ``described`` holds the outcome of the description stage (M8, M4, F15) per item.
+
+def _notes(*parts):
+    return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
+
+
+def _head_word(c):
+    """First word that says what a text without a product type is about."""
+    generic = F.array(*[T.stem(F.lit(w)) for w in R.GENERIC_WORDS])
+    return F.get(F.filter(T.words(c), lambda w: ~F.array_contains(generic, T.stem(w)) & (F.length(T.stem(w)) >= 4)), F.lit(0))
+
+
+def described_items(items, side, table):
+    """The description stage of M14 per item: product, price, score, status, note.
+
+    A product type that the client's table doesn't have, or a leading word that no word of the table covers, ends it at
+    once.  Wordings meet the table with synonyms put in its terms (N34); one that finds nothing is tried again with an
+    angle that was read as a measure taken out (M15).  What is found falls if the table lacks a word of the text (F15).
+    """
+    i = items.select("item_key", "client", "description").withColumn("ptype", P.ptype(F.col("description"))).withColumn("head", F.when(F.col("ptype").isNull(), _head_word(F.col("description"))))
+    types = side.select("client", F.col("c_ptype").alias("ptype"), F.lit(True).alias("_has")).distinct()
+    i = i.join(types, ["client", "ptype"], "left")
+    vocabulary = table.select("client", "description", P.ptype(F.col("description")).alias("ptype"))
+    asked = i.select(F.col("item_key").alias("text_id"), "client", "ptype", "description")
+    missing = cut_lineage(missing_tokens(asked, vocabulary).withColumnRenamed("text_id", "item_key"))
+    i = i.join(missing, "item_key", "left").withColumn("gone", F.when(F.col("ptype").isNotNull() & F.col("_has").isNull(), F.initcap(F.lower("ptype")))
+                                                      .when(F.col("ptype").isNull() & (F.get(F.split("missing", ", "), F.lit(0)) == F.lower("head")), F.initcap(F.lower("head"))))
+    i = cut_lineage(i.drop("_has"))
+
+    def matched(texts):
+        pairs = restricted_pairs(L.item_features(texts), side)
+        none = F.lit(None).cast("double")
+        return match_price_table(texts.select("item_key", "description", none.alias("price"), none.alias("factor")), pairs.withColumns({"price": none, "factor": none}))
+    words = i.filter("gone IS NULL").select("item_key", "client", T.swap_synonyms(T.plain_upper(F.col("description"))).alias("description"))
+    first = cut_lineage(matched(words))
+    again = words.join(first.select("item_key"), "item_key", "left_anti").withColumn("plain", without_angle(F.col("description"))).filter("plain <> description")
+    second = matched(again.select("item_key", "client", F.col("plain").alias("description"))).withColumn("angle", F.lit("ângulo lido como medida na descrição; confirme o item"))
+    hit = first.withColumn("angle", F.lit(None).cast("string")).unionByName(second).withColumnRenamed("matched_description", "t_description").drop("reason", "match_type", "order_price")
+    j = i.join(hit, "item_key", "left")
+    found = F.col("product_code").isNotNull() & F.col("missing").isNull()
+    inches, t_inches = F.array_sort(P.fractions(F.col("description"))), F.array_sort(P.fractions(F.coalesce("t_description", F.lit(""))))
+    strong = lambda c: T.plain_upper(F.coalesce(c, F.lit(""))).rlike(EXTRA_STRONG)
+    note = _notes(F.col("angle"), F.when(F.col("manual_review") | (F.col("score") < TEXT_FLOOR), "descrição parecida; confirme o item"),
+                  F.when(inches != t_inches, F.when(F.size(t_inches) > 0, "medida em polegada difere").otherwise("medida em polegada não confirmada")),
+                  F.when(strong(F.col("t_description")) & ~strong(F.col("description")), "tabela tem variante extraforte; confirme o item"))
+    none_note = (F.when(F.col("gone").isNotNull(), F.concat("gone", F.lit(" não existe nesta tabela de preços"))).when(F.col("product_code").isNull(), "sem descrição compatível na tabela")
+                 .otherwise(F.concat(F.lit("sem "), F.col("missing"), F.lit(" nesta tabela de preços"))))
+    return j.select("item_key", F.when(found, F.col("product_code")).alias("product_code"), F.when(found, F.col("t_description")).alias("t_description"), F.when(found, F.col("table_price")).alias("table_price"),
+                    F.when(found, F.col("score")).alias("score"), F.when(~found, MISSING).when(note.isNotNull(), REVIEW).otherwise(OK).alias("status"), F.when(found, note).otherwise(none_note).alias("note"))
+
+
+def compare_to_table(items, table, side, rules):
+    """Client code, then product code, then catalogue rule, then description; one row per item.
+
+    ``items``: item_key, client, client_code, description, and ``code_trusted``, ``unit`` where they are known; ``table`` is
+    the index of the clients' newest tables, ``side`` its candidate side, ``rules`` the candidate side of the catalogue.
+    A trusted code that the client's coded table lacks is noted; a metre against a bar or unit is; a note turns OK into review.
     """
-    a = join_client_code(items, table).withColumn("via", F.lit("CÓD. CLIENTE"))
-    rest = items.join(a.select("item_key"), "item_key", "left_anti")
-    b = join_product_code(rest, table).withColumn("via", F.lit(f"CÓD. {R.SUPPLIER}")).withColumn("repeats", F.lit(1).cast("bigint")).select(*a.columns)
-    coded = a.unionByName(b)
-    note = F.when(F.col("repeats") > 1, F.concat(F.lit("código do cliente repetido na tabela ("), F.col("repeats").cast("string"), F.lit(" itens)"))) \
-        .when(F.col("score") < 0.50, "código confere, descrição muito diferente")
-    coded = coded.withColumn("note", note).withColumn("status", F.when((F.col("score") < 0.50) | note.isNotNull(), "REVISAR").otherwise("OK")) \
-        .select("item_key", F.col("index_code").alias("product_code"), F.col("table_price").cast("double").alias("table_price"), "score", "via", "status", "note")
-    rest = items.join(coded.select("item_key"), "item_key", "left_anti").select("item_key")
-    d = rest.join(described, "item_key", "left").select("item_key", "product_code", "table_price", "score", F.lit("DESCRIÇÃO").alias("via"),
-        F.when(F.col("product_code").isNull(), "SEM").when(F.col("manual_review") | (F.col("score") < 0.80), "REVISAR").otherwise("OK").alias("status"),
-        F.when(F.col("product_code").isNull(), "sem descrição compatível na tabela").when(F.col("manual_review") | (F.col("score") < 0.80), "descrição parecida; confirme o item").alias("note"))
-    return coded.unionByName(d)
+    if "code_trusted" not in items.columns:
+        items = items.withColumn("code_trusted", F.lit(True))
+    if "unit" not in items.columns:
+        items = items.withColumn("unit", F.lit(None).cast("string"))
+    code = F.regexp_replace(F.upper(F.trim(T.text(F.col("client_code")))), R.WS, "")
+    items = cut_lineage(items.withColumn("_code", code).withColumn("_sure", F.coalesce("code_trusted", F.lit(False)) & (code != "")))
+    trusted = items.filter("_sure")
+    a = join_client_code(trusted, table).withColumn("via", F.lit(VIA_CLIENT))
+    rest = trusted.join(a.select("item_key"), "item_key", "left_anti")
+    b = join_product_code(rest, table).withColumn("via", F.lit(VIA_PRODUCT)).withColumn("repeats", F.lit(1).cast("bigint")).select(*a.columns)
+    coded = cut_lineage(a.unionByName(b)).join(items.select("item_key", "description"), "item_key")
+    whose = F.when(F.col("via") == VIA_CLIENT, "do cliente").otherwise(R.SUPPLIER.title())
+    poor = F.when(F.trim(T.text(F.col("description"))) == "", F.concat(F.lit("código "), whose, F.lit(" confere, documento sem descrição"))).otherwise(F.concat(F.lit("código "), whose, F.lit(" confere, descrição muito diferente")))
+    note = F.when(F.col("repeats") > 1, F.concat(F.lit("código do cliente repetido na tabela ("), F.col("repeats").cast("string"), F.lit(" itens)"))).when(F.col("score") < CODE_FLOOR, poor)
+    coded = coded.select("item_key", F.col("index_code").alias("product_code"), "t_description", F.col("table_price").cast("double").alias("table_price"), F.round("score", 3).alias("score"), "via",
+                         F.when(F.col("score") < CODE_FLOOR, REVIEW).otherwise(OK).alias("status"), note.alias("note"), F.lit(False).alias("_described"))
+    rest = cut_lineage(items.join(coded.select("item_key"), "item_key", "left_anti"))
+
+    ruled = L.match_rules(rest.select("description").distinct(), rules)
+    index = table.groupBy("client", "index_code").agg(F.max_by(F.struct("description", "table_price"), "row_ord").alias("_t"))
+    r = rest.select("item_key", "client", "description").join(ruled, "description").withColumn("index_code", T.norm_code(F.coalesce("product_code", F.lit("")), "int")).join(index, ["client", "index_code"], "left")
+    there = F.col("matched") & F.col("_t").isNotNull()
+    why = (F.when(~F.col("matched"), "produto reconhecido no catálogo, mas o tamanho declarado não está cadastrado").when(there, "regra de catálogo")
+           .otherwise(F.concat(F.lit("produto do catálogo (cód. "), F.col("product_code"), F.lit(") não está nesta tabela"))))
+    by_rule = cut_lineage(r.select("item_key", F.when(there, F.col("index_code")).alias("product_code"), F.when(there, F.col("_t.description")).alias("t_description"),
+                                   F.when(there, F.col("_t.table_price").cast("double")).alias("table_price"), F.when(there, 1.0).alias("score"),
+                                   F.when(~there, MISSING).when(F.col("match_type").endswith(REVIEW), REVIEW).otherwise(OK).alias("status"), why.alias("note")))
+    plain = rest.join(by_rule.select("item_key"), "item_key", "left_anti")
+    texts = plain.select(F.md5(F.concat_ws("|", "client", "description")).alias("item_key"), "client", "description").distinct()
+    by_text = described_items(texts, side, table)
+    by_text = plain.select("item_key", F.md5(F.concat_ws("|", "client", "description")).alias("_k")).join(by_text.withColumnRenamed("item_key", "_k"), "_k").drop("_k")
+    out = coded.unionByName(by_rule.unionByName(by_text).withColumn("via", F.lit(VIA_TEXT)).withColumn("_described", F.lit(True)), allowMissingColumns=True)
+
+    uses = table.filter(F.coalesce(F.trim("client_code"), F.lit("")) != "").select("client").distinct().withColumn("_uses", F.lit(True))
+    units = table.groupBy("client", F.col("index_code").alias("product_code")).agg(F.max_by("unit", "row_ord").alias("t_unit")) if "unit" in table.columns else None
+    j = out.join(items.select("item_key", "client", "unit", "_code", "_sure"), "item_key").join(uses, "client", "left")
+    j = j.join(units, ["client", "product_code"], "left") if units is not None else j.withColumn("t_unit", F.lit(None).cast("string"))
+    unknown = F.when(F.col("_described") & F.col("_sure") & F.coalesce("_uses", F.lit(False)), F.concat(F.lit("código "), F.col("_code"), F.lit(" não existe na tabela")))
+    note = _notes(unknown, F.col("note"), unit_warning(F.coalesce("unit", F.lit("")), F.coalesce("t_unit", F.lit(""))))
+    return j.select("item_key", "product_code", "t_description", "table_price", "score", "via", F.when((F.col("status") == OK) & note.isNotNull(), REVIEW).otherwise(F.col("status")).alias("status"), note.alias("note"))

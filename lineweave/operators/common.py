@@ -50,16 +50,66 @@ def soft_rank(tests):
     return total
 
 
-def heads(needles, value, most=4):
-    """``needles`` with the head ``g`` of each value that a text must hold, and the head lengths there are (``most`` at most)."""
-    n = needles.filter(F.length(value) > 0).withColumn("g", F.substring(value, 1, most))
-    return n, sorted(r.n for r in n.select(F.length("g").alias("n")).distinct().collect())
-
-
-def pieces(text, lengths):
-    """All substrings of ``text`` with one of the lengths, once each."""
-    def cut(n):
-        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda p: F.substring(text, p, F.lit(n))))
-    if not lengths:
-        return F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*[F.coalesce(cut(n), F.array().cast("array<string>")) for n in lengths]))
+def contained(texts, key, text, needles, value, block=100_000):
+    """(``key``, needle): every needle that a text contains, once per row of ``texts``.
+
+    A block of needles becomes one automaton that runs over each text once, so only hits leave a task, whatever the texts
+    hold.  Blocks are bounded by ``block``; more needles are more passes over the texts.  Empty and null ones match nothing.
+    """
+    t = texts.select(F.col(key).alias("k"), text.alias("t")).filter("length(t) > 0")
+    n = needles.select(value.alias("v")).filter("length(v) > 0").distinct()
+    parts = max(1, -(-n.count() // block))
+    out = None
+    for part in range(parts):
+        mine = n if parts == 1 else n.filter(F.pmod(F.xxhash64("v"), F.lit(parts)) == part)
+        words = t.sparkSession.sparkContext.broadcast([r.v for r in mine.collect()])  # about ``block`` needles
+        found = t.mapInArrow(_scan(words), f"{key} {t.schema['k'].dataType.simpleString()}, needle string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _scan(words):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+        automaton = ahocorasick.Automaton()
+        for w in words.value:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for batch in batches:
+            at, hits = [], []
+            if len(words.value):
+                for i, t in enumerate(batch.column(1)):
+                    mine = {w for _, w in automaton.iter(t.as_py())}
+                    at += [i] * len(mine)
+                    hits += mine
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], [batch.schema.names[0], "needle"])
+    return run
+
+
+def exact_quantile(df, column, q=0.5, bits=16):
+    """Interpolated quantile of a long column by radix selection; None without values.
+
+    Each pass counts one digit of the values that share the digits found so far, so no task or driver ever holds more than
+    ``2 ** bits`` counts, however many different values there are.
+    """
+    v = df.select(F.col(column).cast("long").alias("v")).filter("v IS NOT NULL").withColumn("v", F.col("v").bitwiseXOR(F.lit(-1 << 63)))  # unsigned order
+    n = v.count()
+    if not n:
+        return None
+
+    def kth(k):
+        found = 0
+        for shift in range(64 - bits, -1, -bits):
+            rest = v if shift == 64 - bits else v.filter(F.shiftrightunsigned("v", shift + bits) == found)
+            digit = F.shiftrightunsigned("v", shift).bitwiseAND((1 << bits) - 1)
+            for r in sorted(rest.groupBy(digit.alias("d")).count().collect()):
+                if k < r["count"]:
+                    found = found << bits | r["d"]
+                    break
+                k -= r["count"]
+        return found - (1 << 63)
+    at = (n - 1) * q
+    low = kth(int(at))
+    high = low if at == int(at) else kth(int(at) + 1)
+    return low + (high - low) * (at - int(at))

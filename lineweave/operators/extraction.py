@@ -4,12 +4,14 @@ Input is text already: ``doc_lines(doc_id, page, line_no, text)`` and
 ``doc_cells(doc_id, page, table_no, row_no, col_no, text)``.
 """
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import SUPPLIER
-from .common import first_per_key
+from .common import contained, first_per_key
 
 # Line patterns of the three purchase layouts.
 UNITS = r"(?:RL|UN|UND|M|MT|BR|BAR|PC|PCS|CX|KG|LT?)"
@@ -34,7 +36,10 @@ QUOTE_STRONG = ["cotacao de precos", "coleta de precos", "mapa de cotacao", "map
 QUOTE_TERMS = QUOTE_STRONG + ["cotacao n", "cotacao no", "cotacao numero", "cotacao.:"]
 ORDER_STRONG = ["ordem de compra", "pedido de compra", "dados da ordem de compra"]
 ORDER_TERMS = ORDER_STRONG + ["dados do pedido", "numero do pedido", "oc n", "oc no"]
-HEADER_WORDS = ("item codigo cod descricao descr produto material insumo un unid um qtde qtd quantidade quant preco preço valor unit").split()
+HEADER_WORDS = [
+    "item", "codigo", "cod", "descricao", "descr", "produto", "material", "insumo", "un", "unid", "um", "qtde",
+    "qtd", "quantidade", "quant", "preco", "preço", "valor", "unit",
+]
 TEXT_UNITS = r"UNID|UND|UN|PÇS|PÇ|PCS|PC|PCE|MTS|MT|M²|M³|M2|M3|KG|CX|RL|BR|LT|GL|FD|JG|PAR"
 
 
@@ -42,6 +47,15 @@ def _starts(c, words):
     return c.rlike("^(?:" + "|".join(w.replace(".", r"\.").replace("(", r"\(") for w in words) + ")")
 
 
+def first_groups(c, patterns):
+    """Kind and groups of the first pattern that fits the whole of ``c``, behind marks; null where none does.
+
+    ``patterns``: kind -> (pattern, groups).  One replacement by the pattern's groups stands for one extract per group.
+    """
+    fits = lambda kind, p, n: F.regexp_replace(c, rf"(?:{p})(?s:.*)", "\u0001" + "\u0001".join([kind, *[f"${i}" for i in range(1, n + 1)]]))
+    return reduce(lambda chain, x: chain.when(c.rlike(x[1][0]), fits(x[0], *x[1])), patterns.items(), F)
+
+
 def split_pages(pages):
     """Page text to numbered non-blank lines."""
     return pages.select("doc_id", "page", F.posexplode(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")).alias("pos", "text")) \
@@ -106,29 +120,33 @@ def structure_items(blocks):
     start = F.get(F.filter("lines", lambda x: x["line_class"] == "INICIO_ITEM"), F.lit(0))["text"]
     b = blocks.withColumn("start", F.trim(start))
     s = F.col("start")
-    kind = F.when(s.rlike(GRID_START), "grid").when(s.rlike(DASH_START), "dash").when(s.rlike(LINE_START), "line").when(s.rlike(BROKEN_START), "broken").when(s.rlike(PAGE_BREAK), "page").otherwise("none")
-    b = b.withColumn("kind", kind)
+    # the pattern that fits hands all its groups over at once; each is read from the split text afterwards
+    starts = {"grid": (GRID_START, 9), "dash": (DASH_START, 6), "line": (LINE_START, 6), "broken": (BROKEN_START, 4), "page": (PAGE_BREAK, 2)}
+    b = b.withColumn("_g", F.split(first_groups(s, starts), "\u0001")).withColumn("kind", F.coalesce(F.get("_g", F.lit(1)), F.lit("none")))
     k = F.col("kind")
-    g = lambda p, n: F.regexp_extract(s, p, n)
+    g = lambda n: F.get("_g", F.lit(n + 1))
     num = lambda c: T.br_number(c, "dot")
+
+    def by_kind(**groups):
+        return reduce(lambda chain, x: chain.when(k == x[0], g(x[1])), groups.items(), F)
     cont = F.get(F.filter(F.transform("lines", lambda x: F.trim(x["text"])), lambda x: x.rlike(r"^\d{1,6}(?:[\s,.]|$)") & (x != s)), F.lit(0))
     b = b.withColumn("_cont", F.split(cont, r"\s+"))
-    rebuilt = num(F.concat(g(BROKEN_START, 4), F.get("_cont", F.lit(0))))
-    unit_price = F.when(k == "grid", num(g(GRID_START, 8))).when(k == "dash", num(g(DASH_START, 5))).when(k == "line", num(g(LINE_START, 5))).when((k == "broken") & (rebuilt > 0), num(F.get("_cont", F.lit(1))))
-    total = F.when(k == "grid", num(g(GRID_START, 9))).when(k == "dash", num(g(DASH_START, 6))).when(k == "line", num(g(LINE_START, 6))).when((k == "broken") & (rebuilt > 0), num(F.get("_cont", F.lit(2))))
-    b = b.withColumn("unit_price", unit_price).withColumn("total", total)
-    line_qty = num(g(LINE_START, 4))
-    line_qty = F.when((F.coalesce(line_qty, F.lit(0.0)) == 0) & (F.col("unit_price") != 0) & (F.col("total") != 0), F.round(F.col("total") / F.col("unit_price"), 4)).otherwise(line_qty)
-    qty = F.when(k == "grid", num(g(GRID_START, 4))).when(k == "dash", num(g(DASH_START, 3))).when(k == "line", line_qty) \
-        .when(k == "broken", F.coalesce(F.when(rebuilt > 0, rebuilt), num(g(BROKEN_START, 4)), F.lit(0.0))).when(k == "page", num(g(PAGE_BREAK, 2)))
+    broken = k == "broken"
+    b = b.withColumn("rebuilt", F.when(broken, num(F.concat(g(4), F.get("_cont", F.lit(0))))))
+    again = broken & (F.col("rebuilt") > 0)
+    b = b.withColumn("unit_price", num(F.when(again, F.get("_cont", F.lit(1))).otherwise(by_kind(grid=8, dash=5, line=5)))) \
+        .withColumn("total", num(F.when(again, F.get("_cont", F.lit(2))).otherwise(by_kind(grid=9, dash=6, line=6)))) \
+        .withColumn("_q", num(by_kind(grid=4, dash=3, line=4, broken=4, page=2)))
+    worked_out = (k == "line") & (F.coalesce("_q", F.lit(0.0)) == 0) & (F.col("unit_price") != 0) & (F.col("total") != 0)
+    qty = F.when(worked_out, F.round(F.col("total") / F.col("unit_price"), 4)).when(broken, F.coalesce(F.when(F.col("rebuilt") > 0, F.col("rebuilt")), "_q", F.lit(0.0))).otherwise(F.col("_q"))
     seen_note = F.exists("lines", lambda x: x["line_class"] == "LINHA_OBSERVACAO")
     note_at = F.array_min(F.transform(F.filter("lines", lambda x: x["line_class"] == "LINHA_OBSERVACAO"), lambda x: x["line_no"]))
     part = F.filter("lines", lambda x: (x["line_class"] == "DESCRICAO_ITEM") | ((x["line_class"] == "DESCONHECIDA") & (~seen_note | (x["line_no"] < note_at))))
     body = F.trim(F.array_join(F.filter(F.transform(part, lambda x: F.regexp_replace(F.trim(x["text"]), r"(?iu)^DESCRI(?:ÇÃO|CAO) DETALHADA DO PRODUTO\s*", "")), lambda x: x != ""), " "))
-    desc = F.when(k == "line", g(LINE_START, 2)).when(k == "broken", g(BROKEN_START, 2)).when(k.isin("grid", "dash"), body).otherwise("")
+    desc = F.when(k.isin("grid", "dash"), body).otherwise(F.coalesce(by_kind(line=2, broken=2), F.lit("")))
     b = b.withColumn("qty", qty).withColumn("_cut", T.cut_boilerplate(F.trim(desc)))
-    code = F.when(k == "grid", g(GRID_START, 2)).when(k == "dash", g(DASH_START, 1)).when(k == "line", g(LINE_START, 1)).when(k == "broken", g(BROKEN_START, 1)).when(k == "page", g(PAGE_BREAK, 1))
-    unit = F.upper(F.when(k == "grid", g(GRID_START, 5)).when(k == "dash", g(DASH_START, 4)).when(k == "line", g(LINE_START, 3)).when(k == "broken", g(BROKEN_START, 3)).when(k == "page", "UN"))
+    code = by_kind(grid=2, dash=1, line=1, broken=1, page=1)
+    unit = F.upper(F.when(k == "page", "UN").otherwise(by_kind(grid=5, dash=4, line=3, broken=3)))
     interrupted = F.coalesce(F.col("closed_by") == "bloco_administrativo", F.lit(False))
     status = F.when(k == "none", "falhou").when(k == "page", "duvidoso").when(interrupted | (F.col("_cut.text") == ""), "ok_com_ressalvas").otherwise("ok")
     return b.select("doc_id", "block", "page", "kind", code.alias("client_code"), F.col("_cut.text").alias("description"), "qty", unit.alias("unit"), "unit_price", "total",
@@ -269,9 +287,11 @@ def extract_priced(lines):
     p = rf"^(\d{{1,4}})\s+(.+?)\s+({num},\d{{2,3}})\s+({num}(?:,\d{{1,3}})?)\s+R\$\s+({num},\d{{2}})$"
     head = r"(?iu)^COD\s+\S+\s+descri[çc][ãa]o\s+VALOR\s+unit\s+(?:qnd|quantidade)\s+TOTAL$"
     t = F.trim("text")
-    dec = lambda n, s: F.replace(F.replace(F.regexp_extract(t, p, n), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast(f"decimal(18,{s})")
-    d = lines.filter(t != "").withColumn("_h", t.rlike(head)).withColumn("_i", t.rlike(p)).withColumn("code", F.when(F.col("_i"), F.regexp_extract(t, p, 1).cast("int").cast("string"))) \
-        .withColumn("qty", dec(4, 6)).withColumn("price", dec(3, 6)).withColumn("total", dec(5, 2)).withColumn("description", F.regexp_extract(t, p, 2))
+    d = lines.filter(t != "").withColumn("_h", t.rlike(head)).withColumn("_g", F.split(first_groups(t, {"item": (p, 5)}), "\u0001"))
+    g = lambda n: F.get("_g", F.lit(n + 1))
+    dec = lambda n, s: F.replace(F.replace(g(n), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast(f"decimal(18,{s})")
+    d = d.select("doc_id", "page", "line_no", "_h", F.col("_g").isNotNull().alias("_i"), g(1).cast("int").cast("string").alias("code"), dec(4, 6).alias("qty"), dec(3, 6).alias("price"), dec(5, 2).alias("total"),
+                 g(2).alias("description"))
     pos = F.struct("page", "line_no")
     per_code = d.filter("_i").groupBy("doc_id", "code").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("repeats"))
     doc = d.groupBy("doc_id").agg(F.min(pos).alias("first"), F.min(F.when(F.col("_h"), pos)).alias("head"), F.max(~F.col("_h") & ~F.col("_i")).alias("bad"),
@@ -310,12 +330,9 @@ def canonical_items(df):
 
 def known_layout(docs, formats):
     """Saved identifiers of four or more characters found in the text; the first format on the list wins."""
-    f = formats.filter("length(identifier) >= 4").withColumn("ident", F.upper("identifier")).withColumn("g", F.substring("ident", 1, 4))
-    d = docs.select("doc_id", F.upper("text").alias("u")).filter("length(u) >= 4")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("u") - 3), lambda i: F.substring(F.col("u"), i, F.lit(4))))
-    # only the grams travel; the text joins again for the few pairs that share one
-    maybe = d.select("doc_id", F.explode(grams).alias("g")).join(f, "g").select("doc_id", "ident", "format", "ordinal")
-    return maybe.join(d, "doc_id").filter(F.expr("contains(u, ident)")).groupBy("doc_id").agg(F.min_by("format", "ordinal").alias("format"))
+    f = formats.filter("length(identifier) >= 4").select(F.upper("identifier").alias("needle"), "format", "ordinal")
+    first = f.groupBy("needle").agg(F.min_by("format", "ordinal").alias("format"), F.min("ordinal").alias("ordinal"))
+    return contained(docs, "doc_id", F.upper("text"), f, F.col("needle")).join(first, "needle").groupBy("doc_id").agg(F.min_by("format", "ordinal").alias("format"))
 
 
 def extract_two_line(lines):
@@ -352,7 +369,11 @@ def extract_by_position(words):
         T.br_number(F.replace("unit_price", F.lit("R$"), F.lit("")), "comma").alias("unit_price"), T.br_number(F.replace("total", F.lit("R$"), F.lit("")), "comma").alias("total"))
 
 
-CELL_UNITS = ("UN UND UNID PC PCS PÇ PÇS PCE M MT MTS MTR METRO M2 M² M3 M³ KG TON CX CAIXA RL ROLO BR BRAÇO LT L GL GALAO FD FDO FARD JG JGO JD JARRA PAR PR BCT SAC SC TUBO BAR").split()
+CELL_UNITS = [
+    "UN", "UND", "UNID", "PC", "PCS", "PÇ", "PÇS", "PCE", "M", "MT", "MTS", "MTR", "METRO", "M2", "M²", "M3", "M³",
+    "KG", "TON", "CX", "CAIXA", "RL", "ROLO", "BR", "BRAÇO", "LT", "L", "GL", "GALAO", "FD", "FDO", "FARD", "JG",
+    "JGO", "JD", "JARRA", "PAR", "PR", "BCT", "SAC", "SC", "TUBO", "BAR",
+]
 
 
 def extract_by_content(cells, unit_share=0.4, number_share=0.6):

@@ -14,14 +14,15 @@ VIA_TEXT = "DESCRIÇÃO"
 VIA_RETURN = "SÓ NO RETORNO"
 
 
-def compare_order_quote(order, quote):
+def compare_order_quote(order, quote, keep=None):
     """Order against quote by code within a document.
 
     Repeated codes keep their last row on both sides; the full outer join gives
-    the side statuses, the decimals give the discount and the safe price.
+    the side statuses, the decimals give the discount and the safe price.  ``keep`` is a further column of the kept order row.
     """
+    extra = [] if keep is None else [keep.alias("kept")]
     o = last_per_key(order.withColumn("code", T.norm_code(F.col("product_code"), "int_zeros")), ["doc_id", "code"], "row_ord") \
-        .select("doc_id", "code", "description", "qty", F.col("price").cast(D.MONEY).alias("order_price"), F.lit(1).alias("_o"))
+        .select("doc_id", "code", "description", "qty", F.col("price").cast(D.MONEY).alias("order_price"), F.lit(1).alias("_o"), *extra)
     q = last_per_key(quote.withColumn("code", T.norm_code(F.col("product_code"), "int_zeros")), ["doc_id", "code"], "row_ord") \
         .select("doc_id", "code", F.col("description").alias("q_description"), F.col("qty").alias("q_qty"),
                 F.col("price").cast(D.MONEY).alias("quote_price"), F.lit(1).alias("_q"))
@@ -37,16 +38,14 @@ def compare_order_quote(order, quote):
         F.when(F.col("_o").isNotNull(), F.col("qty")).otherwise(F.col("q_qty")).alias("qty"),
         "order_price", "quote_price", "discount",
         D.safe_price(F.col("_calc"), F.col("order_price")).alias("final_price"),
-        F.when(F.col("_calc") > F.col("order_price"), "Limitado pela OC").alias("note"), status.alias("status"))
+        F.when(F.col("_calc") > F.col("order_price"), "Limitado pela OC").alias("note"), status.alias("status"), *[c for c in ("kept",) if extra])
 
 
 def compare_priced(order, quote):
-    """C1 plus stated and computed totals of each document line."""
-    totals = last_per_key(order.withColumn("code", T.norm_code(F.col("product_code"), "int_zeros")), ["doc_id", "code"], "row_ord") \
-        .withColumn("_t", D.total_check(F.col("qty"), F.col("price"), F.col("total"))) \
-        .select("doc_id", "code", F.col("total").alias("stated_total"), F.col("_t.computed").alias("computed_total"),
-                F.col("_t.difference").alias("total_difference"))
-    return compare_order_quote(order, quote).join(totals, ["doc_id", "code"], "left")
+    """C1 plus stated and computed totals of each document line, from the same kept order rows."""
+    check = D.total_check(F.col("qty"), F.col("price"), F.col("total"))
+    c = compare_order_quote(order, quote, F.struct(F.col("total").alias("stated"), check.alias("t")))
+    return c.withColumns({"stated_total": F.col("kept.stated"), "computed_total": F.col("kept.t.computed"), "total_difference": F.col("kept.t.difference")}).drop("kept")
 
 
 def priced_stats(df):

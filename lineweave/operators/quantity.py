@@ -47,7 +47,7 @@ def validate(df, approved=R.APPROVED_MATCH_TYPES):
         F.when(~F.coalesce(F.col("matched"), F.lit(False)), "SEM_MATCH"),
         F.when(~kind.isin(approved), F.concat(F.lit("TIPO_MATCH_NAO_APROVADO:"),
                                               F.when(kind == "", "VAZIO").otherwise(kind))),
-        F.when(F.trim(T.text(F.col("product_code"))) == "", "SEM_CODIGO_KRONA".replace("KRONA", R.SUPPLIER)),
+        F.when(F.trim(T.text(F.col("product_code"))) == "", f"SEM_CODIGO_{R.SUPPLIER}"),
         F.when(qty.isNull(), "SEM_QUANTIDADE_FINAL").when(qty <= 0, "QUANTIDADE_FINAL_INVALIDA"),
         F.when(pct < 0, "DESCONTO_NEGATIVO"),
         F.when(~F.col("discount_valid") & pct.isNotNull(), "DESCONTO_INVALIDO")))

@@ -126,7 +126,13 @@ query("f13_measures_compatible", f"SELECT l_orderkey, count(*) FILTER (same) AS
     lambda s: s.sql(_F13).withColumn("x", P.typed_measures(F.col("a"))).withColumn("y", P.typed_measures(F.col("b"))).groupBy("l_orderkey").agg(F.count_if(X.measures_compatible(F.col("x"), F.col("y"))).alias("compatible")))
 _F15T = "SELECT DISTINCT p_type AS client, 'TUBO ' || upper(split_part(p_name, ' ', 1)) AS description, 'TUBO' AS ptype FROM {part}"
 _F15I = "SELECT DISTINCT p_type AS client, 'TUBO ' || upper(p_name) AS description, 'TUBO' AS ptype, p_type || p_name AS text_id FROM {part}"
-query("f15_missing_tokens")(lambda s: X.missing_tokens(s.sql(_F15I), s.sql(_F15T)))
+query("f15_missing_tokens", f"""
+WITH w AS (SELECT text_id, client, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT text_id, client, regexp_extract_all(description, '[A-Z]{{2,}}') AS ws FROM ({_F15I}))),
+v AS (SELECT DISTINCT client, unnest(regexp_extract_all(description, '[A-Z]{{2,}}')) AS word FROM ({_F15T})),
+st(word, stem) AS (SELECT word, CASE WHEN length(s) >= 4 AND (ends_with(s, 'A') OR ends_with(s, 'O')) THEN s[:-2] ELSE s END FROM (SELECT word, CASE WHEN length(word) >= 5 AND ends_with(word, 'S') THEN word[:-2] ELSE word END AS s FROM (SELECT word FROM w UNION SELECT word FROM v))),
+x AS (SELECT w.text_id, w.word, min(w.pos) AS pos FROM w JOIN st USING (word) WHERE length(st.stem) >= 4 AND st.stem <> 'TUB' AND NOT EXISTS (SELECT 1 FROM v JOIN st AS vs ON v.word = vs.word WHERE v.client = w.client
+      AND (vs.stem = st.stem OR (length(vs.stem) >= 3 AND starts_with(st.stem, vs.stem)) OR starts_with(vs.stem, st.stem))) GROUP BY 1, 2)
+SELECT text_id, array_to_string(list(lower(word) ORDER BY pos), ', ') AS missing FROM x GROUP BY text_id""")(lambda s: X.missing_tokens(s.sql(_F15I), s.sql(_F15T)))
 
 
 def coded_items(s):
@@ -138,16 +144,23 @@ def indexed(s):
     return C.price_index(X.latest_table(s.price_table), s.catalogue).withColumn("row_ord", F.col("row_ord"))
 
 
-query("j9_join_client_code")(lambda s: X.join_client_code(coded_items(s), indexed(s)))
+query("j9_join_client_code", """SELECT count(*) AS n, i.client, i.client_code, t.product_code AS index_code, CAST(t.price AS DOUBLE) AS table_price, 1 AS repeats FROM (SELECT DISTINCT p_type AS client, items.client_code, items.description FROM (SELECT * FROM {items}) AS items JOIN {part} ON part_ord = p_partkey WHERE items.client_code IS NOT NULL) i
+  JOIN (SELECT * FROM {price_table}) t ON t.client = i.client AND t.client_code = i.client_code WHERE t.validity = '2 SEM - 2026' AND '0' || t.product_code IN (SELECT product_code FROM {catalogue}) GROUP BY ALL""")(
+    lambda s: X.join_client_code(coded_items(s), indexed(s)).join(coded_items(s).select("item_key", "client", "client_code"), "item_key").groupBy("client", "client_code", "index_code", F.col("table_price").cast("double").alias("table_price"), F.col("repeats").cast("int").alias("repeats")).agg(F.count("*").alias("n")))
 query("j10_join_product_code", """SELECT count(*) AS n, count(DISTINCT index_code) AS codes FROM (SELECT DISTINCT p_type AS client, CAST(p_partkey AS VARCHAR) AS index_code FROM (SELECT items.part_ord FROM {items}) JOIN {part} ON part_ord = p_partkey WHERE p_size > 5)""")(
     lambda s: X.join_product_code(s.items.select(F.col("part_ord").cast("string").alias("client_code")).distinct().join(s.part.select(F.col("p_partkey").cast("string").alias("client_code"), F.col("p_type").alias("client"), F.col("p_name").alias("description")), "client_code")
                                   .withColumn("item_key", F.col("client_code")), indexed(s)).agg(F.count("*").alias("n"), F.countDistinct("index_code").alias("codes")))
 
 
 def compared(s):
-    coded, plain = coded_items(s), priced_items(s).withColumn("client_code", F.lit("")).withColumn("n_lines", F.lit(1).cast("bigint"))
-    described = X.match_price_table(priced_items(s), table_pairs(s).join(priced_items(s).select("item_key", "price", "factor"), "item_key"))
-    return X.compare_to_table(coded.unionByName(plain.select(*coded.columns)), indexed(s), described)
+    """Coded lines, lines whose code the table lacks, lines of other wordings and of the catalogue rules."""
+    coded = coded_items(s).withColumn("unit", F.lit("M"))
+    plain = priced_items(s).filter("pmod(hash(description), 4) = 0").withColumn("client_code", F.lit("")).withColumn("unit", F.lit("UN"))
+    odd = s.sql("SELECT DISTINCT p_type AS client, '' AS client_code, 'BR' AS unit, CASE p_size % 5 WHEN 0 THEN 'PLUG PVC ROSC 3/4' WHEN 1 THEN 'JOELHO PVC SOLDAVEL 25 X 90' WHEN 2 THEN 'ANEL BORRACHA 50' WHEN 3 THEN 'Parafuso sextavado' ELSE 'TUBO PVC SOLDAVEL GALVANIZADO 50MM' END AS description FROM {part}") \
+        .withColumn("item_key", F.md5(F.concat_ws("|", "client", "description")))
+    columns = ["item_key", "client", "client_code", "description", "unit"]
+    rows = coded.select(*columns).unionByName(plain.select(*columns)).unionByName(odd.select(*columns))
+    return X.compare_to_table(rows, indexed(s).join(s.price_table.groupBy("client", F.col("product_code").alias("index_code")).agg(F.max("unit").alias("unit")), ["client", "index_code"], "left"), table_side(s), L.candidate_side(featured(s)))
 
 
-query("m14_compare_to_table")(lambda s: compared(s).groupBy("via", "status").agg(F.count("*").alias("n")))
+query("m14_compare_to_table")(compared)

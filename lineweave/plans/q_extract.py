@@ -54,7 +54,10 @@ query("u10_best_strategy", _STRAT)(lambda s: X.best_strategy(strategies(s)).grou
 query("u11_quality_gate", "SELECT l_orderkey AS doc_id, CASE WHEN bool_or(l_tax > 0.06) THEN count(*) ELSE 1 END AS n FROM {lineitem} GROUP BY 1")(
     lambda s: X.quality_gate(s.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_tax") > 0.06, "ok").otherwise("falhou").alias("status")),
                              s.lineitem.select(F.col("l_orderkey").alias("doc_id")).distinct()).groupBy("doc_id").agg(F.count("*").alias("n")))
-query("u15_match_template")(lambda s: X.match_template(s.documents.select("doc_id", T.doc_signature(F.col("text")).alias("signature")), s.benchmark.select(F.col("item_id").alias("template"), T.doc_signature(F.col("text")).alias("signature"))))
+_SIGNED = "list_distinct(list_filter(string_split(substr(trim(regexp_replace(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'ss')), '\\d+', '#', 'g'), '[^A-Z# ]+', ' ', 'g'), '\\s+', ' ', 'g')), 1, 400), ' '), lambda w: length(w) >= 4))"
+query("u15_match_template", f"""WITH d AS (SELECT doc_id, {_SIGNED} AS w FROM {{documents}}), t AS (SELECT item_id AS template, {_SIGNED} AS w FROM {{benchmark}}),
+  s AS (SELECT doc_id, template, len(list_intersect(d.w, t.w)) / len(t.w) AS share FROM d, t WHERE len(t.w) > 0)
+  SELECT doc_id, arg_max(template, struct_pack(s := share, t := template)) AS template, max(share) AS share FROM s WHERE share >= 0.7 GROUP BY doc_id""")(lambda s: X.match_template(s.documents.select("doc_id", T.doc_signature(F.col("text")).alias("signature")), s.benchmark.select(F.col("item_id").alias("template"), T.doc_signature(F.col("text")).alias("signature"))))
 query("e1_classify_document", """SELECT doc_id, CASE WHEN file_name LIKE '%manual%' THEN 'COTACAO' WHEN k = 0 THEN 'OC' WHEN k = 1 THEN 'COTACAO' WHEN k = 2 THEN 'OC' WHEN k = 3 THEN 'OC' ELSE 'UI' END AS kind FROM (SELECT page_id AS doc_id, url || CASE WHEN page_id % 7 = 0 THEN ' manual' ELSE '' END AS file_name, page_id % 5 AS k FROM {pages})""")(
     lambda s: X.classify_document(
         s.pages.select(F.col("page_id").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("line_no"), t.alias("text")) for i, t in enumerate([

@@ -63,7 +63,10 @@ query("u14_distinct_catalogue", "SELECT min(p_partkey) AS row_ord, p_brand AS co
     lambda s: C.distinct_catalogue(s.part.select(F.col("p_partkey").alias("row_ord"), F.col("p_brand").alias("code"), F.col("p_type").alias("family"), F.col("p_size").alias("gauge"))))
 query("p14_catalogue_features", f"SELECT product_code, {LINE_SQL} AS c_line, {S.joined(_DIAMS)} AS x_diameters, cat AS x_category FROM (SELECT product_code, t, replace(t, ' ', '  ') AS w, coalesce({S.category('t', R.CATEGORIES)}, '') AS cat FROM (SELECT product_code, {S.norm_text('description')} AS t FROM {{catalogue}}))")(
     lambda s: C.catalogue_features(C.build_catalogue(s.catalogue, blocked=["x"])).select("product_code", "c_line", F.array_join(F.col("x_diameters").cast("array<string>"), ",").alias("x_diameters"), F.coalesce("x_category", F.lit("")).alias("x_category")))
-query("p15_anchors")(lambda s: item_side(s).groupBy("anchors").agg(F.count("*").alias("texts"), F.sum("n_lines").alias("lines")))
+_REFS = S.has('t', r'REFOR|\bSR\b')
+_ANGLED = "cat IN ('JOELHO', 'CURVA', 'TE') AND regexp_matches(t, '(^|[^0-9])(45|90|180)([^0-9]|$)')"
+query("p15_anchors", f"""SELECT CAST(cat IS NOT NULL AS INTEGER) + CAST(len({_DIAMS}) > 0 AS INTEGER) + CAST({_REFS} OR ({LINE_SQL}) IS NOT NULL AS INTEGER) + CAST({_ANGLED} AS INTEGER) AS anchors, count(*) AS texts, CAST(sum(n) AS BIGINT) AS lines
+  FROM (SELECT *, replace(t, ' ', '  ') AS w, {S.category('t', R.CATEGORIES)} AS cat FROM (SELECT {S.clean_for_match('description')} AS t, n FROM (SELECT description, count(*) AS n FROM {{items}} GROUP BY 1))) GROUP BY 1""")(lambda s: item_side(s).groupBy("anchors").agg(F.count("*").alias("texts"), F.sum("n_lines").alias("lines")))
 _P16 = "SELECT p_partkey AS row_ord, CASE p_size % 3 WHEN 0 THEN 'RED DN ' || CAST(p_size + 50 AS STRING) || ' X ' || CAST(p_size AS STRING) WHEN 1 THEN 'TUBO DN' || CAST(p_size + 10 AS STRING) ELSE 'CAP' END AS description, CASE WHEN p_size > 45 THEN 1.0 END AS diameter_mm, CAST(NULL AS DOUBLE) AS diameter_final_mm, p_size FROM {part}"
 query("p16_complete_diameters", f"SELECT row_ord, CASE WHEN diameter_mm IS NOT NULL THEN diameter_mm WHEN p_size % 3 = 0 THEN p_size + 50 WHEN p_size % 3 = 1 THEN p_size + 10 END AS d, CASE WHEN diameter_mm IS NULL AND p_size % 3 = 0 THEN p_size END AS d2 FROM ({_P16})")(
     lambda s: C.complete_diameters(s.sql(_P16)).select("row_ord", F.col("diameter_mm").alias("d"), F.col("diameter_final_mm").alias("d2")))

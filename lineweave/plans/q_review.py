@@ -15,7 +15,7 @@ def now():
 
 _Q = "SELECT id, document, description, item_no, suggested_code, score, match_type, status, created_at, CAST(NULL AS STRING) AS alert FROM {review_queue}"
 _NEW = "SELECT 'DOC' || CAST(user_id AS STRING) || '.pdf' AS document, 'item ' || CAST(event_id % 41 AS STRING) || ' ' || event_type AS description, CAST(event_id % 9 AS STRING) AS item_no, CAST(event_id % 30 AS STRING) AS suggested_code, 0.5 AS score, 'MATCH_DESCRICAO' AS match_type, CASE WHEN value > 50 THEN 'ver' ELSE '' END AS alert, event_id AS row_ord FROM {events} WHERE event_type IN ('view', 'click')"
-_LASTNEW = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document, description ORDER BY row_ord DESC) AS rn FROM ({_NEW})) WHERE rn = 1"
+_LASTNEW = f"SELECT * EXCLUDE (alert), said AS alert FROM (SELECT *, arg_max(alert, row_ord) FILTER (alert <> '') OVER (PARTITION BY document, description) AS said, row_number() OVER (PARTITION BY document, description ORDER BY row_ord DESC) AS rn FROM ({_NEW})) WHERE rn = 1"
 query("u1_upsert_review", f"""WITH q AS ({_Q}), n AS ({_LASTNEW}), p AS (SELECT document, description, min(id) AS id FROM q WHERE status = 'pendente' GROUP BY 1, 2)
   SELECT document, description, status, created_at, CASE WHEN p.id IS NOT NULL AND n.row_ord IS NOT NULL THEN n.suggested_code ELSE q.suggested_code END AS suggested_code, CASE WHEN p.id IS NOT NULL AND n.alert <> '' THEN n.alert END AS alert
   FROM q LEFT JOIN p USING (document, description, id) LEFT JOIN n USING (document, description)
@@ -88,7 +88,14 @@ query("j15_apply_corrections", f"SELECT r.row_id, coalesce(a.c, b.c, 'old') AS p
 query("r2_regenerate", f"SELECT coalesce(a.c, b.c, 'old') AS product_code, count(*) AS n FROM ({_RESULT}) r LEFT JOIN ({_RS}) a ON r.document = a.document AND r.description = a.description LEFT JOIN ({_RS}) b ON r.document = b.document AND r.description_2 = b.description GROUP BY 1")(
     lambda s: V.apply_corrections(s.sql(_RESULT), s.review_queue).groupBy("product_code").agg(F.count("*").alias("n")))
 _RQ = "SELECT id, document, description, item_no, suggested_code, score, match_type, status, created_at, CAST(NULL AS STRING) AS alert, resolved_at FROM {review_queue}"
-query("r1_refresh_review")(lambda s: V.refresh_review(s.sql(_RQ), s.sql(_NEW).withColumn("manual_review", F.lit(False)), s.sql(_NEW), now()).groupBy("status").agg(F.count("*").alias("n")))
+_ALERTS = "SELECT 'A' || CAST(r_regionkey AS STRING) AS alert_code, 'confirmar ' || r_name AS alert FROM {region}"
+_RES = f"SELECT n.*, CASE WHEN row_ord % 3 = 0 THEN 0.5 ELSE 0.9 END AS graded, 'A' || CAST(row_ord % 40 AS STRING) AS client_code FROM ({_NEW}) n"
+query("r1_refresh_review", f"""WITH q AS ({_RQ}), a AS ({_RES}), n AS (SELECT document, description, CAST(row_ord AS HUGEINT) AS o, alert FROM a WHERE graded < 0.75 UNION ALL SELECT document, description, CAST(row_ord AS HUGEINT) + 4611686018427387904, b.alert FROM a JOIN ({_ALERTS}) b ON a.client_code = b.alert_code),
+  k AS (SELECT document, description, arg_max(alert, o) FILTER (coalesce(alert, '') <> '') AS alert FROM n GROUP BY 1, 2), p AS (SELECT document, description, min(id) AS id FROM q WHERE status = 'pendente' GROUP BY 1, 2),
+  u AS (SELECT q.document, q.description, q.status, q.resolved_at, CASE WHEN p.id IS NOT NULL THEN k.alert END AS alert FROM q LEFT JOIN p USING (document, description, id) LEFT JOIN k USING (document, description)
+        UNION ALL SELECT k.document, k.description, 'pendente', NULL, k.alert FROM k ANTI JOIN p USING (document, description))
+  SELECT status, alert, count(*) AS n FROM u WHERE NOT (status = 'pendente' AND document IN (SELECT document FROM a) AND (document, description) NOT IN (SELECT (document, description) FROM k)) AND NOT coalesce(status = 'resolvido' AND resolved_at < {NOW} - INTERVAL 180 DAY, false) GROUP BY 1, 2""")(
+    lambda s: V.refresh_review(s.sql(_RQ), s.sql(_RES).withColumn("score", F.col("graded")).withColumn("manual_review", F.lit(False)), s.sql(_NEW), now(), s.sql(_ALERTS)).groupBy("status", "alert").agg(F.count("*").alias("n")))
 _PROC = "SELECT o_orderkey AS process_id, 'aguardando_retorno' AS state, CAST(NULL AS DOUBLE) AS return_value FROM {orders}"
 query("u16_attach_return", "SELECT o_orderkey AS process_id, CASE WHEN v IS NOT NULL THEN 'retorno_comparado' ELSE 'aguardando_retorno' END AS state, round(v, 2) AS return_value FROM {orders} LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS v FROM {lineitem} GROUP BY 1) ON o_orderkey = l_orderkey")(
     lambda s: V.attach_return(s.sql(_PROC), s.lineitem.groupBy(F.col("l_orderkey").alias("process_id")).agg(F.sum("l_quantity").alias("value")), now()).select("process_id", "state", F.round("return_value", 2).alias("return_value")))

@@ -23,7 +23,15 @@ query("s18_import_catalogue_b", f"SELECT row_ord, sku_norm, description, CAST(lo
 _UP = "SELECT DISTINCT CASE l_linenumber WHEN 1 THEN 'sk ' || CAST(l_partkey % 1500 AS STRING) || '/brand#' || CAST(l_suppkey % 25 + 1 AS STRING) WHEN 2 THEN CAST(l_partkey AS STRING) ELSE '' END AS code, CASE WHEN l_linenumber = 3 THEN p_name ELSE p_name || ' ' || p_type END AS description FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
 query("j21_resolve_list")(lambda s: B.resolve_list(s.sql(_UP), cat_b(s)).groupBy("tier").agg(F.count("*").alias("n")))
 _SQ = "SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'SK' || CAST(p_partkey AS STRING) WHEN 1 THEN CAST(p_partkey AS STRING) WHEN 2 THEN p_name ELSE p_name || ' para XYZ' END AS query FROM {part}"
-query("w16_ranked_search")(lambda s: B.ranked_search(s.sql(_SQ), cat_b(s)).groupBy("tier").agg(F.count("*").alias("rows"), F.countDistinct("query").alias("queries")))
+_CBN = f"SELECT row_ord, sku_norm, regexp_replace(sku_norm, '[^0-9]', '', 'g') AS sku_digits, description FROM ({_CB})"
+query("w16_ranked_search", f"""
+WITH q AS (SELECT query, upper(trim(query)) AS qn, regexp_replace(upper(query), '[^A-Z0-9]+', '', 'g') AS k FROM ({_SQ})), c AS ({_CBN}),
+w AS (SELECT *, NOT contains(qn, ' ') AND regexp_matches(k, '^[0-9]+$|^[A-Z]{{1,4}}[0-9]+[A-Z0-9]*$') AS codey, regexp_matches(k, '^[0-9]+$') AS num,
+             list_distinct(list_filter(regexp_extract_all(qn, '[A-Z0-9+]+'), lambda t: length(t) >= 2 AND NOT list_contains(['DE', 'DA', 'DO', 'PARA', 'COM', 'SEM', 'EM', 'NO', 'NA', 'E'], t))) AS toks FROM q),
+h AS (SELECT query, row_ord, CASE WHEN codey AND k = sku_norm THEN 1 WHEN codey AND sku_norm <> '' AND starts_with(sku_norm, k) THEN 2 WHEN codey AND num AND k = sku_digits THEN 3 WHEN codey AND num AND sku_digits <> '' AND starts_with(sku_digits, k) THEN 4
+             WHEN len(toks) > 0 AND len(list_filter(toks, lambda t: contains(upper(description), t))) = len(toks) THEN 5 WHEN len(list_filter(toks, lambda t: contains(upper(description), t))) > 0 THEN 6 END AS tier FROM w, c),
+b AS (SELECT query, min(tier) AS tier FROM h GROUP BY query), r AS (SELECT query, tier, row_number() OVER (PARTITION BY query ORDER BY row_ord) AS rank FROM h JOIN b USING (query, tier))
+SELECT tier, count(*) AS rows, count(DISTINCT query) AS queries FROM r WHERE rank <= CASE WHEN tier IN (1, 3) THEN 1 ELSE 50 END GROUP BY tier""")(lambda s: B.ranked_search(s.sql(_SQ), cat_b(s)).groupBy("tier").agg(F.count("*").alias("rows"), F.countDistinct("query").alias("queries")))
 query("a18_cart_totals", "SELECT CAST(l_suppkey AS VARCHAR) AS \"user\", CAST(l_partkey AS VARCHAR) AS code, CAST(CAST(sum(ceil(l_quantity / (1 + l_partkey % 6)) * (1 + l_partkey % 6)) AS BIGINT) AS VARCHAR) AS qty FROM {lineitem} GROUP BY 1, 2")(
     lambda s: B.cart_totals(s.lineitem.select(F.col("l_suppkey").cast("string").alias("user"), F.col("l_partkey").cast("string").alias("code"), (1 + F.col("l_partkey") % 6).cast("string").alias("lot"), F.col("l_quantity").cast("string").alias("qty"))))
 query("s16_cart_sheet", "SELECT p_name AS description, p_brand AS code, CAST(p_size AS VARCHAR) AS qty FROM {part}")(

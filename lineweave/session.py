@@ -18,10 +18,12 @@ def local_session(cpus=8, name="lineweave"):
 
 
 def checkpoint_dir(spark):
-    """The shared folder the cluster names; a private one only when none is set."""
+    """The shared folder the cluster names.  Only a local session may go without one and gets a private folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if named is None and not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = named or tempfile.mkdtemp(prefix="lineweave-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 
 
 def write_price_table(df, path):
@@ -24,7 +25,8 @@ def entry_sheet(df):
 
 
 def write_validation(df, approved_path, review_path):
-    """One pass per side over the same frame."""
+    """Two sheets of one frame, which is worked out once and written to the shared folder in between."""
+    df = cut_lineage(df)
     df.filter("approved").write.mode("overwrite").option("sep", ";").option("header", True).csv(approved_path)
     df.filter("not approved").write.mode("overwrite").option("sep", ";").option("header", True).csv(review_path)
 

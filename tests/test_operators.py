@@ -68,6 +68,15 @@ def test_parallel_rounds_choose_like_the_serial_order(spark):
         assert sorted(map(tuple, Pr.choose_in_order(df, serial).collect())) == sorted(want)
 
 
+def test_quantiles_by_radix_selection(spark):
+    import statistics
+    from lineweave.operators.common import exact_quantile
+    for values in ([5], [-3, 9], [7, 7, -2 ** 40, 2 ** 50, 0, None], list(range(-50, 51)), [2 ** 62, -2 ** 62, 1, 2]):
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        assert exact_quantile(df, "v") == statistics.median(v for v in values if v is not None)
+    assert exact_quantile(spark.createDataFrame([], "v long"), "v") is None
+
+
 def test_soft_rank_equals_the_filter_chain(spark):
     df = spark.range(400).select((F.col("id") % 13).alias("item"), "id", *[(F.pmod(F.hash("id", F.lit(k)), F.lit(3)) == 0).alias(f"t{k}") for k in range(5)])
     chain = df
