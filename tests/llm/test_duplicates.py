@@ -131,3 +131,17 @@ def test_fenwick_chains_prefer_collinear_segments():
     sa, sb, n = np.array([0, 20, 45, 22]), np.array([100, 121, 146, 5]), np.array([15, 20, 20, 18])
     best = chaining.chains(sa, sb, n)
     assert best[0] == [0, 1, 2] and sorted(i for c in best for i in c) == [0, 1, 2, 3]
+
+
+def test_long_passages_do_not_hide_short_ones(spark):
+    rng = random.Random(31)
+    rows, want = [], set()
+    for k in range(12):
+        long_, short = words(rng, 600, 90000).split(), words(rng, 65, 90000).split()
+        holed = short[:30] + words(rng, 5, 90000).split() + short[35:]
+        fill = lambda: words(rng, 25, 90000).split()
+        rows += [(10 * k, " ".join(long_ + fill() + short + fill())), (10 * k + 1, " ".join(fill() + holed + fill() + long_))]
+        want.add((10 * k + 1, 10 * k))
+    got = chaining.repeated_passages(docs_of(spark, rows)).collect()
+    near = {(r.doc_id, r.other_id) for r in got if 60 <= r.end - r.start <= 75 and r.start < 40}
+    assert near == want and len({(r.doc_id, r.other_id) for r in got if r.end - r.start >= 600}) == 12
