@@ -14,7 +14,7 @@ from .shared import table
 TOKEN = r"[^\x00-\x2C\x2E\x2F\x3A-\x40]+"  # runs without ASCII punctuation other than the hyphen
 
 #: (host, path, verdict): a rule fits the host and all its subdomains where the path starts with its own.
-HOST_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
+HOST_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
               ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: (name, literal tokens, expression over host and path, verdict): used where no host rule fits.
 PATTERN_RULES = [("spam farm", ["spam-farm"], r"^([^ /]*\.)?spam-farm\.", "block"),
@@ -87,7 +87,7 @@ OP4_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r(h, s, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+r(h, s, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 m(name, e, n) AS (VALUES ('spam farm', '^([^ /]*\.)?spam-farm\.', 1), ('cheap pills', '^([^ /]*\.)?cheap-pills\.', 2), ('casino', '^([^ /]*\.)?casino\.', 3),
                          ('tracker', '^[^ ]*/click/track(/|$)', 4)),
 k AS (SELECT host, path, max_by(h || s, length(h) + length(s)) AS rule, max_by(v, length(h) + length(s)) AS verdict
