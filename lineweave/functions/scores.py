@@ -16,8 +16,8 @@ from . import text as T
 
 def _codes(strings, width):
     out = np.zeros((len(strings), width), dtype=np.uint32)
-    for i, s in enumerate(strings):
-        out[i, :len(s)] = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
+    n = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    out[np.arange(width) < n[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
     return out
 
 
@@ -49,19 +49,23 @@ def lcs_lengths(a, b):
         sa, sb = [a[i] for i in idx], [b[i] for i in idx]
         wa = int(la[idx].max())
         A, B = _codes(sa, wa), _codes(sb, int(lb[idx].max()))
-        bits = np.left_shift(np.uint64(1), np.arange(wa, dtype=np.uint64))
-        full = np.bitwise_or.reduce(np.where(np.arange(wa) < la[idx][:, None], bits, np.uint64(0)), axis=1)
+        # places of each character in each text, as bits; code 0 fills up short texts and never fits
+        known = np.zeros(int(max(A.max(), B.max())) + 1, dtype=bool)
+        known[0] = True
+        known[A] = known[B] = True
+        sign = np.cumsum(known) - 1
+        A, B, signs = sign[A], sign[B].T.copy(), int(sign[-1]) + 1
+        mine = np.arange(len(idx)) * signs
+        places = np.zeros(len(idx) * signs, dtype=np.uint64)
+        for i in range(wa):
+            places[mine + A[:, i]] |= np.uint64(1) << np.uint64(i)
+        places[mine] = 0
+        full = np.uint64(2 ** 64 - 1) >> (64 - la[idx]).astype(np.uint64)
         row = full.copy()
-        for j in range(B.shape[1]):
-            hit = (A == B[:, j:j + 1]) & (B[:, j:j + 1] != 0)
-            mask = (hit * bits).sum(axis=1, dtype=np.uint64)
-            u = row & mask
+        for j in range(B.shape[0]):
+            u = row & places[mine + B[j]]
             row = ((row + u) | (row - u)) & full
-        left = np.zeros(len(idx), dtype=np.int64)
-        for k in range(8):
-            byte = (np.right_shift(row, np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8)
-            left += np.unpackbits(byte[:, None], axis=1).sum(axis=1, dtype=np.int64)
-        res[idx] = la[idx] - left
+        res[idx] = la[idx] - np.bitwise_count(row)
     return res
 
 
@@ -122,8 +126,9 @@ def sequence_ratio(a, b):
     return F.when((a == "") | (b == ""), 0.0).otherwise(_difflib(a, b))
 
 
-def blended_ratio(a, b, sort_weight=0.70, plain_weight=0.30):
-    return sort_weight * token_sort_ratio(a, b) + plain_weight * indel_ratio(a, b)
+def blended_ratio(a, b, sort_weight=0.70, plain_weight=0.30, words=None):
+    """``words``: both texts by ``sort_words``, where pairs share texts whose words were sorted before they met."""
+    return sort_weight * (_indel(*words) if words else token_sort_ratio(a, b)) + plain_weight * indel_ratio(a, b)
 
 
 def text_score(query, *texts):

@@ -4,7 +4,8 @@ Shape of the job: every distinct order wording is described once by its
 attributes; wordings with the same attributes share a *profile*, and so do
 products.  Which products survive the attribute filters depends on the two
 profiles alone, so that question is answered on profile pairs, which are few
-however long the tables are.  Texts are compared only for the survivors.
+however long the tables are.  Texts are compared only for the survivors, and once
+per class of products that differ in nothing but their code and place.
 """
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from ..functions import scores as D
 from ..functions import text as T
 from ..session import cut_lineage
 from .catalogue import conflict_materials
-from .common import soft_rank
+from .common import ranked, soft_rank
 
 I_PROFILE = ["category", "diameters", "material", "subcategory", "angle", "line", "board", "busbar", "short_long",
              "sliding", "reduction", "wants_py", "wants_electric", "sphere"]
@@ -36,7 +37,7 @@ def item_features(texts, column="description"):
         F.when(cat == "QUADRO", P.board_size_of(c)).alias("board"), P.busbar_of(c).alias("busbar"), P.short_long_of(c).alias("short_long"),
         P.sliding_of(c).alias("sliding"), P.is_reduction_of(c).alias("reduction"), c.contains("PY").alias("wants_py"),
         c.rlike(r"ELETROD|ELETR\b|CORRUGAD|CONDULETE").alias("wants_electric"), c.contains("ESFERA").alias("sphere"),
-        F.size(F.filter(F.split(c, " "), lambda w: F.length(w) > 1)).alias("n_tokens"),
+        F.size(F.filter(F.split(c, " "), lambda w: F.length(w) > 1)).alias("n_tokens"), D.sort_words(c).alias("clean_words"),
         conflict_materials(F.col(column)).alias("r_materials"), P.line_of(r).alias("r_line"), P.short_long_of(r).alias("r_short_long"),
         P.subcategory_of(r).alias("r_subcategory"), P.angle_of(r, F.col("r_category")).alias("r_angle"),
         P.diameters_of(r, F.col("r_category")).alias("r_diameters"), P.board_size_of(r).alias("r_board"), P.busbar_of(r).alias("r_busbar"),
@@ -152,10 +153,12 @@ def candidates(items, cat, scope=()):
 
 def score_pairs(pairs):
     """D5 + D6: textual score plus attribute bonus, four decimals, capped at 1."""
+    def score(text, skip):
+        a, b, wa, wb = (F.when(~F.coalesce(skip, F.lit(False)), F.col(c)).otherwise("") for c in ("clean", text, "clean_words", text + "_words"))
+        return F.when(skip, 0.0).otherwise(D.blended_ratio(a, b, words=(wa, wb)))
     pairs = pairs.withColumn("text_score", F.round(F.greatest(
-        F.when(F.col("c_text") == "", 0.0).otherwise(D.blended_ratio(F.col("clean"), F.col("c_text"))),
-        F.when(F.col("c_norm_text").isin("") | (F.col("c_norm_text") == F.col("c_text")), 0.0).otherwise(D.blended_ratio(F.col("clean"), F.col("c_norm_text"))),
-        F.when(F.col("c_alias_text") == "", 0.0).otherwise(D.blended_ratio(F.col("clean"), F.col("c_alias_text")))), 4))
+        score("c_text", F.col("c_text") == ""), score("c_norm_text", F.col("c_norm_text").isin("") | (F.col("c_norm_text") == F.col("c_text"))),
+        score("c_alias_text", F.col("c_alias_text") == "")), 4))
     p = {k: F.col(k) for k in ("category", "diameters", "angle", "subcategory", "line", "board", "c_category", "c_diameters", "c_angle", "c_series", "c_line", "c_board")}
     p["family_ok"] = families_compatible(F.col("category"), F.col("c_category"), F.col("sphere"), F.col("c_sphere"))
     return pairs.withColumn("score", F.round(F.least(F.lit(1.0), F.col("text_score") + D.attribute_bonus(p)), 4))
@@ -169,6 +172,41 @@ def best_candidate(pairs, item, score="score"):
         .withColumn("gap", F.col(score) - F.col("second")).withColumn("sole", F.col("n_candidates") == 1)
 
 
+def product_classes(cat, keep=2):
+    """Products that differ in nothing but code and place as one row: ``n`` of them, and as ``members`` the first ``keep``.
+
+    All members meet a text with the same score, so the best ``k`` of a text are among the first ``k`` of each class.
+    """
+    own = [c for c in cat.columns if c not in PLACE]
+    place = [c for c in cat.columns if c in PLACE]
+    c = cat.withColumn("c_class", F.md5(F.to_json(F.struct(*own), {"ignoreNullFields": "false"})))
+    first = ranked(c, ["c_class"], ["row_ord"], "_n").filter(F.col("_n") <= keep).groupBy("c_class").agg(
+        F.min_by(F.struct(*own), "_n").alias("_c"), F.array_sort(F.collect_list(F.struct("_n", *place))).alias("members"))
+    return cut_lineage(first.join(c.groupBy("c_class").agg(F.count("*").alias("n")), "c_class").select("c_class", "n", "members", "_c.*"))
+
+
+def scored_classes(items, classes, key, scope=()):
+    """Texts against the classes of their structural products, narrow: (``key``, c_class, n, members, text_score, score)."""
+    pp = profile_pairs(items, classes, scope).filter("structural").select(*scope, "profile", "c_profile")
+    pairs = items.join(pp, [*scope, "profile"]).join(classes, [*scope, "c_profile"])
+    return score_pairs(pairs).select(*key, "c_class", "n", "members", "text_score", "score")
+
+
+def each_member(scored):
+    """One row per kept product of each class."""
+    return scored.select("*", F.explode("members").alias("_m")).select(*[c for c in scored.columns if c not in ("members", "n")], "_m.*").drop("_n")
+
+
+def best_class(scored, items, classes, key):
+    """``best_candidate`` over ``scored_classes``: one row per text, with all columns of the text and its product."""
+    w = W.partitionBy(*key).orderBy(F.desc("score"), F.col("members")[0]["row_ord"])
+    b = scored.withColumn("_rn", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w)).withColumn("n_candidates", F.sum("n").over(W.partitionBy(*key))) \
+        .filter("_rn = 1").withColumn("second", F.when(F.col("n") > 1, F.col("score")).otherwise(F.col("_next")))
+    b = b.select(*key, "c_class", "text_score", "score", "second", "n_candidates", (F.col("score") - F.col("second")).alias("gap"), (F.col("n_candidates") == 1).alias("sole"), F.col("members")[0].alias("_m")) \
+        .select("*", "_m.*").drop("_m", "_n")
+    return b.join(items, key).join(classes.drop("members", "n", *[c for c in key if c in classes.columns]), "c_class")
+
+
 def near_tie(margin=0.02):
     """W2."""
     return F.coalesce(F.col("gap") < margin, F.lit(False))
@@ -215,6 +253,7 @@ def hard_conflict(cat_col="x_category"):
                     | both(F.col("r_busbar"), F.col("x_busbar"), F.col("r_busbar") != F.col("x_busbar"))))
 
 
+PLACE = ("row_ord", "product_code", "index_code")  # what tells products of a class apart
 C_COLS = ["row_ord", "product_code", "description as c_description", "c_profile", "c_text", "c_norm_text", "c_alias_text",
           "c_category", "c_diameters", "c_line", "c_series", "c_angle", "c_short_long", "c_board", "c_busbar", "c_py", "c_electric", "c_sphere", "c_sliding", "c_cpvc",
           "c_pead", "c_ppr", "x_category", "x_series", "x_angle", "x_diameters", "x_board", "x_busbar", "x_materials", "c_diameter_mm", "c_ptype"]
@@ -222,7 +261,8 @@ C_COLS = ["row_ord", "product_code", "description as c_description", "c_profile"
 
 def candidate_side(cat, extra=()):
     """The candidate columns of a featured catalogue, under names the order side does not use."""
-    return cut_lineage(with_profile(cat).selectExpr(*C_COLS, *extra))
+    side = with_profile(cat).selectExpr(*C_COLS, *extra)
+    return cut_lineage(side.withColumns({t + "_words": D.sort_words(F.col(t)) for t in ("c_text", "c_norm_text", "c_alias_text")}))
 
 
 def match_description(items, cat, key=("description",), scope=()):
@@ -231,12 +271,10 @@ def match_description(items, cat, key=("description",), scope=()):
     ``items`` come from ``item_features``; one row per key.
     """
     key = [*scope, *key]
-    pp = profile_pairs(items, cat, scope)
-    good = pp.filter("structural").select(*scope, "profile", "c_profile")
-    pairs = items.join(good, [*scope, "profile"]).join(cat, [*scope, "c_profile"])
-    scored = score_pairs(pairs)
-    best = best_candidate(scored, key)
-    tops = top_candidates(scored, key)
+    classes = product_classes(cat, 3)
+    scored = cut_lineage(scored_classes(items, classes, key, scope))
+    best = best_class(scored, items, classes, key)
+    tops = top_candidates(each_member(scored).join(classes.select("c_class", "c_description"), "c_class"), key)
     floor = D.min_score(F.col("sole"), F.col("anchors"), F.col("n_tokens"), F.col("category"), F.col("diameters"))
     best = best.withColumn("floor", floor).join(tops, key, "left")
     review = near_tie() | F.coalesce(F.col("category") == "QUADRO", F.lit(False))
@@ -266,7 +304,8 @@ def no_structural(items, cat, limit=80, scope=(), key=("description",)):
     """W3 when nothing is structural: candidates summary from the first products in catalogue order."""
     key = [*scope, *key]
     pp = profile_pairs(items, cat, scope).withColumn("_any", F.max("structural").over(W.partitionBy(*scope, "profile"))).filter("not _any")
-    prof = pp.select(*scope, "profile", "c_profile").join(cat.select(*scope, "c_profile", "row_ord"), [*scope, "c_profile"])
+    early = ranked(cat.select(*scope, "c_profile", "row_ord"), [*scope, "c_profile"], ["row_ord"], "_n").filter(F.col("_n") <= limit).drop("_n")
+    prof = pp.select(*scope, "profile", "c_profile").join(early, [*scope, "c_profile"])
     first = prof.withColumn("_rn", F.row_number().over(W.partitionBy(*scope, "profile").orderBy("row_ord"))).filter(F.col("_rn") <= limit) \
         .select(*scope, "profile", "row_ord")
     pairs = items.join(first, [*scope, "profile"]).join(cat, [*scope, "row_ord"])

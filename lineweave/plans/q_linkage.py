@@ -123,19 +123,29 @@ query("f8_families_compatible", """SELECT a, b, (a = '' OR b = '' OR a = b OR (a
     .groupBy("a", "b", L.families_compatible(F.col("a"), F.col("b"), F.col("sphere"), F.col("sphere")).alias("ok")).agg(F.count("*").alias("n")))
 
 
-def scored(s):
-    items, cat = item_side(s), L.candidate_side(featured(s))
-    pp = L.profile_pairs(items, cat).filter("structural").drop("structural")
-    return L.score_pairs(items.join(pp, "profile").join(cat, "c_profile"))
-
-
-query("f9_hard_conflict")(lambda s: L.best_candidate(scored(s), ["description"]).groupBy(L.hard_conflict().alias("conflict")).agg(F.count("*").alias("texts"), F.sum("n_lines").alias("lines")))
-query("d6_attribute_bonus")(lambda s: scored(s).groupBy(F.round(F.col("score") - F.col("text_score"), 2).alias("bonus")).agg(F.count("*").alias("pairs")))
-query("w1_best_candidate")(lambda s: L.best_candidate(scored(s), ["description"]).select("description", "product_code", "score", "n_lines"))
-query("w2_near_tie")(lambda s: L.best_candidate(scored(s), ["description"]).groupBy(L.near_tie().alias("tie")).agg(F.count("*").alias("texts")))
-query("w3_top_candidates")(lambda s: L.top_candidates(scored(s), ["description"]))
-query("w4_sole_candidate")(lambda s: L.best_candidate(scored(s), ["description"]).groupBy("sole").agg(F.count("*").alias("texts")))
-query("w6_shortlist")(lambda s: L.shortlist(scored(s), ["description"]).groupBy("description").agg(F.count("*").alias("n"), F.max("rank").alias("last")))
+def scored(s, keep=2):
+    """Order wordings, product classes, and the classes each wording meets with their scores."""
+    items, classes = item_side(s), L.product_classes(L.candidate_side(featured(s)), keep)
+    return items, classes, C.cut_lineage(L.scored_classes(items, classes, ["description"]))
+
+
+def best(s):
+    items, classes, pairs = scored(s)
+    return L.best_class(pairs, items, classes, ["description"])
+
+
+def members(s, keep):
+    _, classes, pairs = scored(s, keep)
+    return L.each_member(pairs).join(classes.select("c_class", "c_description"), "c_class")
+
+
+query("f9_hard_conflict")(lambda s: best(s).groupBy(L.hard_conflict().alias("conflict")).agg(F.count("*").alias("texts"), F.sum("n_lines").alias("lines")))
+query("d6_attribute_bonus")(lambda s: scored(s)[2].groupBy(F.round(F.col("score") - F.col("text_score"), 2).alias("bonus")).agg(F.sum("n").alias("pairs")))
+query("w1_best_candidate")(lambda s: best(s).select("description", "product_code", "score", "n_lines"))
+query("w2_near_tie")(lambda s: best(s).groupBy(L.near_tie().alias("tie")).agg(F.count("*").alias("texts")))
+query("w3_top_candidates")(lambda s: L.top_candidates(members(s, 3), ["description"]))
+query("w4_sole_candidate")(lambda s: best(s).groupBy("sole").agg(F.count("*").alias("texts")))
+query("w6_shortlist")(lambda s: L.shortlist(members(s, 15), ["description"]).groupBy("description").agg(F.count("*").alias("n"), F.max("rank").alias("last")))
 query("m6_match_description")(lambda s: L.match_description(item_side(s), L.candidate_side(featured(s))))
 query("m7_gate_conflict")(lambda s: L.match_description(item_side(s), L.candidate_side(featured(s))).groupBy("match_type", "conflict", "blocks_fallback").agg(F.count("*").alias("texts")))
 query("j19_suggest_composition")(lambda s: L.suggest_composition(item_side(s), L.candidate_side(featured(s))))

@@ -1,5 +1,6 @@
 """Operators on small fixtures, against stated values or brute force."""
 import datetime as dt
+import decimal
 
 from pyspark.sql import functions as F
 
@@ -219,3 +220,89 @@ def test_late_and_old_messages_come_out_whole_and_once(spark, tmp_path):
         stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
     got = spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()
     assert sorted((r.msg_id, r.body) for r in got) == [("a", "first"), ("b", "x"), ("c", "z"), ("late", "y")]
+
+
+def test_copies_of_a_product_are_scored_once(spark):
+    one = catalogue(spark)
+    copies = one.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("row_ord", F.col("row_ord") + 100 * F.col("i")) \
+        .withColumn("product_code", F.concat("product_code", F.lit("-"), F.col("i").cast("string"))).drop("i")
+    classes = L.product_classes(copies, 3)
+    assert classes.count() == one.count() and {(r.n, len(r.members)) for r in classes.collect()} == {(5, 3)}
+    items = L.item_features(spark.createDataFrame([("JOE 90 SOLD 25MM",), ("TUBO SOLD 25MM 6M",)], "description string"))
+    pp = L.profile_pairs(items, copies).filter("structural").drop("structural")
+    whole = L.score_pairs(items.join(pp, "profile").join(copies, "c_profile"))
+    pairs = L.scored_classes(items, classes, ["description"])
+    assert pairs.agg(F.sum("n")).first()[0] == whole.count() and pairs.count() * 5 == whole.count()
+    columns = ["description", "product_code", "row_ord", "score", "second", "n_candidates", "sole"]
+    want = {tuple(r) for r in L.best_candidate(whole, ["description"]).select(*columns).collect()}
+    assert {tuple(r) for r in L.best_class(pairs, items, classes, ["description"]).select(*columns).collect()} == want
+    want = {tuple(r) for r in L.top_candidates(whole, ["description"]).collect()}
+    assert {tuple(r) for r in L.top_candidates(L.each_member(pairs).join(classes.select("c_class", "c_description"), "c_class"), ["description"]).collect()} == want
+
+
+def test_price_table_is_judged_once_a_class(spark):
+    from lineweave.operators import cascade as K
+    columns = "client string, validity string, product_code string, client_code string, description string, unit string, price decimal(18,6), row_ord long"
+    names = ["JOELHO 90 PVC SOLDAVEL 25MM", "JOELHO 45 PVC SOLDAVEL 25MM", "TE PVC SOLDAVEL 50MM", "BUCHA DE REDUCAO SOLDAVEL 50X25MM"]
+    rows = [("x", "1 SEM - 2026", str(100 * i + j), "", d, "UN", decimal.Decimal(j + 1), 100 * i + j) for i in range(9) for j, d in enumerate(names)]
+    table = spark.createDataFrame(rows, columns)
+    raw = table.select("row_ord", "product_code", "description", F.lit("PC").alias("sale_unit"), F.lit(None).cast("double").alias("diameter_mm"), F.lit(None).cast("double").alias("bar_length_m"),
+                       F.lit(None).cast("double").alias("diameter_final_mm"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("line"))
+    side = K.table_side(table, C.build_catalogue(raw))
+    assert {(r.n, len(r.members)) for r in side.collect()} == {(9, X.MEMBERS)}
+    items = L.item_features(spark.createDataFrame([("k", "x", "JOELHO 90 SOLD 25MM"), ("m", "x", "TE SOLD 50MM")], "item_key string, client string, description string"))
+    pairs = X.restricted_pairs(items, side)
+    assert {(r.item_key, r.c_description): r.n for r in pairs.collect()} == {("k", names[0]): 9, ("k", names[1]): 9, ("m", names[2]): 9}
+    judged = X.judged_pairs(pairs)
+    assert judged.count() == 3 * X.MEMBERS
+    got = {r.item_key: r.product_code for r in X.first_without_conflict(judged).collect()}
+    assert got == {"k": "0", "m": "2"}
+
+
+def test_closest_is_the_best_near_pair(spark):
+    import random
+    from lineweave.operators.similarity import closest
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("ABCD ") for _ in range(rnd.randint(4, 40))).strip() or "A" for _ in range(80)]
+    other = sorted({b[:i % 5] + "X" + b[i % 5:] for i, b in enumerate(base)} | {b[:-1] + "Z" for b in base} | {b[1:] + "Y" for b in base})
+    a, b = spark.createDataFrame([(x,) for x in base], "a string"), spark.createDataFrame([(x, -i) for i, x in enumerate(other)], "b string, place long")
+    want = {}
+    for r in near_pairs(a, b, 0.6).join(b, "b").collect():
+        want[r.a] = max(want.get(r.a, (0, 0, "")), (r.ratio, -r.place, r.b))
+    assert {r.a: (r.ratio, -r.place, r.b) for r in closest(a, b, 0.6).collect()} == want
+
+
+def test_history_of_a_wording_is_cut_before_lines_meet_it(spark):
+    rows = [(i, None if i % 11 == 0 else str(i % 3), f"ITEM {i % 4} NBR 5648", str(i % 7), None if i % 13 == 0 else dt.datetime(2026, 1, 1 + i % 9)) for i in range(300)]
+    history = spark.createDataFrame(rows, "id long, client_id string, description string, product_code string, validated_at timestamp")
+    asked = [(i, None if i % 5 == 0 else str(i % 6), f"item {i % 4} nbr 564") for i in range(40)]
+    got = {}
+    for r in V.suggest_history(spark.createDataFrame(asked, "item_id long, client_id string, description string"), history).collect():
+        got.setdefault(r.item_id, []).append((r["rank"], r.origin, r.history_score, r.h_id))
+    from difflib import SequenceMatcher
+    for item, client, text in asked:
+        found = [(i, c, round(SequenceMatcher(None, text.upper(), d).ratio(), 4), t) for i, c, d, _, t in rows if SequenceMatcher(None, text.upper(), d).ratio() >= 0.82]
+        own = [x for x in found if client is not None and x[1] == client]
+        best = sorted(own or found, key=lambda x: (-x[2], x[3] is None, -(x[3] or dt.datetime(1, 1, 1)).toordinal(), x[0]))[:5]
+        assert sorted(got[item]) == [(n + 1, "CLIENTE" if own else "GLOBAL", s, i) for n, (i, _, s, _) in enumerate(best)]
+
+
+def test_subsequence_lengths_by_table(spark):
+    import random
+    from lineweave.functions.scores import lcs_lengths
+    rnd = random.Random(9)
+    a, b = ([None, "", "x" * 70, "é\U0001F600a"] + ["".join(rnd.choice("ABCé 1") for _ in range(rnd.randrange(70))) for _ in range(200)] for _ in range(2))
+    b[3] = "a\U0001F600é"
+
+    def slow(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = _next(row, c, y)
+        return row[-1]
+
+    def _next(row, c, y):
+        out = [0]
+        for j, d in enumerate(y):
+            out.append(row[j] + 1 if c == d else max(out[j], row[j + 1]))
+        return out
+    assert list(lcs_lengths(a, b)) == [slow(x or "", y or "") for x, y in zip(a, b)]
