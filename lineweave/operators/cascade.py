@@ -12,7 +12,7 @@ from . import catalogue as C
 from . import clienttable as X
 from . import linkage as L
 from .quantity import adjust_quantity
-from .similarity import near_pairs
+from .similarity import closest
 
 RESULT = ["matched", "product_code", "matched_description", "score", "match_type", "reason", "manual_review"]
 
@@ -47,10 +47,10 @@ def match_corrections(texts, corrections, floor=0.85):
     """The most similar learned wording at or above the floor; word order does not matter."""
     i = texts.select("description", D.sort_words(F.upper(F.trim("description"))).alias("a"))
     c = corrections.withColumn("b", D.sort_words(F.upper(F.trim("description")))).filter("b <> ''")
-    p = near_pairs(i.select("a"), c.select("b"), floor).withColumnRenamed("ratio", "score").filter(F.col("score") >= floor)
-    best = p.join(c.select("b", "product_code", F.col("product_description").alias("_d"), "row_ord"), "b").groupBy("a").agg(
-        F.min_by(F.struct("product_code", "_d", "score"), F.struct((-F.col("score")).alias("s"), "row_ord")).alias("_c"))
-    return i.join(best, "a").select("description", F.col("_c.product_code").alias("product_code"), F.col("_c._d").alias("matched_description"), F.round("_c.score", 2).alias("score"))
+    c = cut_lineage(c.groupBy("b").agg(F.min_by(F.struct("product_code", F.col("product_description").alias("_d"), "row_ord"), F.struct("row_ord")).alias("_c")))
+    p = closest(i.select("a"), c.select("b", F.coalesce("_c.row_ord", F.lit(-1 << 63)).alias("place")), floor).withColumnRenamed("ratio", "score").filter(F.col("score") >= floor)
+    best = p.join(c, "b").select("a", "score", "_c")
+    return i.join(best, "a").select("description", F.col("_c.product_code").alias("product_code"), F.col("_c._d").alias("matched_description"), F.round("score", 2).alias("score"))
 
 
 def match_fallback(items, cat, floor=0.30):
@@ -106,11 +106,11 @@ def exact_stages(items, cat, code_map=None, text_map=None, key="line_key"):
 
 
 def table_side(table, catalogue):
-    """The products of each client's newest price table, as candidates."""
+    """The products of each client's newest price table, as candidates: one row per class of products, price included."""
     index = C.price_index(X.latest_table(table), catalogue)
     d = F.col("description")
     feat = C.catalogue_features(index.withColumns({"c_material": P.material(d), "c_reduction": P.plain_reduction(d), "c_numbers": P.numbers(d)}))
-    return L.candidate_side(feat, ["client", "table_price", "c_material", "c_reduction", "c_numbers", "index_code"])
+    return L.product_classes(L.candidate_side(feat, ["client", "table_price", "c_material", "c_reduction", "c_numbers", "index_code"]), X.MEMBERS)
 
 
 def match_client_table(lines, table, catalogue):

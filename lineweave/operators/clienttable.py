@@ -92,28 +92,41 @@ def restricted_pairs(items, table):
     i = items.withColumn("ptype", P.ptype(F.col("description"))).withColumn("asks_reduction", P.asks_reduction(F.col("description"))) \
         .withColumn("asked_measures", P.measures(F.col("description"))).withColumn("r_material", P.material(F.col("description"))) \
         .join(types, ["client", "ptype"], "left")
-    typed = i.filter("_has").join(table.withColumnRenamed("c_ptype", "ptype"), ["client", "ptype"])
-    free = i.filter("_has is null").join(table.drop("c_ptype"), "client")
-    p = typed.unionByName(free, allowMissingColumns=True).drop("_has")
+    # texts with equal answers to these tests share a profile, products too; texts meet products only where profiles pass
+    key = lambda cols: F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
+    asked, told = ["client", "ptype", "_has", "r_material", "asks_reduction", "asked_measures"], ["client", "c_ptype", "c_material", "c_reduction", "c_numbers"]
+    i, t = cut_lineage(i.withColumn("_ip", key(asked))), cut_lineage(table.withColumn("_tp", key(told)))
+    ip, tp = i.select("_ip", *asked).dropDuplicates(["_ip"]), t.select("_tp", *told).dropDuplicates(["_tp"])
+    typed = ip.filter("_has").join(tp.withColumnRenamed("c_ptype", "ptype"), ["client", "ptype"])
+    free = ip.filter("_has is null").join(tp.drop("c_ptype"), "client")
+    p = typed.unionByName(free, allowMissingColumns=True)
     p = p.filter(F.col("r_material").isNull() | F.col("c_material").eqNullSafe(F.col("r_material")))
-    w = W.partitionBy("item_key")
     straight = ~F.col("c_reduction")
-    p = p.withColumn("_any", F.max(straight).over(w)).filter(F.col("asks_reduction") | straight | ~F.col("_any")).drop("_any")
-    return p.filter((F.size("asked_measures") == 0) | L.subset(F.col("asked_measures"), F.col("c_numbers")))
+    p = p.withColumn("_any", F.max(straight).over(W.partitionBy("_ip"))).filter(F.col("asks_reduction") | straight | ~F.col("_any"))
+    p = cut_lineage(p.filter((F.size("asked_measures") == 0) | L.subset(F.col("asked_measures"), F.col("c_numbers"))).select("_ip", "_tp"))
+    return i.drop("_has").join(p, "_ip").join(t.drop("c_ptype", "client"), "_tp").drop("_ip", "_tp")
+
+
+#: Products kept of a class: a best and a second are still there when three attempts and the current product are taken out.
+MEMBERS = 6
 
 
 def judged_pairs(pairs):
     """Everything about a pair that does not depend on the pool: filter rank, structure, score, conflict.
 
-    The retries and price stages then work on these few narrow columns only.
+    The retries and price stages then work on these few narrow columns only.  Pairs with product classes are judged once a
+    class, then taken apart into its ``members``.
     """
     hard = F.col("category").isNull() | (F.col("c_category") == F.col("category")) | (F.col("category").isin(*R.ELBOWS) & F.col("c_category").isin(*R.ELBOWS)) \
         | (F.col("category").isin("REDUCAO", "BUCHA") & F.col("c_category").isin("REDUCAO", "BUCHA"))
     p = L.score_pairs(pairs.withColumn("pool_rank", F.when(hard, soft_rank(L.filter_tests())).otherwise(-1)).withColumn("structural", L.is_structural()))
     same_type = F.coalesce(F.col("ptype") == P.ptype(F.col("c_description")), F.lit(True))
+    p = p.withColumn("conflict", L.hard_conflict() | ~same_type)
+    if "members" in p.columns:
+        p = p.withColumn("_m", F.explode("members")).select("*", "_m.*")
     keep = ["item_key", "row_ord", "product_code", "c_description", "table_price", "pool_rank", "structural", "score", "anchors", "n_tokens", "category", "diameters"]
     keep += [c for c in ("price", "factor") if c in pairs.columns]
-    return cut_lineage(p.select(*keep, (L.hard_conflict() | ~same_type).alias("conflict")))
+    return cut_lineage(p.select(*keep, "conflict"))
 
 
 def best_of_pairs(pairs):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as D
 from ..functions import text as T
-from .common import contained, exact_quantile, first_per_key, last_per_key
+from ..session import cut_lineage
+from .common import contained, exact_quantile, first_per_key, last_per_key, ranked
 from .similarity import near_pairs
 
 
@@ -206,12 +207,21 @@ def suggest_history(items, history, floor=0.82, k=5):
     h = history.withColumn("h_text", F.upper(F.trim("description"))).filter("h_text <> ''")
     q = items.withColumn("q_text", F.upper(F.trim("description")))
     pairs = near_pairs(q.select(F.col("q_text").alias("a")), h.select(F.col("h_text").alias("b")), floor)
-    pairs = pairs.withColumn("history_score", D.sequence_ratio(F.col("a"), F.col("b"))).filter(F.col("history_score") >= floor) \
-        .withColumn("history_score", F.round("history_score", 4))
-    hh = h.select("h_text", F.col("client_id").alias("h_client"), F.col("product_code").alias("h_code"), F.col("id").alias("h_id"), "validated_at")
-    j = q.select("item_id", "client_id", "q_text").join(pairs, F.col("q_text") == F.col("a")).join(hh, F.col("b") == F.col("h_text"))
-    own = F.col("client_id") == F.col("h_client")
-    j = j.withColumn("_own", F.coalesce(own, F.lit(False)))
+    pairs = cut_lineage(pairs.withColumn("history_score", D.sequence_ratio(F.col("a"), F.col("b"))).filter(F.col("history_score") >= floor)
+                        .withColumn("history_score", F.round("history_score", 4)).select("a", "b", "history_score"))
+    # a wording's rows come in one order, so its first k per client, or of all, hold every row that can be among the first k
+    newest = [F.desc("validated_at"), "h_id"]
+    h = h.select(F.col("h_text").alias("b"), F.col("client_id").alias("h_client"), F.col("product_code").alias("h_code"), F.col("id").alias("h_id"), "validated_at")
+    mine, all_ = (ranked(h, ["b", *by], newest, "_n").filter(F.col("_n") <= k).drop("_n") for by in (["h_client"], []))
+    asked = q.select(F.col("q_text").alias("a"), F.col("client_id").alias("a_client")).distinct()
+
+    def first(found, by):
+        return ranked(found, by, [F.desc("history_score"), *newest], "_n").filter(F.col("_n") <= k).drop("_n", "b")
+    own = cut_lineage(first(asked.join(pairs, "a").join(mine.withColumn("a_client", F.col("h_client")), ["b", "a_client"]), ["a", "a_client"]))
+    rest = asked.join(own.select("a", "a_client").distinct(), ["a", "a_client"], "left_anti")
+    other = rest.join(first(pairs.join(all_, "b"), ["a"]), "a")
+    found = own.withColumn("_own", F.lit(True)).unionByName(other.withColumn("_own", F.lit(False)))
+    j = q.select("item_id", "client_id", "q_text").join(found, (F.col("q_text") == F.col("a")) & F.col("client_id").eqNullSafe(F.col("a_client")))
     j = j.withColumn("_any", F.max("_own").over(W.partitionBy("item_id"))).filter(F.col("_own") | ~F.col("_any")) \
         .withColumn("origin", F.when(F.col("_own"), "CLIENTE").otherwise("GLOBAL"))
     w = W.partitionBy("item_id").orderBy("origin", F.desc("history_score"), F.desc("validated_at"), "h_id")

@@ -46,6 +46,52 @@ def _meet(a, b, floor):
     return pd.DataFrame({"a": np.array(left, dtype=object)[keep], "b": np.array(right, dtype=object)[keep], "ratio": ratio[keep]})
 
 
+def _closest(a, b, floor):
+    """Best text of ``b`` for each text of ``a`` in one block, first by place on equal ratios.
+
+    Candidates come by falling bound of shared characters and end below the best ratio found, so few sequences are computed.
+    """
+    empty = pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "place": pd.Series(dtype="int64"), "ratio": pd.Series(dtype=float)})
+    if not len(a) or not len(b):
+        return empty
+    b = b.sort_values("place", kind="stable")
+    ta, tb, place = a["a"].tolist(), b["b"].tolist(), b["place"].to_numpy()
+    ha, hb = _histogram(ta), _histogram(tb)
+    la, lb = ha.sum(axis=1, dtype=np.int64), hb.sum(axis=1, dtype=np.int64)
+    best, at = np.full(len(ta), -1.0), np.full(len(ta), -1)
+    for start in range(0, len(ta), 512):  # bounds of a few hundred texts are held at a time
+        queue = {}
+        for i in range(start, min(start + 512, len(ta))):
+            bound = 2.0 * np.minimum(la[i], lb) / (la[i] + lb)
+            close = np.flatnonzero(bound >= floor - 1e-9)
+            bound = 2.0 * np.minimum(hb[close], ha[i]).sum(axis=1, dtype=np.int64) / (la[i] + lb[close])
+            hit = bound >= floor - 1e-9
+            order = np.argsort(-bound[hit], kind="stable")
+            if len(order):
+                queue[i] = close[hit][order], bound[hit][order]
+        done, step = 0, 4
+        while queue:
+            part = {i: j[done:done + step] for i, (j, _) in queue.items()}
+            left, right = np.repeat(list(part), [len(j) for j in part.values()]), np.concatenate(list(part.values()))
+            ratio = 2.0 * lcs_lengths([ta[i] for i in left], [tb[j] for j in right]) / (la[left] + lb[right])
+            for i, j, r in zip(left, right, ratio):
+                if r >= floor - 1e-9 and (r > best[i] or (r == best[i] and j < at[i])):
+                    best[i], at[i] = r, j
+            done, step = done + step, step * 2
+            queue = {i: (j, u) for i, (j, u) in queue.items() if done < len(j) and u[done] >= best[i] - 1e-9}
+    hit = np.flatnonzero(at >= 0)
+    return pd.DataFrame({"a": [ta[i] for i in hit], "b": [tb[j] for j in at[hit]], "place": place[at[hit]], "ratio": best[hit]})
+
+
+def closest(left, right, floor):
+    """For each text of ``left`` (a) the best of ``right`` (b, place, one row each) by insert/delete ratio, at ``floor`` or above.
+
+    Equal ratios go by place.  Blocks are those of ``near_pairs``; one row per text and block leaves a task.
+    """
+    kind = "a string, b string, place bigint, ratio double"
+    return _blocks(left, right, floor, lambda x, y: _closest(x, y, floor), kind).groupBy("a").agg(F.min_by(F.struct("b", "place", "ratio"), F.struct(-F.col("ratio"), "place")).alias("_b")).select("a", "_b.*")
+
+
 def near_pairs(left, right, floor):
     """Distinct pairs (a, b) with an insert/delete ratio of at least ``floor``.
 
@@ -55,14 +101,17 @@ def near_pairs(left, right, floor):
     ratio never exceeds the insert/delete ratio, so the result also holds every
     pair that reaches the floor by that measure.
     """
+    return _blocks(left, right.select("b").distinct(), floor, lambda x, y: _meet(x, y, floor), "a string, b string, ratio double")
+
+
+def _blocks(left, right, floor, meet, kind):
     step = float(np.log((2.0 - floor) / floor))
     a = left.select("a").filter("length(a) > 0").distinct().withColumn("c", F.floor(F.log(F.length("a").cast("double")) / step).cast("int"))
-    b = right.select("b").filter("length(b) > 0").distinct().withColumn("c", F.floor(F.log(F.length("b").cast("double")) / step).cast("int"))
+    b = right.filter("length(b) > 0").withColumn("c", F.floor(F.log(F.length("b").cast("double")) / step).cast("int"))
     n = b.agg(F.count("*").alias("n")).first()["n"] // SLICE + 1
     m = a.agg(F.count("*").alias("n")).first()["n"] // SLICE + 1
     m = max(m, 8)
     a = a.withColumn("s", F.pmod(F.xxhash64("a"), F.lit(m))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
     b = b.withColumn("t", F.pmod(F.xxhash64("b"), F.lit(n))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>"))) \
         .withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
-    return a.groupBy("c", "s", "t").cogroup(b.groupBy("c", "s", "t")).applyInPandas(
-        lambda x, y: _meet(x, y, floor), "a string, b string, ratio double")
+    return a.groupBy("c", "s", "t").cogroup(b.groupBy("c", "s", "t")).applyInPandas(meet, kind)
