@@ -53,6 +53,24 @@ def test_retrieval_recall_against_all_pairs(spark):
     assert n == 40 and len(near & every) >= 0.9 * len(every) and len(every) == 40
 
 
+def test_passages_in_long_documents_are_summed_where_they_stand(spark):
+    rng = random.Random(44)
+    items = [(i, " ".join(f"item{i}x{j}" for j in range(20 + 4 * i))) for i in range(8)]
+    rows, truth = [], set()
+    for d in range(12):  # one passage among thousands of words that no item holds
+        before = rng.randrange(0, 900)
+        rows += [(d, words(rng, before, 3000) + " " + items[d % 8][1] + " " + words(rng, rng.randrange(0, 900), 3000)), (100 + d, words(rng, 500, 3000))]
+        truth.add((d, items[d % 8][0], before))
+    docs = docs_of(spark, rows)
+    n, idf = decontam.document_frequencies(docs.select("text"))
+    seen = [len({w for w in t.split()}) for _, t in rows]
+    assert n == 24 and max(seen) > 300 and (idf >= 0).all()
+    axes = decontam.latent_axes(decontam.sample_passages(docs.select("text"), idf, 64, 1.0)) * idf[:, None]
+    got = decontam.retrieve(docs, decontam.Items([i for i, _ in items], [t for _, t in items], [None] * 8, axes), axes).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {t[:2] for t in truth}
+    assert all(abs(r.start_word - at) <= 60 for r in got for d, _, at in truth if d == r.doc_id)
+
+
 def test_paraphrases_of_every_length_are_found(spark):
     rng = random.Random(22)
     items = [(n, words(rng, n, 3000)) for n in range(15, 61)] + [(99, "so so so so so so so so so so w1x w2x w3x w4x w5x w6x")]
