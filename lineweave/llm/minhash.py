@@ -10,7 +10,8 @@ Copies are folded into one representative first.  A bucket of up to ``ALL_PAIRS`
 one proposes each text with the bucket's most central text and with its first, and the same again for the sketch of
 ``DEEP`` shingles, so pairs stay proportional to rows.  Pairs whose
 sketches agree in fewer than ``AGREE`` tables go before texts are fetched, and pairs whose ends already share a class
-aren't aligned again.
+aren't aligned again.  At last every pair of a larger bucket whose ends are still in different classes is proposed, so
+no link is lost to the stars; a bucket of one class has no such pair.
 """
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +23,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 TABLES, SHALLOW, DEEP = 24, 3, 10
 AGREE = 3  # tables in which a link's sketches agree at least; at a similarity of 0.8 fewer have a chance of 5e-6
 ALL_PAIRS = 12
+SLICE = 2048  # texts outside a bucket's main class that meet the bucket in one task
 BATCH = 1 << 21
 _ODD = (mix64(np.arange(1, TABLES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 
@@ -83,11 +85,15 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("shallow").alias("shallow"), F.first("deep").alias("deep")).filter("rep IS NOT NULL")
 
 
-def proposed(reps: DataFrame) -> DataFrame:
-    """(a, b, votes): proposed pairs, a < b, and in how many tables their sketches agree."""
+def buckets(reps: DataFrame) -> DataFrame:
+    """(shallow, rep, deep, size, first): texts of each bucket of more than one."""
     b = reps.select("rep", F.explode(F.arrays_zip("shallow", "deep")).alias("k")).select("rep", "k.shallow", "k.deep")
     sizes = b.groupBy("shallow").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
-    b = shared_table(b.join(sizes, "shallow"), "buckets")
+    return shared_table(b.join(sizes, "shallow"), "buckets")
+
+
+def proposed(reps: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, votes): pairs, a < b, proposed by small buckets and by the stars of large ones, and in how many tables their sketches agree."""
     reach = b.groupBy("rep").agg(F.sum("size").alias("reach"))
     small = b.filter(F.col("size") <= ALL_PAIRS).select("shallow", "rep")
     pairs = small.join(small.withColumnRenamed("rep", "other"), "shallow").filter("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
@@ -106,6 +112,22 @@ def proposed(reps: DataFrame) -> DataFrame:
     return pairs.select("a", "b", votes.alias("votes")).filter(F.col("votes") >= AGREE)
 
 
+def unproposed(reps: DataFrame, b: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of large buckets whose ends are in different classes and whose sketches agree often enough.
+
+    The texts outside a bucket's main class meet the whole bucket, in slices of ``SLICE`` of them.  Sketches travel with the
+    texts and a pair leaves only the first table it agrees in, so neither pairs nor votes are shuffled.
+    """
+    large = b.filter(F.col("size") > ALL_PAIRS).select("shallow", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("label", "rep")).drop("label")
+    main = large.groupBy("shallow", "class").count().groupBy("shallow").agg(F.max_by("class", F.struct("count", "class")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    main = main.filter("most < n").select("shallow", "main", F.ceil((F.col("n") - F.col("most")) / SLICE).cast("int").alias("slices"))
+    some = shared_table(large.join(main, "shallow").join(reps.select("rep", F.col("shallow").alias("keys")), "rep"), "crowded")
+    left = some.filter("class <> main").select("shallow", F.pmod(F.hash("rep"), "slices").alias("slice"), F.col("rep").alias("x"), F.col("class").alias("cx"), F.col("keys").alias("kx"))
+    right = some.select("shallow", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("rep").alias("y"), F.col("class").alias("cy"), (F.col("class") == F.col("main")).alias("in_main"), "keys")
+    met = left.join(right, ["shallow", "slice"]).filter("cx <> cy AND (in_main OR x < y)").withColumn("same", F.array_intersect("kx", "keys"))
+    return met.filter((F.size("same") >= AGREE) & (F.get("same", F.lit(0)) == F.col("shallow"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similarity(x, y, least=SIMILARITY):
     """L / (m + n - L) of two sequences of distinct labelled shingles, by banded bit-vector alignment; 0 if it can't reach ``least``."""
     m, n = len(x), len(y)
@@ -177,20 +199,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     One row per given row.  Texts without words and null texts are classes of their own; a null id is in its text's class.
     """
     reps = shared_table(sketches(docs), "sketches")
-    pairs = shared_table(proposed(reps), "pairs")
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text", F.unhex(F.md5("text")).alias("content")).join(ids.hint("merge"), "rep")  # one plan at every size
-    texts = shared_table(texts.join(reps.select("rep", "content"), ["rep", "content"], "left_semi").dropDuplicates(["rep"]).select("rep", "text"), "texts")
+    crowds = buckets(reps)
+    pairs = shared_table(proposed(reps, crowds), "pairs")
+
+    def texts_of(pairs):
+        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        texts = docs.select(F.col("doc_id").alias("rep"), "text", F.unhex(F.md5("text")).alias("content")).join(ids.hint("merge"), "rep")  # one plan at every size
+        return shared_table(texts.join(reps.select("rep", "content"), ["rep", "content"], "left_semi").dropDuplicates(["rep"]).select("rep", "text"), "texts")
+    texts = texts_of(pairs)
     # first the pair of each text that most tables propose, then what joins different classes
     best = pairs.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
     links = shared_table(verified(best, texts), "links")
     labels = components(links)
+    proposed_ids = pairs.select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left")
     rest = pairs.filter("coalesce(la, a) <> coalesce(lb, b)").join(best, ["a", "b"], "left_anti")
     more = shared_table(verified(rest, texts), "links")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        links = links.unionByName(more)
+        labels = components(links)
+    rest = shared_table(unproposed(reps, crowds, labels).join(proposed_ids, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        more = shared_table(verified(rest, texts_of(rest)), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     classes = reps.join(labels, reps.rep == labels.node, "left").select("content", F.coalesce("label", "rep").alias("class"))
     own = docs.select("doc_id", F.unhex(F.md5("text")).alias("content"))
     return own.join(classes, "content", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))

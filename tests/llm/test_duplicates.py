@@ -145,3 +145,28 @@ def test_long_passages_do_not_hide_short_ones(spark):
     got = chaining.repeated_passages(docs_of(spark, rows)).collect()
     near = {(r.doc_id, r.other_id) for r in got if 60 <= r.end - r.start <= 75 and r.start < 40}
     assert near == want and len({(r.doc_id, r.other_id) for r in got if r.end - r.start >= 600}) == 12
+
+
+def test_links_of_crowded_buckets_need_no_star(spark, monkeypatch):
+    few = minhash.proposed
+    monkeypatch.setattr(minhash, "proposed", lambda reps, b: few(reps, b.filter(f"size <= {minhash.ALL_PAIRS}")))
+    rng = random.Random(41)
+    rows = []
+    for k in range(3):
+        text = words(rng, 150, 10 ** 6).split()
+        for i in range(20):
+            t = list(text)
+            t[rng.randrange(150)] = f"other{i}"
+            rows.append((100 * k + i, " ".join(t)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) == 3
+
+
+def test_crowded_buckets_propose_every_pair_of_classes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SLICE", 3)
+    keys = [[t * 100 + (0 if t < 4 else 1 + i % 7) for t in range(minhash.TABLES)] for i in range(40)]
+    reps = spark.createDataFrame([(i, k, k) for i, k in enumerate(keys)], "rep long, shallow array<long>, deep array<long>")
+    label = {i: 0 if i < 20 else i - i % 2 for i in range(40)}
+    labels = spark.createDataFrame([(i, c) for i, c in label.items() if i % 3 or c != i], "node long, label long")
+    got = [(r.a, r.b) for r in minhash.unproposed(reps, minhash.buckets(reps), labels).collect()]
+    assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40) if label[a] != label[b]]
