@@ -93,9 +93,8 @@ def links(docs: DataFrame, gone: DataFrame = None) -> DataFrame:
     sampled = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0)
     least = max(64, sampled.count() // HOT)
     hot = np.sort(np.array([r.h for r in seeds(sampled).groupBy("h").count().filter(F.col("count") > least).collect()], np.int64))  # HOT times a text's seeds at most
-    every = seeds(docs)
-    if gone is not None:
-        every = every.join(gone, "doc_id", "left_anti").select("h", "doc_id", "at")
+    # texts meet ``gone``, not their seeds, which are more; the merge keeps one plan at every size
+    every = seeds(docs if gone is None else docs.join(gone.hint("merge"), "doc_id", "left_anti"))
     if not len(hot):
         return every.withColumn("salt", F.lit(0)).repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_linked, LINK)
     known = docs.sparkSession.sparkContext.broadcast(hot)
@@ -288,7 +287,8 @@ def repeated_passages(docs: DataFrame, least=LEAST, identity=IDENTITY) -> DataFr
             yield _record([b.column("b").take(at), *[pa.array([r[k] for r in rows], pa.int32()) for k in (3, 4)], b.column("a").take(at), *[pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)],
                            pa.array([r[5] for r in rows], pa.float64())], ["doc_id", "start", "end", "other_id", "other_start", "other_end", "identity"])
     pairs = found.groupBy("a", "b").agg(F.collect_list(F.array("start_a", "end_a", "start_b", "end_b")).alias("spans"))
-    both = pairs.join(kept.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    side = lambda name, text: kept.select(F.col("doc_id").alias(name), F.col("text").alias(text)).hint("merge")  # noqa: E731  one plan at every size
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     passages = both.select("a", "b", "spans", "x", "y").mapInArrow(align, "doc_id long, start int, end int, other_id long, other_start int, other_end int, identity double")
     return passages.unionByName(copies).dropDuplicates()
 
