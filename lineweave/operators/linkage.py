@@ -409,15 +409,19 @@ def knn(queries, vectors, k=10, max_products=50_000, max_queries=2048):
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "row_ord"))).filter(F.col("rank") <= k)
 
 
+CELLS = 1 << 22
+
+
 def nearest(queries, products, k):
-    """Best ``k`` of one product block for one slice of queries."""
+    """Best ``k`` of one product block for one slice of queries; so many queries meet the block at a time that ``CELLS`` products of vectors are held."""
     if not len(queries) or not len(products):
         return pd.DataFrame({"query_id": [], "row_ord": [], "product_code": [], "cosine": []})
     products = products.sort_values("row_ord")
     P_ = np.stack(products["embedding"].to_numpy()).astype(np.float64)
     out = []
-    for start in range(0, len(queries), 1024):
-        part = queries.iloc[start:start + 1024]
+    step = max(1, CELLS // len(products))
+    for start in range(0, len(queries), step):
+        part = queries.iloc[start:start + step]
         sims = np.stack(part["embedding"].to_numpy()).astype(np.float64) @ P_.T
         most = min(k, sims.shape[1])
         floor = -np.partition(-sims, most - 1, axis=1)[:, most - 1:most]

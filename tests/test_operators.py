@@ -306,3 +306,24 @@ def test_subsequence_lengths_by_table(spark):
             out.append(row[j] + 1 if c == d else max(out[j], row[j + 1]))
         return out
     assert list(lcs_lengths(a, b)) == [slow(x or "", y or "") for x, y in zip(a, b)]
+
+
+def test_nearest_vectors_hold_few_products_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from lineweave.operators import linkage as L
+    rng = np.random.default_rng(3)
+    side = lambda n: list(rng.integers(-4, 5, (n, 8)).astype(np.float32))
+    products = pd.DataFrame({"row_ord": np.arange(30_000), "product_code": [str(i) for i in range(30_000)], "embedding": side(30_000)})
+    queries = pd.DataFrame({"query_id": np.arange(600), "embedding": side(600)})
+    tracemalloc.start()
+    got = L.nearest(queries, products, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    sims = np.stack(queries["embedding"]).astype(float) @ np.stack(products["embedding"]).astype(float).T
+    want = np.argsort(-sims, axis=1, kind="stable")[:, :3]  # ties by catalogue order
+    assert got.sort_values(["query_id", "cosine", "row_ord"], ascending=[True, False, True])["row_ord"].tolist() == want.ravel().tolist()
