@@ -11,7 +11,8 @@ one proposes each text with the bucket's most central text and with its first, a
 ``DEEP`` shingles, so pairs stay proportional to rows.  Pairs whose
 sketches agree in fewer than ``AGREE`` tables go before texts are fetched, and pairs whose ends already share a class
 aren't aligned again.  At last every pair of a larger bucket whose ends are still in different classes is proposed, so
-no link is lost to the stars; a bucket of one class has no such pair.
+no link is lost to the stars; a bucket of one class has no such pair.  Of those, a pair goes at once if the parities of its
+texts' shingles differ in more bits than two texts of the bound can have shingles apart: each such shingle flips one bit.
 """
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ TABLES, SHALLOW, DEEP = 24, 3, 10
 AGREE = 3  # tables in which a link's sketches agree at least; at a similarity of 0.8 fewer have a chance of 5e-6
 ALL_PAIRS = 12
 SLICE = 2048  # texts outside a bucket's main class that meet the bucket in one task
+PARITY = 1024  # bits of the parity of a text's shingles
 BATCH = 1 << 21
 _ODD = (mix64(np.arange(1, TABLES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 
@@ -64,8 +66,14 @@ def sketch(x):
     return keys
 
 
+def parity(x):
+    """The labelled shingles counted modulo 2 in ``PARITY`` bits: two texts differ in no more bits than they have shingles apart."""
+    odd = np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(rep, content, shallow, deep) of each different text with words, in one pass; copies are folded map-side."""
+    """(rep, content, shallow, deep, parity, n) of each different text with words, in one pass; copies are folded map-side."""
     import pyarrow as pa
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -75,14 +83,14 @@ def sketches(docs: DataFrame) -> DataFrame:
             for lo, hi in slices(np.diff(off), BATCH):
                 rows, _, _, h = words_of(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 bounds, x = labelled_shingles(rows, h, hi - lo)
-                got = [sketch(x[s:e]) if e > s else None for s, e in zip(bounds[:-1], bounds[1:])]
+                got = [(*sketch(x[s:e]), parity(x[s:e])) if e > s else None for s, e in zip(bounds[:-1], bounds[1:])]
                 keep = [i for i, g in enumerate(got) if g is not None]
                 take = pa.array([lo + i for i in keep], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("content").take(take),
-                    *[pa.array([got[i][j] for i in keep], pa.list_(pa.int64())) for j in (0, 1)]], ["doc_id", "content", "shallow", "deep"])
+                    *[pa.array([got[i][j] for i in keep], pa.list_(pa.int64())) for j in (0, 1, 2)], pa.array(np.diff(bounds)[keep])], ["doc_id", "content", "shallow", "deep", "parity", "n"])
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("content"), "text")
-    rows = rows.mapInArrow(run, f"doc_id {id_type}, content binary, shallow array<long>, deep array<long>")
-    return rows.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("shallow").alias("shallow"), F.first("deep").alias("deep")).filter("rep IS NOT NULL")
+    rows = rows.mapInArrow(run, f"doc_id {id_type}, content binary, shallow array<long>, deep array<long>, parity array<long>, n long")
+    return rows.groupBy("content").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("shallow", "deep", "parity", "n")]).filter("rep IS NOT NULL")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -112,19 +120,29 @@ def proposed(reps: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.select("a", "b", votes.alias("votes")).filter(F.col("votes") >= AGREE)
 
 
+def within(px, py, nx, ny):
+    """Whether two texts of these parities and numbers of shingles may reach the bound; true wherever they do."""
+    apart = sum((F.bit_count(F.get(px, F.lit(i)).bitwiseXOR(F.get(py, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    most = (nx + ny) * ((1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)  # L is 0.8 / 1.8 of both at least
+    return (F.abs(nx - ny) <= most) & (apart <= most)
+
+
 def unproposed(reps: DataFrame, b: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of large buckets whose ends are in different classes and whose sketches agree often enough.
 
     The texts outside a bucket's main class meet the whole bucket, in slices of ``SLICE`` of them.  Sketches travel with the
-    texts and a pair leaves only the first table it agrees in, so neither pairs nor votes are shuffled.
+    texts and a pair leaves only the first table it agrees in, so neither pairs nor votes are shuffled.  Parities, where
+    ``reps`` has them, let only those leave that may reach the bound.
     """
     large = b.filter(F.col("size") > ALL_PAIRS).select("shallow", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("label", "rep")).drop("label")
     main = large.groupBy("shallow", "class").count().groupBy("shallow").agg(F.max_by("class", F.struct("count", "class")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
     main = main.filter("most < n").select("shallow", "main", F.ceil((F.col("n") - F.col("most")) / SLICE).cast("int").alias("slices"))
-    some = shared_table(large.join(main, "shallow").join(reps.select("rep", F.col("shallow").alias("keys")), "rep"), "crowded")
-    left = some.filter("class <> main").select("shallow", F.pmod(F.hash("rep"), "slices").alias("slice"), F.col("rep").alias("x"), F.col("class").alias("cx"), F.col("keys").alias("kx"))
-    right = some.select("shallow", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("rep").alias("y"), F.col("class").alias("cy"), (F.col("class") == F.col("main")).alias("in_main"), "keys")
-    met = left.join(right, ["shallow", "slice"]).filter("cx <> cy AND (in_main OR x < y)").withColumn("same", F.array_intersect("kx", "keys"))
+    marks = [c for c in ("parity", "n") if c in reps.columns]
+    some = shared_table(large.join(main, "shallow").join(reps.select("rep", F.col("shallow").alias("keys"), *marks), "rep"), "crowded")
+    left = some.filter("class <> main").select("shallow", F.pmod(F.hash("rep"), "slices").alias("slice"), F.col("rep").alias("x"), F.col("class").alias("cx"), F.col("keys").alias("kx"), *[F.col(c).alias(f"{c}_x") for c in marks])
+    right = some.select("shallow", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("rep").alias("y"), F.col("class").alias("cy"), (F.col("class") == F.col("main")).alias("in_main"), "keys", *marks)
+    near = within(*[F.col(c) for c in ("parity_x", "parity", "n_x", "n")]) if marks else F.lit(True)
+    met = left.join(right, ["shallow", "slice"]).filter(F.expr("cx <> cy AND (in_main OR x < y)") & near).withColumn("same", F.array_intersect("kx", "keys"))
     return met.filter((F.size("same") >= AGREE) & (F.get("same", F.lit(0)) == F.col("shallow"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

@@ -170,3 +170,22 @@ def test_crowded_buckets_propose_every_pair_of_classes(spark, monkeypatch):
     labels = spark.createDataFrame([(i, c) for i, c in label.items() if i % 3 or c != i], "node long, label long")
     got = [(r.a, r.b) for r in minhash.unproposed(reps, minhash.buckets(reps), labels).collect()]
     assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40) if label[a] != label[b]]
+
+
+def test_crowded_buckets_drop_only_pairs_that_cannot_reach_the_bound(spark):
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    texts = []
+    for i in range(40):  # texts of a bucket, from very near to far from each other
+        x = common.copy()
+        at = rng.choice(300, rng.integers(1, 90), replace=False)
+        x[at] = rng.integers(0, 1 << 62, len(at)).astype(np.uint64)
+        texts.append(x[:300 - i % 5 * 4])
+    keys = [7 + t for t in range(minhash.TABLES)]
+    rows = [(i, keys, keys, minhash.parity(x).tolist(), len(x)) for i, x in enumerate(texts)]
+    reps = spark.createDataFrame(rows, "rep long, shallow array<long>, deep array<long>, parity array<long>, n long")
+    labels = spark.createDataFrame([], "node long, label long")
+    got = {(r.a, r.b) for r in minhash.unproposed(reps, minhash.buckets(reps), labels).collect()}
+    pairs = {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    linked = {(a, b) for a, b in pairs if minhash.similarity(texts[a], texts[b]) >= 0.8}
+    assert linked and linked <= got and len(got) < len(linked) + 0.5 * len(pairs - linked)
