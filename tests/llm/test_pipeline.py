@@ -1,8 +1,10 @@
 """The pipeline's stages, each on what its predecessor kept."""
 import random
+import re
 
 import corpus_pipeline as P
 from lineweave.llm import queries
+from lineweave.llm.shared import n_words
 
 from .cases import docs_of, words
 
@@ -52,3 +54,10 @@ def test_near_dedup_tells_rows_apart(spark):
     rows = [(1, a), (1, b), (2, c), (2, c), (3, c), (None, c), (None, None), (None, None), (4, "")]
     got = P.near_dedup(spark, docs_of(spark, rows), "").collect()
     assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("1", a), ("1", b), ("2", c), ("None", ""), ("4", "")])
+
+
+def test_words_are_counted_without_holding_each(spark):
+    texts = [None, "", " \t", "a", " a\tb\x0bc\x0cd\re\n", "w w", "ação x \U0001F600 y", "\x85  é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", n_words("t").alias("n"))
+    assert [r.n for r in df.collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
