@@ -152,3 +152,43 @@ EVIDENCE = {
     "BRASAL": ["number", "date", "name", "tax_id", "address", "email", "site", "terms"],
     "PAVINI": ["number", "date", "name", "tax_id", "address", "site", "email", "terms"],
 }
+
+# pattern: characters that every match holds as they stand; a text without them isn't searched
+NEEDED = {
+    EMAIL: ["@"],
+    CITY_OF_INVOICE: ["-"],
+    CITY_OF_DELIVERY: ["-"],
+    PAVINI_CITY: [","],
+    r"(?i)O\.C\.\s*[:\-]?\s*(\d+)": ["."],
+    r"(?i)COT\.\s*[:\-]?\s*(\d+)": ["."],
+    r"(?i)DATA[:\s]+(\d{2}/\d{2}/\d{4})": ["/"],
+    r"(\d{2}/\d{2}/\d{4})": ["/"],
+    r"(?i)CNPJ[:\s/]*(\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2})": ["/", "-"],
+    r"(\d{2}\.\d{2}\.\d{4})\s*/00:00:00": ["/00:00:00"],
+    r"(?i)(\d+)\s*dias\s*,com": [","],
+    r"MRV\s+([A-Z]{2,15}\s+[A-Z]{2,20})": ["MRV"],
+    r"CNPJ[:\s]*(\d{11,14})": ["CNPJ"],
+    r"I\.E[:\s]*(\d{8,12})": ["I.E"],
+    r"(?m)^([A-Z]+\s+EMP\s+\d+)$": ["EMP"],
+    r"(?i)GALPAO\s*-\s*([^\n]{5,60})": ["-"],
+    r"(\d{8})\s*-\s*\d{11,12}\s*-\s*Recebedor": ["Recebedor"],
+    r"Contato:\s*([A-Z][A-Za-z]+)\s*/\s*([\d\s]+)": ["Contato:", "/"],
+    r"(?iu)Emiss[aã]o[:.]?\s*(\d{2}/\d{2}/\d{4})": ["/"],
+    r"(?i)Cond\.\s*Pagt[oa][:.]?\s*(\d+\s*dias?)": ["."],
+    r"CEP\s*[:.]?\s*(\d{2}\.?\d{3}-\d{3})": ["CEP", "-"],
+    r"(?i)E-?Mail\s*:\s*(\S+@\S+)": ["@", ":"],
+    r"(?i)E-mail:\s*(\S+@\S+)": ["@", "-", ":"],
+    r"(?i)(?:Celular|Comercial)\s*:\s*([(\d][^\-\n]{5,20})": [":"],
+    r"Data:\s*(\d{2}/\d{2}/\d{4})": ["Data:", "/"],
+    r"Cond\.\s*pgto\.:\s*([^\n]{3,30})": ["pgto.:"],
+    r"Total\s+([\d.]+,\d+)": ["Total", ","],
+    r"Previs[aã]o\s*da\s*entrega:\s*(\d{2}/\d{2}/\d{4})": ["entrega:", "/"],
+    r"(?im)^Nome:\s*(SPE[^\n]{3,80})": [":"],
+    r"(?im)^Nome:\s*([^\n]{5,80})": [":"],
+    r"CNPJ:\s*(\d{8,14})": ["CNPJ:"],
+    r"Endere[cç]o:\s*([^\n]{5,100})": ["Endere"],
+    r"(?i)OBRA/CENTRO DE CUSTO:\s*([^\n]+?)(?:\s+CNO|$)": ["/", ":"],
+    r"(?i)Email:\s*(\S+@\S+)": ["@", ":"],
+    r"(?i)([a-z]+@paviniconstrucao\.com\.br)": ["@", "."],
+    r"(?i)Vendedor:\s*([^\n]{3,60})": [":"],
+}

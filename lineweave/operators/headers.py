@@ -18,11 +18,13 @@ FIELDS = sorted({f for rules in H.LINE_RULES.values() for f, *_ in rules} | {f f
 
 
 def detect_family(lines):
-    """(doc_id, family): by the markers on a document's first page; null where none fits.  One flag per marker and line."""
+    """(doc_id, family): by the markers on a document's first page; null where none fits.  One flag per marker and page."""
     low = F.lower("text")
     marks = sorted({m for _, needed in H.FAMILY_MARKERS for m in needed})
-    first = lines.withColumn("_p", F.min("page").over(W.partitionBy("doc_id"))).withColumn("_on", F.col("page") == F.col("_p"))
-    seen = first.groupBy("doc_id").agg(*[F.max(F.col("_on") & low.contains(m)).alias(f"m{i}") for i, m in enumerate(marks)])
+    flags = [f"m{i}" for i in range(len(marks))]
+    pages = lines.groupBy("doc_id", "page").agg(*[F.max(low.contains(m)).alias(f) for f, m in zip(flags, marks)])
+    # lines without a page are on no first page, but their document is one
+    seen = pages.groupBy("doc_id").agg(F.min_by(F.struct(*flags), "page").alias("_first")).select("doc_id", "_first.*")
     fits = [(family, reduce(lambda a, b: a & b, [F.col(f"m{marks.index(m)}") for m in needed])) for family, needed in H.FAMILY_MARKERS]
     return seen.select("doc_id", F.coalesce(*[F.when(ok, family) for family, ok in fits]).alias("family"))
 
@@ -35,7 +37,8 @@ def _with_sections(lines):
     parts = F.when(has_blocks, F.split(cut, "\n")).otherwise(F.array("text"))
     d = lines.select("doc_id", "family", "page", "line_no", F.posexplode(parts).alias("part", "text"))
     at = F.struct("page", "line_no", "part")
-    doc = W.partitionBy("doc_id")
+    order = W.partitionBy("doc_id").orderBy("at")
+    doc = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # the whole document, in the one order that all windows share
     d = d.withColumn("at", at)
     inside = []
     for family, blocks in H.SECTIONS.items():
@@ -48,16 +51,23 @@ def _with_sections(lines):
                 inside.append(F.when((F.col("at") >= F.col(f"_a_{key}")) & (F.col("at") < F.col(f"_z_{key}")), F.lit(name)))
             else:
                 inside.append(F.when(F.col("at") >= F.col(f"_a_{key}"), F.lit(name)))
-    order = doc.orderBy("at")
-    d = d.select("doc_id", "family", "page", "at", "text", F.array_compact(F.array(*inside)).alias("sections"))
+    d = d.select("doc_id", "family", "page", "at", "text", F.array_compact(F.array(*inside)).alias("sections"), F.min("page").over(doc).alias("_p"))
     return d.withColumns({"two": F.concat_ws("\n", "text", F.lead("text").over(order)), "sections_below": F.lead("sections").over(order)})
 
 
+def _found(seen, pattern, group):
+    """``regexp_extract``, where the text holds the characters without which the pattern can't match."""
+    needed = reduce(lambda a, b: a & b, [seen.contains(x) for x in H.NEEDED.get(pattern, [])], F.lit(True))
+    return F.when(needed, F.regexp_extract(seen, pattern, group))
+
+
 def line_evidence(lines, families):
-    """(doc_id, field, prefer, at, value) from text lines; a document of no known family is read by the general rules."""
+    """(doc_id, field, prefer, at, value) from text lines, and the lines of delivery blocks (doc_id, at, value) beside them.
+
+    A document of no known family is read by the general rules.
+    """
     d = lines.select("doc_id", "page", "line_no", "text").join(families, "doc_id").withColumn("family", F.coalesce("family", F.lit("UAU")))
-    d = _with_sections(d.filter(F.col("family").isin(list(H.LINE_RULES))))
-    d = cut_lineage(d.withColumn("_p", F.min("page").over(W.partitionBy("doc_id"))))
+    d = cut_lineage(_with_sections(d.filter(F.col("family").isin(list(H.LINE_RULES)))))
 
     def values(family):
         out = []
@@ -65,17 +75,16 @@ def line_evidence(lines, families):
             seen = F.col("two")
             if section:  # the block ends with its last line
                 seen = F.when(F.array_contains("sections", section), F.when(F.array_contains("sections_below", section), F.col("two")).otherwise(F.col("text")))
-            out.append(F.regexp_extract(seen, pattern, group))
-        if family == "PAVINI":
-            out.append(F.when(F.array_contains("sections", "delivery"), F.col("text")))
+            out.append(_found(seen, pattern, group))
         return F.array(*out)
     parts = []
     for family, rules in H.LINE_RULES.items():  # a family is one scan of its own lines with its own few patterns
         mine = d.filter((F.col("family") == family) & ((F.col("page") < F.col("_p") + H.MRV_PAGES) if family == "MRV" else F.lit(True)))
-        names = [f for f, *_ in rules] + ["delivery_span"]
+        names = [f for f, *_ in rules]
         e = mine.select("doc_id", "at", F.posexplode(values(family)).alias("prefer", "value")).filter("value <> ''")
         parts.append(e.select("doc_id", F.get(F.lit(names), F.col("prefer")).alias("field"), "prefer", "at", "value"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    spans = d.filter((F.col("family") == "PAVINI") & F.array_contains("sections", "delivery") & (F.col("text") != "")).select("doc_id", "at", F.col("text").alias("value"))
+    return reduce(lambda a, b: a.unionByName(b), parts), spans
 
 
 def cell_evidence(cells, families):
@@ -92,11 +101,11 @@ def cell_evidence(cells, families):
     return pair.filter(F.col("label").isin(known)).select("doc_id", at.alias("at"), "value", F.explode(mine).alias("e")).select("doc_id", "e.field", "e.prefer", "at", "value")
 
 
-def gather(evidence):
+def gather(evidence, spans):
     """(doc_id, one column per field): the first evidence of each field.  Fields are few, so a document's rows are too."""
     order = F.struct("prefer", "at")
-    first = evidence.filter("field <> 'delivery_span'").groupBy("doc_id", "field").agg(F.min_by("value", order).alias("value"))
-    spans = evidence.filter("field = 'delivery_span'").withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("at"))).filter(f"_n <= {H.DELIVERY_SPAN}")
+    first = evidence.groupBy("doc_id", "field").agg(F.min_by("value", order).alias("value"))
+    spans = spans.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("at"))).filter(f"_n <= {H.DELIVERY_SPAN}")
     span = spans.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("value"))
     both = first.unionByName(span.select("doc_id", F.lit("delivery_span").alias("field"), "value"))
     return both.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS])
@@ -206,10 +215,10 @@ def extract_headers(lines, cells=None, own_people=()):
     review.  Missing text fields are empty, a missing total is null.  ``own_people`` are contact names that are ours.
     """
     families = cut_lineage(detect_family(lines))
-    evidence = line_evidence(lines, families)
+    evidence, spans = line_evidence(lines, families)
     if cells is not None:
         evidence = evidence.unionByName(cell_evidence(cells, families))
-    g = families.join(gather(evidence), "doc_id", "left").withColumn("own_people", F.array(*[F.lit(p.lower()) for p in own_people]).cast("array<string>"))
+    g = families.join(gather(evidence, spans), "doc_id", "left").withColumn("own_people", F.array(*[F.lit(p.lower()) for p in own_people]).cast("array<string>"))
     by = _record(g)
     reader = F.coalesce("family", F.lit("UAU"))
     kind = {"total": "double", "contacts": "array<struct<name:string,role:string,email:string,phone:string,origin:string>>"}

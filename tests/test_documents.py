@@ -102,6 +102,28 @@ def test_headers_from_cells(spark):
     assert [(c.role, c.email) for c in r.contacts] == [("financeiro", "financeiro@z.example")] and r.confidence == 0.75
 
 
+def test_header_rules_search_each_line_once(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = E.extract_headers(lines_of(spark, HEADERS))._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("EMPREENDIMENTO") == 1 and plan.count("GALPAO") == 1
+
+
+def test_header_rules_need_what_they_match(spark):
+    texts = [t for text in HEADERS.values() for t in text.splitlines()] + ["COT: 5", "a@b.com", "Goiânia - GO CEP 70.000-123", "Contato: ANA / 61", "Brasilia, DF - 70000-123", "Nome: SPE Um Dois"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    rules = [(pattern, group) for mine in E.H.LINE_RULES.values() for _, pattern, group, _ in mine]
+    r = d.select(*[F.coalesce(E._found(F.col("t"), p, g), F.lit("")).alias(f"a{i}") for i, (p, g) in enumerate(rules)], *[F.regexp_extract("t", p, g).alias(f"b{i}") for i, (p, g) in enumerate(rules)]).collect()
+    for i, rule in enumerate(rules):
+        assert [x[f"a{i}"] for x in r] == [x[f"b{i}"] for x in r], rule
+
+
+def test_family_by_the_first_page_only(spark):
+    rows = [("d", 2, 1, "Sienge"), ("d", 1, 1, "OC Nº: 3"), ("d", 1, 2, "Processo Nº: 5"), ("d", None, 1, "Sienge"), ("n", None, 1, "Sienge")]
+    got = E.detect_family(spark.createDataFrame(rows, "doc_id string, page int, line_no int, text string")).collect()
+    assert {r.doc_id: r.family for r in got} == {"d": "BRASAL", "n": None}
+
+
 def test_register_takes_headers(spark):
     rows = E.register_rows(E.extract_headers(lines_of(spark, HEADERS))).collect()
     assert {r.header_id: r.email for r in rows}["brasal"] == "fat@x.example" and len(rows) == len(HEADERS)
