@@ -122,7 +122,7 @@ def match_client_table(lines, table, catalogue):
     side = table_side(table, catalogue)
     own = lines.select("line_key", "doc_id", "client", "description", F.col("unit_price").cast("double").alias("price")).join(side.select("client").distinct(), "client", "left_semi")
     words = own.select("client", "description").distinct().withColumn("item_key", F.md5(F.concat_ws("|", "client", "description")))
-    judged = X.judged_pairs(X.restricted_pairs(L.item_features(words), side))  # once per wording, whatever its prices
+    judged = X.judged_classes(X.restricted_pairs(L.item_features(words), side))  # once per wording, whatever its prices
     won = cut_lineage(X.first_without_conflict(judged))
     first = won.select("item_key", "table_price").join(words, "item_key").select("client", "description", "table_price")
     ratios = own.filter("price > 0").join(first, ["client", "description"]).select("doc_id", (F.col("price") / F.col("table_price").cast("double")).alias("ratio")).filter("ratio > 0")

@@ -104,54 +104,67 @@ def restricted_pairs(items, table):
     straight = ~F.col("c_reduction")
     p = p.withColumn("_any", F.max(straight).over(W.partitionBy("_ip"))).filter(F.col("asks_reduction") | straight | ~F.col("_any"))
     p = cut_lineage(p.filter((F.size("asked_measures") == 0) | L.subset(F.col("asked_measures"), F.col("c_numbers"))).select("_ip", "_tp"))
-    return i.drop("_has").join(p, "_ip").join(t.drop("c_ptype", "client"), "_tp").drop("_ip", "_tp")
+    # profiles take their products first, so that what is moved is a row per profile and product and not per text and product
+    return i.drop("_has").join(p.join(t.drop("c_ptype", "client"), "_tp"), "_ip").drop("_ip", "_tp")
 
 
 #: Products kept of a class: a best and a second are still there when three attempts and the current product are taken out.
 MEMBERS = 6
 
 
-def judged_pairs(pairs):
-    """Everything about a pair that does not depend on the pool: filter rank, structure, score, conflict.
+def judged_classes(pairs):
+    """Everything about a pair that does not depend on the pool: filter rank, structure, score, conflict and both floors.
 
-    The retries and price stages then work on these few narrow columns only.  Pairs with product classes are judged once a
-    class, then taken apart into its ``members``.
+    The retries and price stages then work on these few narrow columns only.  A pair with a product class stays one row, with
+    the class's ``members`` in catalogue order.
     """
     hard = F.col("category").isNull() | (F.col("c_category") == F.col("category")) | (F.col("category").isin(*R.ELBOWS) & F.col("c_category").isin(*R.ELBOWS)) \
         | (F.col("category").isin("REDUCAO", "BUCHA") & F.col("c_category").isin("REDUCAO", "BUCHA"))
     p = L.score_pairs(pairs.withColumn("pool_rank", F.when(hard, soft_rank(L.filter_tests())).otherwise(-1)).withColumn("structural", L.is_structural()))
     same_type = F.coalesce(F.col("ptype") == P.ptype(F.col("c_description")), F.lit(True))
-    p = p.withColumn("conflict", L.hard_conflict() | ~same_type)
-    if "members" in p.columns:
-        p = p.withColumn("_m", F.explode("members")).select("*", "_m.*")
-    keep = ["item_key", "row_ord", "product_code", "c_description", "table_price", "pool_rank", "structural", "score", "anchors", "n_tokens", "category", "diameters"]
-    keep += [c for c in ("price", "factor") if c in pairs.columns]
-    return cut_lineage(p.select(*keep, "conflict"))
+    floor = lambda sole: D.min_score(F.lit(sole), F.col("anchors"), F.col("n_tokens"), F.col("category"), F.col("diameters"))
+    place = lambda m: F.struct(m["row_ord"].alias("row_ord"), m["product_code"].alias("product_code"))
+    members = F.transform("members", place) if "members" in p.columns else F.array(F.struct("row_ord", "product_code"))
+    keep = ["item_key", "c_description", "table_price", "pool_rank", "structural", "score"] + [c for c in ("price", "factor") if c in pairs.columns]
+    return cut_lineage(p.select(*keep, (L.hard_conflict() | ~same_type).alias("conflict"), members.alias("members"), floor(True).alias("floor_sole"), floor(False).alias("floor"),
+                                F.coalesce(F.col("category") == "QUADRO", F.lit(False)).alias("is_board")))
 
 
-def best_of_pairs(pairs):
-    """M6 on judged pairs: survivors of the soft filters, structural products (else the whole pool), best with its second."""
-    w = W.partitionBy("item_key")
-    p = pairs.withColumn("_top", F.max("pool_rank").over(w))
-    p = p.withColumn("_good", (F.col("pool_rank") == F.col("_top")) & (F.col("pool_rank") >= 0) & F.col("structural")).withColumn("_anygood", F.max("_good").over(w))
-    b = L.best_candidate(p.filter(F.col("_good") | ~F.col("_anygood")), ["item_key"])
-    floor = D.min_score(F.col("sole"), F.col("anchors"), F.col("n_tokens"), F.col("category"), F.col("diameters"))
-    return b.select("item_key", "row_ord", "product_code", "c_description", "table_price", "score", (F.col("score") >= floor).alias("ok"), "conflict",
-                    (L.near_tie() | F.coalesce(F.col("category") == "QUADRO", F.lit(False))).alias("review"))
+def judged_pairs(pairs):
+    """``judged_classes`` with a row per kept product."""
+    j = judged_classes(pairs)
+    one = j.select(*[c for c in j.columns if c != "members"], F.explode("members").alias("_m"))
+    return one.select(*[c for c in one.columns if c != "_m"], "_m.*", F.array("_m").alias("members"))
+
+
+def _without(row_ord):
+    """Members of a pair's class but for the product at ``row_ord``."""
+    return F.filter("members", lambda m: m["row_ord"] != row_ord)
 
 
 def first_without_conflict(pairs, attempts=4):
-    """Rerun the whole match on the pool minus the loser, at most four times.  ``pairs`` are judged pairs."""
-    left, done = pairs, None
-    for n in range(attempts):
-        b = cut_lineage(best_of_pairs(left))
-        good = b.filter("ok and not conflict")
-        done = good if done is None else done.unionByName(good)
-        lost = b.filter("ok and conflict").select("item_key", "row_ord")
-        if n + 1 == attempts or lost.isEmpty():
-            break
-        left = left.join(lost.select("item_key"), "item_key", "left_semi").join(lost, ["item_key", "row_ord"], "left_anti")
-    return done
+    """Rerun the whole match (M6) on the pool minus the loser, at most four times.  ``pairs`` are judged, by class or by product.
+
+    A match: survivors of the soft filters, structural products (else the whole pool), best with its second.  An item is
+    settled, out, or goes on without its loser; pairs are dealt by item once for all attempts.
+    """
+    w = W.partitionBy("item_key")
+    p = pairs.withColumns({"_done": F.lit(False), "_review": F.lit(False)})
+    for _ in range(attempts):
+        p = p.withColumn("_top", F.max("pool_rank").over(w))
+        p = p.withColumn("_good", (F.col("pool_rank") == F.col("_top")) & (F.col("pool_rank") >= 0) & F.col("structural")).withColumn("_anygood", F.max("_good").over(w))
+        p = p.withColumn("_in", F.coalesce(F.col("_good") | ~F.col("_anygood"), F.lit(False)))
+        order = w.orderBy(F.desc("_in"), F.desc("score"), F.col("members")[0]["row_ord"])
+        p = p.withColumns({"_rn": F.row_number().over(order), "_next": F.lead(F.when(F.col("_in"), F.col("score"))).over(order), "_n": F.sum(F.when(F.col("_in"), F.size("members"))).over(w)})
+        second = F.when(F.size("members") > 1, F.col("score")).otherwise(F.col("_next"))
+        ok = F.col("score") >= F.when(F.col("_n") == 1, F.col("floor_sole")).otherwise(F.col("floor"))
+        first = (F.col("_rn") == 1) & F.col("_in")
+        p = p.withColumns({"gap": F.col("score") - second, "_won": first & (F.col("_done") | F.coalesce(ok & ~F.col("conflict"), F.lit(False))), "_lost": F.when(first & ~F.col("_done") & ok & F.col("conflict"), F.col("members")[0]["row_ord"])})
+        p = p.withColumn("_review", F.when(F.col("_done"), F.col("_review")).otherwise(L.near_tie() | F.col("is_board"))).withColumn("_out", F.max("_lost").over(w))
+        p = p.filter(F.col("_won") | F.col("_out").isNotNull()).withColumn("members", F.when(F.col("_won"), F.col("members")).otherwise(_without(F.col("_out"))))
+        p = p.filter(F.size("members") > 0).withColumn("_done", F.col("_won")).select(*pairs.columns, "_done", "_review")
+    head = F.col("members")[0]
+    return p.filter("_done").select("item_key", head["row_ord"].alias("row_ord"), head["product_code"].alias("product_code"), "c_description", "table_price", "score", F.lit(True).alias("ok"), "conflict", F.col("_review").alias("review"))
 
 
 def price_factor(ratios):
@@ -191,7 +204,7 @@ def match_price_table(items, pairs, first=None):
     same wordings come at many prices, ``pairs`` may be judged already, with ``first`` their ``first_without_conflict``.
     """
     if first is None:
-        pairs = judged_pairs(pairs)
+        pairs = judged_classes(pairs)
         first = first_without_conflict(pairs)
     pick = lambda d, n: d.select("item_key", *[F.col(c).alias(n + c) for c in ("row_ord", "product_code", "c_description", "table_price", "score", "review")])
     cur = items.select("item_key", "description", "price", "factor").join(pick(first, ""), "item_key")
@@ -211,7 +224,7 @@ def match_price_table(items, pairs, first=None):
         j = j.withColumn(c, F.when(F.col("_t"), F.col("a_" + c)).otherwise(F.col(c))).drop("a_" + c)
     cur = cut_lineage(j.drop("_t"))
     # stage b: another product with practically the same price
-    other = price_band(pairs, 0.01).join(cur.filter("price > 0 and not series_conflict").select("item_key", F.col("row_ord").alias("_cur")), "item_key").filter("row_ord <> _cur").drop("_cur")
+    other = price_band(pairs, 0.01).join(cur.filter("price > 0 and not series_conflict").select("item_key", F.col("row_ord").alias("_cur")), "item_key").withColumn("members", _without(F.col("_cur"))).filter(F.size("members") > 0).drop("_cur")
     alt = pick(first_without_conflict(other), "b_")
     j = cur.join(alt, "item_key", "left")
     s_oc, s_alt = P.declared_series(F.col("description")), P.declared_series(F.col("b_c_description"))

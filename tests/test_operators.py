@@ -259,6 +259,53 @@ def test_price_table_is_judged_once_a_class(spark):
     assert got == {"k": "0", "m": "2"}
 
 
+def test_retries_by_class_are_those_by_product(spark):
+    import random
+    rnd = random.Random(3)
+    rows, place = [], 0
+    for item in range(60):
+        for _ in range(rnd.randint(1, 6)):
+            n = rnd.choice([1, 1, 2, 6])
+            members = sorted(rnd.sample(range(1000), n)) if rnd.random() < 0.9 else [place + 2000]
+            rows.append((f"i{item}", f"d{place}", decimal.Decimal(place), rnd.choice([-1, 3, 3, 5]), rnd.random() < 0.7, rnd.choice([0.3, 0.42, 0.6, 0.6, 0.9, None]), rnd.random() < 0.4,
+                         [(m, f"p{m}") for m in members], 0.35, 0.5, rnd.random() < 0.1))
+            place += 1
+    kind = "item_key string, c_description string, table_price decimal(18,6), pool_rank int, structural boolean, score double, conflict boolean, members array<struct<row_ord:long,product_code:string>>, floor_sole double, floor double, is_board boolean"
+    classes = spark.createDataFrame(rows, kind)
+    by_product = classes.withColumn("_m", F.explode("members")).withColumn("members", F.array("_m")).drop("_m")
+    want = {}
+    for item in {r[0] for r in rows}:
+        pool = [dict(zip(classes.columns, r), row=m[0]) for r in rows if r[0] == item for m in r[7]]
+        for _ in range(4):
+            top = max((x["pool_rank"] for x in pool), default=None)
+            good = [x for x in pool if x["pool_rank"] == top and top >= 0 and x["structural"]] or pool
+            if not good:
+                break
+            good.sort(key=lambda x: (x["score"] is None, -(x["score"] or 0), x["row"]))
+            b, second = good[0], good[1]["score"] if len(good) > 1 else None
+            if b["score"] is None or b["score"] < (b["floor_sole"] if len(good) == 1 else b["floor"]):
+                break
+            if not b["conflict"]:
+                want[item] = (b["row"], b["score"], second is not None and b["score"] - second < 0.02 or b["is_board"])
+                break
+            pool = [x for x in pool if x["row"] != b["row"]]
+    assert len(want) > 20
+    for pairs in (classes, by_product):
+        found = X.first_without_conflict(pairs)
+        assert {r.item_key: (r.row_ord, r.score, r.review) for r in found.collect()} == want
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1  # dealt by item once for all attempts
+
+
+def test_classes_are_judged_in_one_row(spark):
+    items = L.item_features(spark.createDataFrame([("k", "x", "TE SOLD 50MM")], "item_key string, client string, description string"))
+    columns = "client string, validity string, product_code string, client_code string, description string, unit string, price decimal(18,6), row_ord long"
+    table = spark.createDataFrame([("x", "1 SEM - 2026", str(i), "", "TE PVC SOLDAVEL 50MM", "UN", decimal.Decimal(2), i) for i in range(9)], columns)
+    raw = table.select("row_ord", "product_code", "description", F.lit("PC").alias("sale_unit"), *[F.lit(None).cast(t).alias(c) for c, t in (("diameter_mm", "double"), ("bar_length_m", "double"), ("diameter_final_mm", "double"), ("family", "string"), ("line", "string"))])
+    from lineweave.operators import cascade as K
+    r = X.judged_classes(X.restricted_pairs(items, K.table_side(table, C.build_catalogue(raw)))).collect()
+    assert [[m.row_ord for m in x.members] for x in r] == [list(range(X.MEMBERS))]
+
+
 def test_closest_is_the_best_near_pair(spark):
     import random
     from lineweave.operators.similarity import closest
