@@ -98,6 +98,34 @@ def test_randomised_svd_finds_the_axes(spark):
     assert np.abs(mix - mix @ q @ q.T).max() < 1e-3 * np.abs(mix).max()
 
 
+def test_axes_are_fitted_on_every_passage(spark, monkeypatch):
+    rng = random.Random(51)
+    texts = [words(rng, rng.randrange(1, 200), 400) for _ in range(300)] + [None, ""]
+    docs = docs_of(spark, list(enumerate(texts)))
+    _, passages, idf = decontam._counts(docs)
+    rows = decontam.sample_passages(docs, idf, decontam.PASSAGE).collect()
+    assert passages == len(rows) == sum(-(-len((t or "").split()) // decontam.PASSAGE) for t in texts)
+    with pytest.raises(ValueError):
+        decontam.sample_passages(docs, idf, decontam.PASSAGE, 0.5)
+    a = np.zeros((len(rows), decontam.FEATURES))
+    for k, r in enumerate(rows):
+        a[k, r.features] = r.weights
+    assert np.allclose((a * a).sum(1), 1, atol=1e-4)
+    want = np.triu(a.T @ a)
+    for triangle in (decontam.gram(decontam.sample_passages(docs.repartition(3), idf, decontam.PASSAGE)), decontam.gram(docs.select("text").repartition(3), idf)):
+        got = np.zeros((decontam.FEATURES, decontam.FEATURES))
+        for r in triangle.collect():
+            got[r.feature, r.feature:] = np.frombuffer(bytes(r.row), np.float32)
+        assert np.allclose(got, want, atol=1e-4)
+    # leaks fits on all texts, whatever their number: no passage is drawn
+    seen = []
+    fit = decontam.latent_axes
+    monkeypatch.setattr(decontam, "latent_axes", lambda t, **k: (seen.append(sorted(str(r.text) for r in t.collect())), fit(t, **k))[1])
+    bench = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    decontam.leaks(docs, bench)
+    assert seen == [sorted(map(str, [*texts, texts[0]]))]
+
+
 def test_common_subsequence():
     rng = random.Random(16)
     for _ in range(100):
