@@ -1,13 +1,15 @@
 """Similarity scores, money rounding and price expressions.
 
 The three text ratios need a longest-common-subsequence length.  It is computed
-in Arrow batches: all pairs of a batch advance together, one machine word per
-pair, so the Python side never loops over rows for texts up to 64 characters.
+in Arrow batches: all different pairs of a batch advance together, one machine word
+per pair, so the Python side never loops over rows for texts up to 64 characters.
 """
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -36,50 +38,63 @@ def _lcs_long(a, b):
 
 def lcs_lengths(a, b):
     """Common-subsequence length of each pair of two lists of strings."""
-    a, b = [x or "" for x in a], [x or "" for x in b]
-    n = len(a)
-    res = np.zeros(n, dtype=np.int64)
-    la = np.fromiter((len(x) for x in a), dtype=np.int64, count=n)
-    lb = np.fromiter((len(x) for x in b), dtype=np.int64, count=n)
-    short = np.flatnonzero((la <= 64) & (lb <= 512) & (la > 0) & (lb > 0))
-    for i in np.flatnonzero((la > 64) | ((lb > 512) & (la > 0))):
-        res[i] = _lcs_long(a[i], b[i])
+    (ia, ta), (ib, tb) = (_distinct(pa.array([v or "" for v in x], pa.string())) for x in (a, b))
+    return _lcs_pairs(ia, ta, ib, tb)
+
+
+def _distinct(column):
+    """(place of each row's text, the different texts) of an Arrow string column; a null is an empty text."""
+    d = pc.fill_null(column, "").dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+
+
+def _lcs_pairs(ia, ta, ib, tb):
+    """Common-subsequence length of the texts ``ta[ia]`` and ``tb[ib]``, computed once per different pair, a few thousand at a time."""
+    pairs, back = np.unique(ia * max(1, len(tb)) + ib, return_inverse=True)
+    left, right = pairs // max(1, len(tb)), pairs % max(1, len(tb))
+    res = np.zeros(len(pairs), dtype=np.int64)
+    la = np.fromiter(map(len, ta), dtype=np.int64, count=len(ta))[left]
+    lb = np.fromiter(map(len, tb), dtype=np.int64, count=len(tb))[right]
+    some = (la > 0) & (lb > 0)
+    short = np.flatnonzero(some & (la <= 64) & (lb <= 512))
+    for i in np.flatnonzero(some & ((la > 64) | (lb > 512))):
+        res[i] = _lcs_long(ta[left[i]], tb[right[i]])
     for start in range(0, len(short), 4096):
         idx = short[start:start + 4096]
-        sa, sb = [a[i] for i in idx], [b[i] for i in idx]
-        wa = int(la[idx].max())
-        A, B = _codes(sa, wa), _codes(sb, int(lb[idx].max()))
+        (ua, xa), (ub, xb) = np.unique(left[idx], return_inverse=True), np.unique(right[idx], return_inverse=True)
+        wa, n = int(la[idx].max()), la[idx]
+        A, B = _codes([ta[i] for i in ua], wa), _codes([tb[i] for i in ub], int(lb[idx].max()))
         # places of each character in each text, as bits; code 0 fills up short texts and never fits
         known = np.zeros(int(max(A.max(), B.max())) + 1, dtype=bool)
         known[0] = True
         known[A] = known[B] = True
         sign = np.cumsum(known) - 1
-        A, B, signs = sign[A], sign[B].T.copy(), int(sign[-1]) + 1
-        mine = np.arange(len(idx)) * signs
-        places = np.zeros(len(idx) * signs, dtype=np.uint64)
+        A, B, signs = sign[A], sign[B][xb].T.copy(), int(sign[-1]) + 1
+        own = np.arange(len(ua)) * signs
+        places = np.zeros(len(ua) * signs, dtype=np.uint64)
         for i in range(wa):
-            places[mine + A[:, i]] |= np.uint64(1) << np.uint64(i)
-        places[mine] = 0
-        full = np.uint64(2 ** 64 - 1) >> (64 - la[idx]).astype(np.uint64)
+            places[own + A[:, i]] |= np.uint64(1) << np.uint64(i)
+        places[own] = 0
+        mine = own[xa]
+        full = np.uint64(2 ** 64 - 1) >> (64 - n).astype(np.uint64)
         row = full.copy()
         for j in range(B.shape[0]):
             u = row & places[mine + B[j]]
             row = ((row + u) | (row - u)) & full
-        res[idx] = la[idx] - np.bitwise_count(row)
-    return res
+        res[idx] = n - np.bitwise_count(row)
+    return res[back]
 
 
 def _ratio(a, b):
-    la = np.fromiter((len(x or "") for x in a), dtype=np.float64, count=len(a))
-    lb = np.fromiter((len(x or "") for x in b), dtype=np.float64, count=len(b))
-    total = la + lb
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(total == 0, 1.0, 2.0 * lcs_lengths(a, b) / np.where(total == 0, 1, total))
+    """Insert/delete ratio of two Arrow string columns."""
+    (ia, ta), (ib, tb) = _distinct(a), _distinct(b)
+    total = np.fromiter(map(len, ta), dtype=np.float64, count=len(ta))[ia] + np.fromiter(map(len, tb), dtype=np.float64, count=len(tb))[ib]
+    return np.where(total == 0, 1.0, 2.0 * _lcs_pairs(ia, ta, ib, tb) / np.where(total == 0, 1, total))
 
 
-@F.pandas_udf(t.DoubleType())
-def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(_ratio(a.tolist(), b.tolist()))
+@F.arrow_udf(t.DoubleType())
+def _indel(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(_ratio(a, b))
 
 
 @F.pandas_udf(t.DoubleType())
@@ -131,6 +146,25 @@ def blended_ratio(a, b, sort_weight=0.70, plain_weight=0.30, words=None):
     return sort_weight * (_indel(*words) if words else token_sort_ratio(a, b)) + plain_weight * indel_ratio(a, b)
 
 
+@F.arrow_udf(t.DoubleType())
+def _best_blend(a: pa.Array, wa: pa.Array, b1: pa.Array, w1: pa.Array, b2: pa.Array, w2: pa.Array, b3: pa.Array, w3: pa.Array) -> pa.Array:
+    out = np.zeros(len(a))
+    for b, w in ((b1, w1), (b2, w2), (b3, w3)):
+        at = np.flatnonzero(b.is_valid().to_numpy(zero_copy_only=False))
+        if len(at):
+            rows = pa.array(at)
+            out[at] = np.maximum(out[at], 0.70 * _ratio(wa.take(rows), w.take(rows)) + 0.30 * _ratio(a.take(rows), b.take(rows)))
+    return pa.array(out)
+
+
+def best_blended_ratio(a, words, texts):
+    """Best ``blended_ratio`` of a text (and its ``sort_words``) with three others, as (text, its words, whether to leave it out); 0 without any."""
+    args = [T.text(a), T.text(words)]
+    for b, w, skip in texts:
+        args += [F.when(F.coalesce(skip, F.lit(False)), F.lit(None)).otherwise(T.text(b)), T.text(w)]
+    return _best_blend(*args)
+
+
 def text_score(query, *texts):
     """Best of several catalogue texts, 4 decimals; blank texts score 0."""
     parts = []

@@ -122,16 +122,15 @@ def match_client_table(lines, table, catalogue):
     side = table_side(table, catalogue)
     own = lines.select("line_key", "doc_id", "client", "description", F.col("unit_price").cast("double").alias("price")).join(side.select("client").distinct(), "client", "left_semi")
     words = own.select("client", "description").distinct().withColumn("item_key", F.md5(F.concat_ws("|", "client", "description")))
-    judged = X.judged_classes(X.restricted_pairs(L.item_features(words), side))  # once per wording, whatever its prices
-    won = cut_lineage(X.first_without_conflict(judged))
-    first = won.select("item_key", "table_price").join(words, "item_key").select("client", "description", "table_price")
+    names, judged, won = X.judged_wordings(L.item_features(words), side)  # once, whatever the prices
+    first = X.of_items(names, won.select("item_key", "table_price")).join(words, "item_key").select("client", "description", "table_price")
     ratios = own.filter("price > 0").join(first, ["client", "description"]).select("doc_id", (F.col("price") / F.col("table_price").cast("double")).alias("ratio")).filter("ratio > 0")
     own = own.join(X.price_factor(ratios), "doc_id", "left").join(words.withColumnRenamed("item_key", "_w"), ["client", "description"])
     own = own.withColumn("item_key", F.md5(F.concat_ws("|", "_w", F.coalesce(F.col("price").cast("string"), F.lit("")), F.coalesce(F.col("factor").cast("string"), F.lit("")))))
     own = cut_lineage(own.select("line_key", "item_key", "_w", "description", "price", "factor"))
     asked = own.select("item_key", "_w", "description", "price", "factor").dropDuplicates(["item_key"])
-    at_price = judged.withColumnRenamed("item_key", "_w").join(asked.select("item_key", "_w", "price", "factor"), "_w").drop("_w")
-    out = X.match_price_table(asked.drop("_w"), at_price, won.withColumnRenamed("item_key", "_w").join(asked.select("item_key", "_w"), "_w").drop("_w"))
+    at = asked.select(F.col("item_key").alias("_i"), F.col("_w").alias("item_key"), "price", "factor").join(names, "item_key").drop("item_key").withColumnRenamed("_i", "item_key")
+    out = X.match_price_table(asked.drop("_w"), X.of_items(at, judged, "price", "factor"), X.of_items(at, won))
     got = own.select("line_key", "item_key").join(out, "item_key")
     return result(got, ["line_key"], True, F.col("product_code"), F.col("matched_description"), F.col("score"), F.col("match_type"), F.col("reason"), F.col("manual_review"))
 

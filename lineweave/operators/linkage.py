@@ -142,7 +142,14 @@ def profile_pairs(items, cat, scope=()):
     # REGISTRO and VALVULA share no block, so "ESFERA" only narrows the pool when no exact category exists
     pairs = pairs.withColumn("_rank", soft_rank(filter_tests())).withColumn("structural", is_structural())
     best = F.max("_rank").over(W.partitionBy(*scope, "profile"))
-    return pairs.withColumn("_best", best).filter("_rank = _best").select(*scope, "profile", "c_profile", "structural")
+    return pairs.withColumn("_best", best).filter("_rank = _best").select(*scope, "profile", "c_profile", "structural", bonus().alias("bonus"))
+
+
+def bonus():
+    """D6 over the attributes of a pair; all of them belong to the profiles."""
+    p = {k: F.col(k) for k in ("category", "diameters", "angle", "subcategory", "line", "board", "c_category", "c_diameters", "c_angle", "c_series", "c_line", "c_board")}
+    p["family_ok"] = families_compatible(F.col("category"), F.col("c_category"), F.col("sphere"), F.col("c_sphere"))
+    return D.attribute_bonus(p)
 
 
 def candidates(items, cat, scope=()):
@@ -152,16 +159,12 @@ def candidates(items, cat, scope=()):
 
 
 def score_pairs(pairs):
-    """D5 + D6: textual score plus attribute bonus, four decimals, capped at 1."""
-    def score(text, skip):
-        a, b, wa, wb = (F.when(~F.coalesce(skip, F.lit(False)), F.col(c)).otherwise("") for c in ("clean", text, "clean_words", text + "_words"))
-        return F.when(skip, 0.0).otherwise(D.blended_ratio(a, b, words=(wa, wb)))
-    pairs = pairs.withColumn("text_score", F.round(F.greatest(
-        score("c_text", F.col("c_text") == ""), score("c_norm_text", F.col("c_norm_text").isin("") | (F.col("c_norm_text") == F.col("c_text"))),
-        score("c_alias_text", F.col("c_alias_text") == "")), 4))
-    p = {k: F.col(k) for k in ("category", "diameters", "angle", "subcategory", "line", "board", "c_category", "c_diameters", "c_angle", "c_series", "c_line", "c_board")}
-    p["family_ok"] = families_compatible(F.col("category"), F.col("c_category"), F.col("sphere"), F.col("c_sphere"))
-    return pairs.withColumn("score", F.round(F.least(F.lit(1.0), F.col("text_score") + D.attribute_bonus(p)), 4))
+    """D5 + D6: textual score plus attribute bonus (``bonus`` where the profiles told it), four decimals, capped at 1."""
+    skip = {"c_text": F.col("c_text") == "", "c_norm_text": F.col("c_norm_text").isin("") | (F.col("c_norm_text") == F.col("c_text")), "c_alias_text": F.col("c_alias_text") == ""}
+    best = D.best_blended_ratio(F.col("clean"), F.col("clean_words"), [(F.col(c), F.col(c + "_words"), no) for c, no in skip.items()])
+    pairs = pairs.withColumn("text_score", F.round(best, 4))
+    extra = F.col("bonus") if "bonus" in pairs.columns else bonus()
+    return pairs.withColumn("score", F.round(F.least(F.lit(1.0), F.col("text_score") + extra), 4))
 
 
 def best_candidate(pairs, item, score="score"):
@@ -187,7 +190,7 @@ def product_classes(cat, keep=2):
 
 def scored_classes(items, classes, key, scope=()):
     """Texts against the classes of their structural products, narrow: (``key``, c_class, n, members, text_score, score)."""
-    pp = profile_pairs(items, classes, scope).filter("structural").select(*scope, "profile", "c_profile")
+    pp = profile_pairs(items, classes, scope).filter("structural").select(*scope, "profile", "c_profile", "bonus")
     pairs = items.join(pp, [*scope, "profile"]).join(classes, [*scope, "c_profile"])
     return score_pairs(pairs).select(*key, "c_class", "n", "members", "text_score", "score")
 
